@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +18,9 @@ END = 2
 #: Documents (and tokens) that are packed together. A task holds no more than this, whatever its input.
 PACK_DOCS, PACK_TOKENS = 65_536, 1 << 26
 #: Words that a worker keeps with their ids, and the longest that is kept.
-CACHE_WORDS, CACHE_BYTES = 600_000, 64
+CACHE_WORDS, CACHE_BYTES = 1_500_000, 64
+#: Marks that often end a word.
+MARKS = (b".", b",")
 
 
 class CapacityTree:
@@ -87,22 +90,35 @@ class WordIds:
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         words = [x.split() for x in texts]
-        new = list(set().union(*words).difference(self.known))
-        found = {}
-        if new:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                new = list(set().union(*words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                found[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        self.known.update(found)
+        new = set().union(*words).difference(self.known)
+        if new and len(self.known) > CACHE_WORDS:
+            self.known.clear()
+            new = set().union(*words)
+        self._learn(new)
         get = self.known.__getitem__
         out = [b"".join(map(get, ws)) for ws in words]
-        for w in found:
+        for w in new:
             if len(w) > CACHE_BYTES:
                 del self.known[w]
         return out
 
+    def _learn(self, new: set[bytes]) -> None:
+        """Words differ mostly by capitals and by one mark at their end, so only what is left is encoded."""
+        known, bare = self.known, {}
+        for w in new:
+            stem = w
+            if w.isascii() and b"<" not in w:  # a capital in a control string matters, so those stay as they are
+                stem = w.lower()
+                if stem[-1:] in MARKS and stem[-2:-1].isalpha():  # a mark after a letter is a token of its own
+                    stem = stem[:-1]
+            bare[w] = stem
+        todo = [x for x in {*bare.values(), *MARKS} if x not in known]
+        for x, e in zip(todo, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in todo], add_special_tokens=False), strict=True):
+            known[x] = array("I", e.ids).tobytes()
+        for w, stem in bare.items():
+            if w not in known:
+                known[w] = known[stem] if len(stem) == len(w) else known[stem] + known[w[-1:]]
+
 
 _TOKENIZERS: dict[str, WordIds] = {}
 
