@@ -8,8 +8,9 @@ from stemma.llm.licenses import op4_license_scan
 from stemma.llm.neardup import op6_minhash_near_dedup
 from stemma.llm.packing import op1_packing
 from stemma.llm.pii import op5_pii
+from stemma.llm.repeats import op10_suffix_array_dedup
 from stemma.llm.sharding import op2_sharding
 from stemma.llm.topk import op3_topk_search
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_topk_search, op4_license_scan, op5_pii, op6_minhash_near_dedup, op7_decontamination, op8_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_topk_search, op4_license_scan, op5_pii, op6_minhash_near_dedup, op7_decontamination, op8_chat_formatting, op10_suffix_array_dedup)}
 ORACLES: dict[str, str] = {}
