@@ -24,7 +24,8 @@ def propagate(links: DataFrame, shards: int, room: int, rounds: int = ROUNDS) ->
     document, so that no hub must fit as a whole and no task gets one.
     """
     part = max(1, min(room // 8, HUB_ROWS))
-    sizes = links.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
+    # Staged, so that the join below has plain exchanges on both sides and a hot hub is split at run time.
+    sizes = staged(links.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1"), "hubs")
     parts = F.ceil(F.col("n") / F.lit(part))
     links = links.join(sizes, "hub").select("doc_id", F.xxhash64("hub", F.when(F.col("n") > part, F.pmod(F.xxhash64("doc_id"), parts))).alias("hub"))
     links = staged(links.distinct(), "links")
