@@ -11,6 +11,7 @@ from stemma.llm.pii import op5_pii
 from stemma.llm.repeats import op10_suffix_array_dedup
 from stemma.llm.sharding import op2_sharding
 from stemma.llm.topk import op3_topk_search
+from stemma.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_topk_search, op4_license_scan, op5_pii, op6_minhash_near_dedup, op7_decontamination, op8_chat_formatting, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_topk_search, op4_license_scan, op5_pii, op6_minhash_near_dedup, op7_decontamination, op8_chat_formatting, op9_toxicity, op10_suffix_array_dedup)}
 ORACLES: dict[str, str] = {}
