@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,26 +44,35 @@ def shared_folder(spark: SparkSession) -> str:
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+def staged(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back; staged tables in `done` are then deleted.
 
     This cuts the lineage: a lost executor costs no more than its own tasks, and no stage before this
-    one runs again. Shuffle files of the stages before can go once the driver has let go of them.
+    one runs again. Shuffle files of the stages before go once the driver has let go of them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stemma-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     _STAGED.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    for x in done:
+        _delete(spark, x.staged_at)
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clear() -> None:
     for spark, path in _STAGED:
         with contextlib.suppress(Exception):
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
 
 
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

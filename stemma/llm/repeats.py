@@ -112,24 +112,23 @@ def _spans(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1).alias("last"))
 
 
-def _refine(rows: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """One round: rows(core, union, doc_id, first, n) of strings that share a core -> (repeated, open).
+def _refine(rows: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
+    """One round: staged rows(core, union, doc_id, first, n, ...) that share a core -> (repeated, open).
 
     Rows of equal union repeat the first of them. Of what is left, one row a union, those whose core stands
-    in other unions too are still open: some of their strings may be repeated, some not.
+    in other unions too are still open: some of their strings may be repeated, some not. The rows go.
     """
     place = F.struct("doc_id", "first")
-    best = rows.groupBy("core", "union").agg(F.min(place).alias("best"))
-    best = staged(best, "ranks")
+    best = staged(rows.groupBy("core", "union").agg(F.min(place).alias("best")), "ranks")
     joined = rows.join(best, ["core", "union"])
-    repeated = joined.where(place != F.col("best"))
-    several = best.groupBy("core").agg(F.count("*").alias("unions")).where("unions > 1").select("core")
-    open_ = joined.where(place == F.col("best")).join(staged(several, "several"), "core", "left_semi")
-    return _spans(repeated), open_.select("doc_id", "first", "n", *keep)
+    repeated = staged(_spans(joined.where(place != F.col("best"))), "repeated")
+    several = staged(best.groupBy("core").agg(F.count("*").alias("unions")).where("unions > 1").select("core"), "several")
+    open_ = joined.where(place == F.col("best")).join(several, "core", "left_semi").select("doc_id", "first", "n", keep)
+    return repeated, staged(open_, "open", rows, best, several)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """Spans (doc_id, start, last): strings of `length` bytes begin at start to last that also begin earlier.
+    """doc_id, spans: where strings of `length` bytes begin, from start to last, that also begin earlier.
 
     Prefix doubling over every byte would sort each position several times over. Here positions are sampled
     by content first, and ranked at growing lengths, by pairs (rank of what a row's strings have in common,
@@ -159,11 +158,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
 
     found = docs.mapInArrow(seeded, schema + ", a int")
     again = found.groupBy("core").agg(F.count("*").alias("rows")).where("rows > 1").select("core")
-    seeds = staged(found.join(staged(again, "cores"), "core", "left_semi"), "seeds")
-    covered, open_ = _refine(seeds, ("a",))
-    covered = staged(covered, "covered-anchors")
-    open_ = open_.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "a")).alias("runs"))
-    open_ = docs.join(staged(open_, "open"), "doc_id").select("doc_id", "text", "runs")
+    again = staged(again, "cores")
+    covered, open_ = _refine(staged(found.join(again, "core", "left_semi"), "seeds", again), "a")
+    runs = open_.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "a")).alias("runs"))
+    runs = docs.join(runs, "doc_id").select("doc_id", "text", "runs")
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -180,14 +178,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
                 if here.any():
                     yield rows(b, s, blocks(s, part[here], own[here], n[here], a[here]), "each")
 
-    parts = staged(open_.mapInArrow(blocked, schema + ", each array<long>"), "blocks")
+    parts = staged(runs.mapInArrow(blocked, schema + ", each array<long>"), "blocks", open_)
     again = staged(parts.groupBy("core").agg(F.count("*").alias("rows")).where("rows > 1").select("core"), "common")
-    more, open_ = _refine(staged(parts.join(again, "core", "left_semi"), "shared-blocks"), ("each",))
+    more, open_ = _refine(staged(parts.join(again, "core", "left_semi"), "shared-blocks", parts, again), "each")
     single = open_.select("doc_id", "first", F.posexplode(F.slice("each", F.lit(1), F.col("n"))).alias("i", "core"))
-    single = staged(single.select("core", "doc_id", (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("n")), "positions")
+    single = staged(single.select("core", "doc_id", (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("n")), "positions", open_)
     best = single.groupBy("core").agg(F.min(F.struct("doc_id", "first")).alias("best"), F.count("*").alias("rows")).where("rows > 1")
-    last = _spans(single.join(staged(best, "firsts"), "core").where(F.struct("doc_id", "first") != F.col("best")))
-    return covered.unionByName(more).unionByName(last)
+    best = staged(best, "firsts")
+    last = staged(_spans(single.join(best, "core").where(F.struct("doc_id", "first") != F.col("best"))), "repeated", single, best)
+    spans = covered.unionByName(more).unionByName(last)
+    return staged(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "last")).alias("spans")), "spans", covered, more, last)
 
 
 def removed_ranges(spans: np.ndarray, length: int) -> np.ndarray:
@@ -211,7 +211,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     """
     source = narrowed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spans = repeated_spans(source.where("doc_id is not null"), length, seed)
-    spans = staged(spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "last")).alias("spans")), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
