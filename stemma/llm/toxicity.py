@@ -30,8 +30,33 @@ class Vocabulary(NamedTuple):
     chars: np.ndarray
 
 
-def read(texts: list[bytes]) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
-    """Vocabulary, the words of all texts as indices into it, and for each text its first word (one more at the end)."""
+def read(texts: list[bytes], size: int = 1 << 20) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """Vocabulary, the words of all texts as indices into it, and for each text its first word (one more at the end).
+
+    Texts are read in parts of about `size` bytes, whose vocabularies are put together.
+    """
+    parts, part, total = [], [], 0
+    for t in texts:
+        part.append(t)
+        total += len(t)
+        if total >= size:
+            parts.append(_read(part))
+            part, total = [], 0
+    if part or not parts:
+        parts.append(_read(part))
+    if len(parts) == 1:
+        return parts[0][1:]
+    known, at, new = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    del known
+    words = Vocabulary(np.concatenate([p[1].word for p in parts])[at], np.concatenate([p[1].chars for p in parts])[at])
+    shift = np.cumsum([0, *(len(p[0]) for p in parts)])
+    index = np.concatenate([new[shift[k] : shift[k + 1]][p[2]] for k, p in enumerate(parts)])
+    begin = np.cumsum([0, *(len(p[2]) for p in parts)])
+    first = np.concatenate([*(p[3][:-1] + b for p, b in zip(parts, begin, strict=False)), begin[-1:]])
+    return words, index.astype(np.int32), first
+
+
+def _read(texts: list[bytes]) -> tuple[np.ndarray, Vocabulary, np.ndarray, np.ndarray]:
     low = lowered(texts)
     raw = np.frombuffer(b" ".join(low) + b" ", np.uint8)
     inside = _IS_WORD[raw]
@@ -43,15 +68,15 @@ def read(texts: list[bytes]) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
     hashes = mix(range_hashes(sums, start, end) + (end - start).astype(np.uint64))
     known, at, index = np.unique(hashes, return_index=True, return_inverse=True)
     start, size = start[at], (end - start)[at]
-    chars = np.full((len(known), len(PREFIXES) + len(SUFFIXES)), -1, np.int64)
+    chars = np.full((len(known), len(PREFIXES) + len(SUFFIXES)), -1, np.int32)
     for j, (n, tail) in enumerate([(n, False) for n in PREFIXES] + [(n, True) for n in SUFFIXES]):
         has = np.flatnonzero(size >= n)
         a = start[has] + (size[has] - n if tail else 0)
         salt = np.uint64(2 * n + tail)
-        chars[has, j] = (mix(range_hashes(sums, a, a + n) + salt) % np.uint64(CHAR_ROWS)).astype(np.int64)
+        chars[has, j] = (mix(range_hashes(sums, a, a + n) + salt) % np.uint64(CHAR_ROWS)).astype(np.int32)
     ends = np.cumsum([len(x) + 1 for x in low]) if texts else np.zeros(0, np.int64)
     first = np.searchsorted(edge[::2], np.concatenate([[0], ends]))
-    return Vocabulary((known % np.uint64(WORD_ROWS)).astype(np.int64), chars), index.reshape(-1), first
+    return known, Vocabulary((known % np.uint64(WORD_ROWS)).astype(np.int32), chars), index.reshape(-1), first
 
 
 def windows(index: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +86,7 @@ def windows(index: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     text = np.repeat(np.arange(len(size)), count)
     k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     at = k[:, None] * STRIDE + np.arange(WINDOW)
-    out = np.full(at.shape, -1, np.int64)
+    out = np.full(at.shape, -1, np.int32)
     here = at < size[text][:, None]
     out[here] = index[(first[text][:, None] + at)[here]]
     return out, text
@@ -171,7 +196,7 @@ class Network:
         return g
 
     def all_logits(self, words: Vocabulary, ids: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.logits(words, ids[i : i + 4096]) for i in range(0, len(ids), 4096)] or [np.zeros(0)])
+        return np.concatenate([self.logits(*_subset(words, ids[i : i + 4096])) for i in range(0, len(ids), 4096)] or [np.zeros(0)])
 
 
 def features(logit: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
@@ -206,10 +231,14 @@ def _subset(words: Vocabulary, ids: np.ndarray) -> tuple[Vocabulary, np.ndarray]
 
 
 def _log_odds(rows: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """How much likelier a row of a table is in toxic documents; rare rows count less."""
-    pairs = np.unique(np.column_stack([doc, rows]), axis=0)
-    a = np.bincount(pairs[label[pairs[:, 0]] == 1, 1], minlength=size)
-    b = np.bincount(pairs[label[pairs[:, 0]] == 0, 1], minlength=size)
+    """How much likelier the rows of a table are in toxic documents; rare rows count less. -1: no row."""
+    a, b = np.zeros(size), np.zeros(size)
+    for column in rows.T:
+        has = column >= 0
+        key = np.unique(doc[has].astype(np.int64) * size + column[has])
+        toxic = label[key // size] == 1
+        a += np.bincount(key[toxic] % size, minlength=size)
+        b += np.bincount(key[~toxic] % size, minlength=size)
     prior = label.mean()
     return np.log((a + 2 * prior) / (b + 2 * (1 - prior))) - np.log(prior / (1 - prior))
 
@@ -235,12 +264,12 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Network |
         if not learn[y == c].any():
             learn[np.flatnonzero(y == c)[0]] = True
     doc = np.repeat(np.arange(len(y)), np.diff(first))
-    mine = learn[doc]
-    net.p["word"][:, 0] = 0.3 * _log_odds(words.word[index[mine]], doc[mine], y, WORD_ROWS)
-    chars = words.chars[index[mine]]
-    flat = chars >= 0
-    net.p["char"][:, 0] = 0.3 * _log_odds(chars[flat], np.repeat(doc[mine], flat.sum(1)), y, CHAR_ROWS)
-    guess = np.where(ids >= 0, np.maximum(net.vectors(words)[0][:, [0, DIM]].sum(1), 0)[ids], 0)
+    once = np.unique(doc[learn[doc]].astype(np.int64) * len(words.word) + index[learn[doc]])  # a text's distinct words
+    doc, word = once // len(words.word), once % len(words.word)
+    net.p["word"][:, 0] = 0.3 * _log_odds(words.word[word][:, None], doc, y, WORD_ROWS)
+    net.p["char"][:, 0] = 0.3 * _log_odds(words.chars[word], doc, y, CHAR_ROWS)
+    odd = np.concatenate([net.vectors(Vocabulary(*(x[i : i + 50_000] for x in words)))[0][:, [0, DIM]].sum(1) for i in range(0, len(words.word), 50_000)])
+    guess = np.where(ids >= 0, np.maximum(odd, 0).astype(np.float32)[ids], 0)
     score = np.sort(guess, 1)[:, -3:].sum(1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, rare = 0, min(4.0, (1 - y[learn].mean()) / y[learn].mean())
