@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemma.llm.common import narrowed, short_batches, slices, staged, table, text_bytes
@@ -17,7 +18,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: 24 bands of 4: a pair at the threshold shares no band with a probability of (1 - 0.8 ** 4) ** 24, 3 in a million.
 BANDS, ROWS = 24, 4
 #: Texts that a verifying task compares, and texts they are compared with.
-BLOCK_X, BLOCK_Y, GROUP_Y = 128, 2048, 1024
+BLOCK_X, BLOCK_Y, GROUP_Y = 128, 512, 1024
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
@@ -73,11 +74,21 @@ def bands(signature: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.nda
     return h.view(np.int64)
 
 
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two multisets, each as sorted hashes and their counts."""
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def overlap(a: Bag, b: Bag) -> int:
+    """Size of the intersection of two multisets, each as sorted hashes and their counts."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return int(np.minimum(a[1][i], b[1][j]).sum())
+
+
+def excess(a: Bag, b: Bag) -> Bag:
+    """What b has beyond a."""
+    count = b[1].copy()
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = int(np.minimum(a[1][i], b[1][j]).sum())
-    return shared / max(1, int(a[1].sum() + b[1].sum()) - shared)
+    count[j] -= a[1][i]
+    return b[0][count > 0], count[count > 0]
 
 
 def _bags(texts: list[bytes], shingle: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -86,8 +97,8 @@ def _bags(texts: list[bytes], shingle: int) -> list[tuple[np.ndarray, np.ndarray
     return [(h[a:z], n[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """pairs(near, x, y) and bodies(id, text) -> x, y, similarity.
+def verified(pairs: DataFrame, bodies: DataFrame, shingle: int = SHINGLE, beyond: bool = False) -> DataFrame:
+    """pairs(near, x, y) and bodies(id, text) -> x, y, shared, nx, ny, and what y has beyond x (if asked for).
 
     Pairs with one `near` are dealt out in blocks of BLOCK_X times BLOCK_Y texts, so a text goes once to each
     block that needs it, not once a pair, and a `near` with very many pairs fills many blocks.
@@ -96,23 +107,56 @@ def verified(pairs: DataFrame, bodies: DataFrame, shingle: int = SHINGLE) -> Dat
     sizes = staged(sizes, "sizes")
     groups = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // GROUP_Y))
     block = F.xxhash64("near", F.pmod(F.xxhash64("x"), F.col("nx")), F.pmod(F.xxhash64("y", F.lit(1)), F.col("ny")))
-    dealt = staged(pairs.join(sizes, "near").select(F.pmod(block, F.lit(groups)).alias("g"), "x", "y").distinct(), "dealt")
+    dealt = staged(pairs.join(sizes, "near").select(F.pmod(block, F.lit(groups)).alias("g"), "x", "y").distinct(), "dealt", sizes)
     left = dealt.select("g", F.col("x").alias("id")).distinct().join(bodies, "id").select("g", "id", "text")
     bodies = bodies.select(F.col("id").alias("y"), F.col("text").alias("body"))
     right = dealt.groupBy(F.col("g").alias("h"), "y").agg(F.collect_set("x").alias("xs")).join(bodies, "y").select("h", "y", "xs", "body")
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int32())]))
 
     def compare(xs: pa.Table, ys: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple] = []
         if xs.num_rows and ys.num_rows:
             raw = lambda column: [x.encode() for x in column.to_pylist()]
             bag = dict(zip(xs.column("id").to_pylist(), _bags(raw(xs.column("text")), shingle), strict=True))
             for first in range(0, ys.num_rows, 256):
                 part = ys.slice(first, 256)
                 for y, wanted, own in zip(part.column("y").to_pylist(), part.column("xs").to_pylist(), _bags(raw(part.column("body")), shingle), strict=True):
-                    out += [(x, y, overlap(bag[x], own)) for x in wanted]
-        return pa.table({"x": pa.array([r[0] for r in out], pa.int64()), "y": pa.array([r[1] for r in out], pa.int64()), "similarity": pa.array([r[2] for r in out], pa.float64())})
+                    for x in wanted:
+                        more = [{"h": int(h), "c": int(c)} for h, c in zip(*(a.view(np.int64) for a in excess(bag[x], own)), strict=True)] if beyond else []
+                        out.append((x, y, overlap(bag[x], own), int(bag[x][1].sum()), int(own[1].sum()), more))
+        cols = [pa.array([r[k] for r in out], pa.int64()) for k in range(5)]
+        return pa.Table.from_arrays([*cols, pa.array([r[5] for r in out], kind)], ["x", "y", "shared", "nx", "ny", "beyond"])
 
-    return left.groupBy("g").cogroup(right.groupBy("h")).applyInArrow(compare, "x long, y long, similarity double")
+    return left.groupBy("g").cogroup(right.groupBy("h")).applyInArrow(compare, "x long, y long, shared long, nx long, ny long, beyond array<struct<h:long,c:int>>")
+
+
+def _open_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """members(c, id, component, shared, n, beyond) -> near, x, y: pairs of unlike component that may be near.
+
+    All members of c have been compared with the text c. Near texts share at least threshold / (1 + threshold)
+    of both sizes together. Inside c two members share at most the lesser of what each shares with c, and
+    pairs with nothing in common beyond c mostly fall by that. What a member must share with another beyond
+    c is at least threshold * n - shared, whatever the other's size; so, with all its shingles beyond c
+    ordered from the rarest on, one of those before the last so many must be in the other too: pairs come
+    from an equality join on these prefixes, which hardly ever hold a common passage.
+    """
+    share = threshold / (1 + threshold) - 1e-9
+    main = members.groupBy("c", "component").agg(F.count("*").alias("k")).groupBy("c").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"))
+    rest = staged(members.join(staged(main.where("parts > 1").select("c", "main"), "main"), "c").withColumn("stray", F.col("component") != F.col("main")), "rest")
+    name = lambda df, a: df.select("c", *[F.col(k).alias(k + a) for k in ("id", "component", "shared", "n", "stray")], *[k for k in ("h",) if k in df.columns])
+    apart = (F.col("component1") != F.col("component2")) & (~F.col("stray2") | (F.col("id1") < F.col("id2")))
+    inside, least = F.least("shared1", "shared2"), share * (F.col("n1") + F.col("n2"))
+    plain = name(rest.where("stray"), "1").join(name(rest, "2"), "c").where(apart & (inside >= least))
+    own = rest.select("c", "id", "component", "shared", "n", "stray", F.explode("beyond").alias("b")).select("*", "b.h", F.col("b.c").alias("k")).drop("b")
+    own = own.join(staged(own.groupBy("c", "h").agg(F.count("*").alias("times")), "times"), ["c", "h"])
+    text = W.partitionBy("c", "id")
+    before = F.coalesce(F.sum("k").over(text.orderBy("times", "h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    need = F.greatest(F.lit(1), F.ceil(threshold * F.col("n") - F.col("shared") - 1e-6))
+    own = own.withColumn("prefix", before <= F.sum("k").over(text) - need).where("prefix and times > 1")
+    own = staged(own.drop("k", "times", "prefix"), "beyond")
+    both = name(own.where("stray"), "1").join(name(own, "2"), ["c", "h"]).where(apart)
+    out = plain.select("c", "id1", "id2").unionByName(both.select("c", "id1", "id2"))
+    return out.groupBy(F.col("id1").alias("x"), F.col("id2").alias("y")).agg(F.min("c").alias("near")).select("near", "x", "y")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
@@ -123,10 +167,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
 
     Texts are banded by BagMinHash. Pairs of a bucket are not spelt out. First each bucket, and each finer one
     of two or four bands together, compares its members with the one that meets most others, and what is
-    linked becomes a component. Then, only where a bucket still holds several components, members outside its
-    largest one are compared with the others, unless the triangle inequality of the Jaccard distance to the
-    bucket's centre rules the pair out. So every pair that shares a band is compared, implied by other
-    links, or ruled out.
+    linked becomes a component. Then, only where a bucket still holds several components, pairs of different
+    ones are compared unless what they share with the bucket's centre, and with each other beyond it, shows
+    that they cannot be near. So every pair that shares a band is compared, implied by links, or ruled out.
 
     Null counts as empty; empty texts are equal texts, and texts without words are near no other text. Rows
     that repeat a doc_id get one row each, with the class of its least text. Rows with a null doc_id get
@@ -171,23 +214,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     for width in (2, 4):
         stars = stars.unionByName(centred(width))
     pairs = stars.where("id <> centre").select(F.col("centre").alias("near"), F.col("centre").alias("x"), F.col("id").alias("y")).distinct()
-    known = staged(verified(staged(pairs, "stars"), bodies, shingle), "known")
-    links = known.where(F.col("similarity") >= threshold).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    known = verified(staged(pairs, "stars"), bodies, shingle).select("x", "y", (F.col("shared") >= threshold * (F.col("nx") + F.col("ny") - F.col("shared"))).alias("linked"))
+    links = staged(known.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")), "links")
     part = staged(components(links), "components")
 
-    members = centred(1).join(part, F.col("id") == F.col("node"), "left").select("bucket", "id", "centre", F.coalesce("component", "id").alias("component"))
-    far = known.select(F.col("x").alias("centre"), F.col("y").alias("id"), (1 - F.col("similarity")).alias("far"))
-    members = members.join(far, ["centre", "id"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-    members = staged(members, "members")
-    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    open_ = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1")
-    rest = staged(members.join(staged(open_, "open"), "bucket").withColumn("stray", F.col("component") != F.col("main")), "rest")
-    a = rest.where("stray").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("far").alias("fx"), F.col("centre").alias("near"))
-    b = rest.where("id <> centre").select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("far").alias("fy"), "stray")
-    apart = (F.col("cx") != F.col("cy")) & (~F.col("stray") | (F.col("x") < F.col("y"))) & (F.abs(F.col("fx") - F.col("fy")) <= (1 - threshold) + 1e-9)
-    more = a.where("x <> near").join(b, "bucket").where(apart).groupBy("x", "y").agg(F.min("near").alias("near")).select("near", "x", "y")
-    more = verified(staged(more, "strays"), bodies, shingle).where(F.col("similarity") >= threshold).select(F.col("x").alias("u"), F.col("y").alias("v"))
-    classes = staged(components(links.unionByName(more)), "classes")
+    # Centres whose members are still in several components, and those members.
+    member = centred(1).select(F.col("centre").alias("c"), "id").distinct().join(part, F.col("id") == F.col("node"), "left").select("c", "id", F.coalesce("component", "id").alias("component"))
+    member = staged(member, "members")
+    several = staged(member.groupBy("c").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("c"), "several")
+    member = staged(member.join(several, "c", "left_semi").where("c <> id"), "open-members")
+    against = verified(member.select(F.col("c").alias("near"), F.col("c").alias("x"), F.col("id").alias("y")), bodies, shingle, True)
+    against = against.select(F.col("x").alias("c"), F.col("y").alias("id"), "shared", F.col("ny").alias("n"), "beyond")
+    more = _open_pairs(staged(member.join(against, ["c", "id"]), "against"), threshold)
+    more = verified(staged(more, "open-pairs"), bodies, shingle).where(F.col("shared") >= threshold * (F.col("nx") + F.col("ny") - F.col("shared")))
+    classes = staged(components(links.unionByName(more.select(F.col("x").alias("u"), F.col("y").alias("v")))), "classes")
 
     ids = rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("text_id"))
     named = ids.join(classes, F.col("text_id") == F.col("node"), "left").select("k1", "k2", "text_id", F.coalesce("component", "text_id").alias("class_id"))
