@@ -50,14 +50,14 @@ class Segments:
         return range_hashes(self.sums, start, end) + (end - start).astype(np.uint64) * _ODD
 
 
-def segments(texts: list[bytes], overlap: int, length: int) -> Iterator[Segments]:
-    """Texts in buffers of bounded size; those longer than SEGMENT in parts that share `overlap` bytes."""
+def segments(texts: list[bytes], overlap: int, length: int, size: int = SEGMENT) -> Iterator[Segments]:
+    """Texts in buffers of bounded size; those longer than `size` in parts that share `overlap` bytes."""
     parts, total = [], 0
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - overlap), SEGMENT):
-            parts.append((i, at, t[at : at + SEGMENT + overlap]))
+        for at in range(0, max(1, len(t) - overlap), size):
+            parts.append((i, at, t[at : at + size + overlap]))
             total += len(parts[-1][2])
-            if total >= SEGMENT:
+            if total >= size:
                 yield Segments(parts, length)
                 parts, total = [], 0
     if parts:
@@ -127,7 +127,7 @@ def _refine(rows: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
     return repeated, staged(open_, "open", rows, best, several)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, segment: int = SEGMENT) -> DataFrame:
     """doc_id, spans: where strings of `length` bytes begin, from start to last, that also begin earlier.
 
     Prefix doubling over every byte would sort each position several times over. Here positions are sampled
@@ -152,7 +152,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            for s in segments(text_bytes(b), length - 1, length):
+            for s in segments(text_bytes(b), length - 1, length, segment):
                 r = anchors(s, seed)
                 yield rows(b, s, r | {"first": r["first"] - s.start[r["part"]]}, "a")
 
@@ -168,9 +168,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
             lists, texts = b.column(2), text_bytes(b)
             first, n, a = (x.to_numpy().astype(np.int64) for x in lists.flatten().flatten())
             doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-            for s in segments(texts, 2 * length + BLOCK, length):
-                key = s.doc * (1 << 24) + s.base // SEGMENT  # a run lies in the part in which it begins
-                run = doc * (1 << 24) + first // SEGMENT
+            for s in segments(texts, 2 * length + BLOCK, length, segment):
+                key = s.doc * (1 << 24) + s.base // segment  # a run lies in the part in which it begins
+                run = doc * (1 << 24) + first // segment
                 part = np.minimum(np.searchsorted(key, run), len(key) - 1)
                 own = first - s.base[part]
                 # a run of another row with the same doc_id may not fit into this text
@@ -200,7 +200,7 @@ def removed_ranges(spans: np.ndarray, length: int) -> np.ndarray:
     return np.column_stack([start[at], end[np.append(at[1:], len(start)) - 1]])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, segment: int = SEGMENT) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_bytes, removed (array of start and end in bytes), kept (binary).
 
     Every byte goes that a string of `length` bytes covers which also starts earlier: in a smaller doc_id or
@@ -210,7 +210,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     each. A null doc_id takes no part: its text is kept. No rows: no rows.
     """
     source = narrowed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(source.where("doc_id is not null"), length, seed)
+    spans = repeated_spans(source.where("doc_id is not null"), length, seed, segment)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
