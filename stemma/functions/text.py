@@ -153,7 +153,8 @@ def excerpt(text: Column, tokens: list[str]) -> Column:
 
 
 def surface_words(text: Column) -> Column:
-    return F.regexp_extract_all(nfc(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits of a text in composed form, see nfc()."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def candidate_queries(words: Column) -> Column:

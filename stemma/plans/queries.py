@@ -398,8 +398,8 @@ def excerpts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT item_id, len(w) AS words, array_to_string(w, ' ') AS first_candidate, 1 + list_sum(list_transform(w, lambda x: length(x) - 1))::BIGINT AS candidates FROM (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w FROM benchmark)")
 def candidate_queries(spark: SparkSession, d: str) -> DataFrame:
     """All ways to cut one word of a query in two."""
-    words = T.surface_words(F.col("text"))
-    items = read(spark, d, "benchmark").select("item_id", words.alias("w")).withColumn("q", T.candidate_queries(F.col("w")))
+    composed = read(spark, d, "benchmark").select("item_id", T.nfc(F.col("text")).alias("text"))
+    items = composed.select("item_id", T.surface_words(F.col("text")).alias("w")).withColumn("q", T.candidate_queries(F.col("w")))
     return items.select("item_id", F.size("w").cast("long").alias("words"), F.element_at("q", 1).alias("first_candidate"), F.size("q").cast("long").alias("candidates"))
 
 
