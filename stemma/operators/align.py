@@ -29,6 +29,8 @@ def page_starts(pages: DataFrame) -> DataFrame:
 def occurrences(needles: DataFrame, pages: DataFrame, shortest: int) -> DataFrame:
     """needles(slug, key, needle) in page_starts(): slug, key, at (0-based place in the work), page_no.
 
+    Needles without a slug are looked for in all works.
+
     Seed and verify: pages give a seed at every k-th place, needles at their first k, so each occurrence of a
     needle of `shortest` characters or more meets in an equality join, and is then compared in full.
     Occurrences may overlap and may run over a page end; they belong to the page where they begin.
@@ -39,16 +41,20 @@ def occurrences(needles: DataFrame, pages: DataFrame, shortest: int) -> DataFram
     hay = hay.select("slug", "page_no", (F.col("start") + F.col("b")).alias("start"), F.least(F.lit(BLOCK), F.col("n") - F.col("b")).alias("n"), F.substring("span", F.col("b") + 1, F.lit(BLOCK + TAIL)).alias("span"))
     places = F.sequence(F.lit(1), F.col("n") + (stride - 1), F.lit(stride))
     hay = hay.select("*", F.explode(places).alias("q")).withColumn("seed", F.substring("span", F.col("q"), F.lit(SEED))).where(F.length("seed") == SEED)
-    seeds = needles.select("slug", "key", "needle", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("o"))
+    seeds = needles.select("*", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("o"))
     seeds = seeds.withColumn("seed", F.substring("needle", F.col("o") + 1, F.lit(SEED)))
-    met = hay.join(seeds, ["slug", "seed"]).withColumn("s", F.col("q") - F.col("o"))
+    met = hay.join(seeds, [*_slug(needles), "seed"]).withColumn("s", F.col("q") - F.col("o"))
     here = (F.col("s") >= 1) & (F.col("s") <= F.col("n")) & (F.substring("span", F.col("s"), F.length("needle")) == F.col("needle"))
     return met.where(here).select("slug", "key", (F.col("start") + F.col("s") - 1).alias("at"), "page_no").distinct()
 
 
+def _slug(df: DataFrame) -> list[str]:
+    return ["slug"] if "slug" in df.columns else []
+
+
 def exact(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """chunks(slug, ord, norm) -> slug, ord, hits, page_no: how often a chunk is in its work, and where first."""
-    keyed = chunks.select("slug", F.col("ord").alias("key"), F.col("norm").alias("needle"))
+    keyed = chunks.select(*_slug(chunks), F.col("ord").alias("key"), F.col("norm").alias("needle"))
     long_ = occurrences(keyed.where(F.length("needle") >= LONG), pages, LONG)
     short = occurrences(keyed.where(F.length("needle").between(SHORT, LONG - 1)), pages, SHORT)
     return long_.unionByName(short).groupBy("slug", F.col("key").alias("ord")).agg(F.count("*").alias("hits"), F.min_by("page_no", "at").alias("page_no"))
@@ -65,7 +71,7 @@ def probes(norm: Column) -> Column:
 
 def fingerprints(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """chunks(slug, ord, norm) -> slug, ord, at, page_no: the least place that a probe's first occurrence implies."""
-    each = chunks.select("slug", "ord", F.explode(probes(F.col("norm"))).alias("p")).select("slug", F.struct("ord", "p.offset").alias("key"), F.col("p.piece").alias("needle"))
+    each = chunks.select(*_slug(chunks), "ord", F.explode(probes(F.col("norm"))).alias("p")).select(*_slug(chunks), F.struct("ord", "p.offset").alias("key"), F.col("p.piece").alias("needle"))
     first = occurrences(each, pages, PROBE).groupBy("slug", "key").agg(F.min("at").alias("at"))
     place = first.groupBy("slug", F.col("key.ord").alias("ord")).agg(F.min(F.greatest(F.lit(0), F.col("at") - F.col("key.offset"))).alias("at"))
     return at_page(place, pages)
@@ -101,13 +107,13 @@ def fuzzy(rows: DataFrame, pages: DataFrame, threshold: float = FUZZY) -> DataFr
 
     Ties go to the page nearest the target, then to the lower one.
     """
-    mine = rows.select("slug", "ord", "target", "from_page", "to_page", F.size(T.grams(F.col("norm"))).alias("total"), F.explode(T.grams(F.col("norm"))).alias("gram"))
+    mine = rows.select(*_slug(rows), "ord", "target", "from_page", "to_page", F.size(T.grams(F.col("norm"))).alias("total"), F.explode(T.grams(F.col("norm"))).alias("gram"))
     # Pages give a row a place, cut from short pieces; what is not in any chunk falls in the join, before the distinct.
     width, piece = 6, 64
     begins = F.sequence(F.lit(1), F.greatest(F.length("txt") - (width - 1), F.lit(1)), F.lit(piece))
     there = pages.where(F.length("txt") > 0).select("slug", "page_no", "txt", F.explode(begins).alias("b")).select("slug", "page_no", F.substring("txt", F.col("b"), F.lit(piece + width - 1)).alias("p"))
     there = there.select("slug", "page_no", "p", F.explode(F.sequence(F.lit(1), F.greatest(F.length("p") - (width - 1), F.lit(1)))).alias("i")).select("slug", "page_no", F.substring("p", F.col("i"), F.lit(width)).alias("gram"))
-    met = mine.join(there, ["slug", "gram"]).where(F.col("page_no").between(F.col("from_page"), F.col("to_page"))).dropDuplicates(["slug", "ord", "page_no", "gram"])
+    met = mine.join(there, [*_slug(rows), "gram"]).where(F.col("page_no").between(F.col("from_page"), F.col("to_page"))).dropDuplicates(["slug", "ord", "page_no", "gram"])
     scored = met.groupBy("slug", "ord", "page_no").agg((F.count("*") / F.first("total")).alias("score"), F.first("target").alias("target"))
     best = W.partitionBy("slug", "ord").orderBy(F.desc("score"), F.abs(F.col("page_no") - F.col("target")), "page_no")
     return scored.withColumn("r", F.row_number().over(best)).where((F.col("r") == 1) & (F.col("score") >= threshold)).select("slug", "ord", "page_no", "score")
@@ -134,8 +140,9 @@ def align(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     Each pass is one set-based step, for within a pass anchors are fixed: unique exact hits and fingerprints;
     fuzzy matches near the anchors; what is left, by a short hit nearby or from the nearest anchor, first one
     with the same label; and last, labels that name one page overrule all but the first two methods.
+    What a later pass reads again is persisted (memory and disk) until the session's cache is cleared.
     """
-    located = page_starts(pages)
+    located = page_starts(pages).persist()
     last = located.groupBy("slug").agg(F.max("page_no").alias("last_page"))
     rows = chunks.withColumn("norm", T.matchable(F.col("text"))).join(last, "slug", "left")
     hits = exact(rows, located)
@@ -144,12 +151,12 @@ def align(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     found = fingerprints(missing, located).select("slug", F.col("ord").cast("int").alias("ord"), F.col("page_no").alias("print_page"))
     rows = rows.join(found, ["slug", "ord"], "left")
     rows = rows.withColumn("alignment", F.when(F.col("hits") == 1, "exact").when(F.col("print_page").isNotNull(), "fingerprint").otherwise("unmapped"))
-    rows = rows.withColumn("page_no", F.when(F.col("hits") == 1, F.col("hit_page")).otherwise(F.col("print_page")))
+    rows = rows.withColumn("page_no", F.when(F.col("hits") == 1, F.col("hit_page")).otherwise(F.col("print_page"))).persist()
 
     rows = neighbours(rows, F.col("alignment") != "unmapped", F.col("last_page"))
     near = fuzzy(rows.where((F.col("alignment") == "unmapped") & (F.length("norm") >= SHORT)), located).select("slug", "ord", F.col("page_no").alias("near_page"))
     rows = rows.drop("prev", "next", "target", "from_page", "to_page").join(near, ["slug", "ord"], "left")
-    rows = rows.withColumn("alignment", F.when(F.col("near_page").isNotNull(), "fuzzy").otherwise(F.col("alignment"))).withColumn("page_no", F.coalesce("near_page", "page_no"))
+    rows = rows.withColumn("alignment", F.when(F.col("near_page").isNotNull(), "fuzzy").otherwise(F.col("alignment"))).withColumn("page_no", F.coalesce("near_page", "page_no")).persist()
 
     rows = neighbours(rows, F.col("alignment") != "unmapped", F.col("last_page"))
     open_ = rows.where((F.col("alignment") == "unmapped") & (F.length("norm") > 0))

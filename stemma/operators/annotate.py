@@ -97,3 +97,17 @@ def chunks(rows: DataFrame, target: int = TARGET) -> DataFrame:
 def carried(events: DataFrame, value: Column, by: str, order: list[str], default: str) -> Column:
     """The last non-null value at or before a row."""
     return F.coalesce(F.last(value, True).over(W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(default))
+
+
+def footnote_places(notes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """notes(slug, member, href, text) whose back-links lead to anchors(slug, member, fragment, original_page).
+
+    A note gets the place of the anchor that its link leads to, and shows it in front of its text. Links
+    are resolved within the archive; a note without an anchor, or one before any marker, stays as it is.
+    """
+    target = T.archive_path(F.col("member"), F.col("href"))
+    asked = notes.withColumn("target", target).withColumn("fragment", F.regexp_extract("href", "#(.*)$", 1))
+    there = anchors.select("slug", F.col("member").alias("target"), "fragment", "original_page").dropDuplicates(["slug", "target", "fragment"])
+    out = asked.join(there, ["slug", "target", "fragment"], "left")
+    shown = F.when(F.coalesce(F.col("original_page"), F.lit(M.DEFAULT_LOCATION)) != M.DEFAULT_LOCATION, F.concat(F.lit("〔"), "original_page", F.lit("〕"), "text"))
+    return out.withColumn("text", F.coalesce(shown, "text")).drop("target", "fragment")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemma.functions import catalogue as C
+from stemma.operators.ranking import numbered
 
 STRINGS = ["title", "original_title", "subtitle", "author", "description", "original_publication"]
 ARRAYS = ["types", "regions", "languages", "tags"]
@@ -62,16 +63,9 @@ def ranked(publications: DataFrame, sort: str = "year-asc", locale: str | None =
     return publications.withColumn("rank", F.row_number().over(W.orderBy(*sort_order(sort, locale))))
 
 
-def ranked_by_year(publications: DataFrame, descending: bool = False, bucket: int = 65_536) -> DataFrame:
-    """ranked() by year for large catalogues: rows are numbered in buckets of `ord`, which counts put in order."""
-    year = C.sort_year(F.col("year"))
-    order = [F.col("y").desc_nulls_last() if descending else F.col("y").asc_nulls_last(), F.col("b")]
-    rows = publications.withColumn("y", year).withColumn("b", F.floor(F.col("ord") / bucket))
-    sizes = rows.groupBy("y", "b").agg(F.count("*").alias("n"))  # a row a year and bucket
-    before = F.coalesce(F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(F.col("y").alias("y2"), F.col("b").alias("b2"), before.alias("before"))
-    rows = rows.join(sizes, F.col("y").eqNullSafe(F.col("y2")) & (F.col("b") == F.col("b2")))
-    return rows.withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("y", "b").orderBy("ord"))).drop("y", "b", "y2", "b2", "before")
+def ranked_by_year(publications: DataFrame, descending: bool = False) -> DataFrame:
+    """ranked() by year for catalogues too large to sort in one task."""
+    return numbered(publications, C.sort_year(F.col("year")), "ord", descending)
 
 
 def page(publications: DataFrame, s: State, locale: str | None = "ja") -> DataFrame:

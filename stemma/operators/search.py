@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemma.functions import text as T
+from stemma.operators.ranking import numbered
 
 FIRST_WORKS, MORE_WORKS, FIRST_SNIPPETS, MORE_SNIPPETS = 6, 20, 10, 20
 MAJOR = "major-work"
@@ -55,11 +56,14 @@ def by_work(matches: DataFrame) -> DataFrame:
 
 
 def works(matches: DataFrame, limit: int | None = None) -> DataFrame:
-    """by_work() with `rank`, by score and then by the works' order."""
+    """by_work() with `rank`, by score and then by the works' order; with a limit, the first of them."""
     out = by_work(matches)
-    order = [F.desc("score"), F.col("first")]
-    out = out.orderBy(*order).limit(limit) if limit else out
-    return out.withColumn("rank", F.row_number().over(W.orderBy(*order))).drop("first")
+    if limit:
+        order = [F.desc("score"), F.col("first")]
+        out = out.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    else:
+        out = numbered(out, F.col("score"), "first", True)
+    return out.drop("first")
 
 
 def counts(found: DataFrame) -> DataFrame:
@@ -103,4 +107,10 @@ def grouped_references(exact: DataFrame, broad: DataFrame, documents: DataFrame)
     slug = F.when(F.col("slug").isNotNull(), F.col("slug")).otherwise(F.raise_error(F.concat(F.lit("unmapped search document: "), "part_id")))
     score = F.coalesce(F.nullif(F.col("broad"), F.lit(0.0)), F.col("score"), F.lit(0.0))
     out = rows.withColumn("slug", slug).groupBy("slug").agg(F.first("record_class").alias("record_class"), F.sum(score).alias("score"), F.min("pos").alias("first"), F.array_sort(F.collect_list("part_index")).alias("parts"))
-    return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "first"))).drop("first")
+    return numbered(out, F.col("score"), "first", True).drop("first")
+
+
+def located(results: DataFrame, page_map: DataFrame) -> DataFrame:
+    """results(slug, anchor, url, ...) with the location, page and order of their block; others are dropped."""
+    keyed = results.withColumn("id", T.block_of(F.col("anchor"), F.col("url")))
+    return keyed.join(page_map.select("slug", "id", "original_page", "pdf_page", "order"), ["slug", "id"])

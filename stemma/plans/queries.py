@@ -244,10 +244,8 @@ def escaped_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _needles(spark: SparkSession, d: str) -> DataFrame:
-    """Every item against every source."""
-    items = read(spark, d, "benchmark").select(F.col("item_id").alias("ord"), T.matchable(F.col("text")).alias("norm"))
-    sources = read(spark, d, "documents").select(F.col("source").alias("slug")).distinct()
-    return items.crossJoin(sources)  # a stated query set against each work
+    """Benchmark items, to be found in every source."""
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("ord"), T.matchable(F.col("text")).alias("norm"))
 
 
 @query(
@@ -283,7 +281,7 @@ def align_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 )
 def align_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """The page of each work with most of an item's 6-grams, all pages in range."""
-    rows = _needles(spark, d).select("slug", "ord", "norm", F.lit(100.0).alias("target"), F.lit(0).alias("from_page"), F.lit(2**31 - 1).alias("to_page"))
+    rows = _needles(spark, d).select("ord", "norm", F.lit(100.0).alias("target"), F.lit(0).alias("from_page"), F.lit(2**31 - 1).alias("to_page"))
     out = align.fuzzy(rows, align.page_starts(tables.pages(spark, d)))
     return out.select("slug", F.col("ord").alias("item_id"), "page_no", F.round("score", 6).alias("score"))
 
@@ -505,3 +503,48 @@ def toc_monotone(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "events").select(F.col("user_id").alias("slug"), F.col("event_id").alias("n"), spine.alias("spine"))
     before = F.lag("spine").over(W.partitionBy("slug").orderBy("n"))
     return rows.withColumn("before", before).where("spine < before").select("slug", "n", "spine")
+
+
+@query(_LITERAL + "SELECT slug, ord, text FROM hit")
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same chunks by way of a gram index."""
+    chunks = search.with_search_text(tables.chunks(spark, d))
+    return search.literal_chunks_by_index(chunks, search.postings(chunks), QUERY).select("slug", "ord", "text")
+
+
+@query(_LITERAL + "SELECT slug, pdf_page, rank FROM (SELECT slug, pdf_page, row_number() OVER (PARTITION BY slug ORDER BY pdf_page) AS rank FROM (SELECT DISTINCT slug, pdf_page FROM hit)) WHERE rank BETWEEN 4 AND 8")
+def snippet_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The next five snippets of each work. A batch is what this operator is for."""
+    rows = search.top_snippets(search.snippets(search.literal_chunks(tables.chunks(spark, d), QUERY)), 5, 3)
+    return rows.select("slug", "pdf_page", F.col("n").cast("long").alias("rank"))
+
+
+@query(
+    CHUNKS
+    + "SELECT slug, ord, 'b' || lpad(ord::VARCHAR, greatest(5, length(ord::VARCHAR))::INT, '0') AS id, original_page, pdf_page FROM chunk WHERE length(ord::VARCHAR) <= 5"
+)
+def located_results(spark: SparkSession, d: str) -> DataFrame:
+    """Block ids of five digits meet the page map; longer ones are no block ids."""
+    chunks = tables.chunks(spark, d)
+    results = chunks.select("slug", "ord", F.lit(None).cast("string").alias("anchor"), F.concat(F.lit("/x/#"), T.block_id(F.col("ord"))).alias("url"))
+    return search.located(results, index.page_map(chunks)).select("slug", "ord", "id", "original_page", "pdf_page")
+
+
+@query(
+    """WITH block AS (SELECT l_orderkey AS slug, l_linenumber AS ord, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 END AS priority, l_returnflag || l_linenumber AS text FROM lineitem)
+    SELECT i.slug, i.ord, arg_min(b.text, b.priority * 1000 + abs(b.ord - i.ord) * 100 + b.ord) AS caption FROM block i JOIN block b ON b.slug = i.slug AND abs(b.ord - i.ord) BETWEEN 1 AND 3 WHERE i.priority IS NULL AND b.priority IS NOT NULL GROUP BY i.slug, i.ord"""
+)
+def nearest_caption(spark: SparkSession, d: str) -> DataFrame:
+    """The caption near an image with the least priority * 10 + distance."""
+    flag = F.col("l_returnflag")
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("slug"), F.col("l_linenumber").alias("ord"), F.when(flag == "A", 1).when(flag == "R", 2).alias("priority"), F.concat(flag, F.col("l_linenumber").cast("string")).alias("text"))
+    return outline.captions(rows, rows.where("priority is null"))
+
+
+@query()
+def align_items(spark: SparkSession, d: str) -> DataFrame:
+    """All alignment passes: every item as a chunk of every source (tests compare the passes with fixtures)."""
+    pages = tables.pages(spark, d)
+    items = read(spark, d, "benchmark").select((F.col("item_id") + 1).cast("int").alias("ord"), F.lit("").alias("original_page"), "text")
+    sources = pages.groupBy("slug").agg(F.lit(1).alias("one"))
+    return align.align(sources.join(items.withColumn("one", F.lit(1)), "one").select("slug", "ord", "original_page", "text"), pages)

@@ -34,7 +34,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as a catalogue of many records."""
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    part = read(spark, sf_dir, "part").join(F.broadcast(nation), F.col("p_partkey") % 25 == F.col("n_nationkey"))  # 25 nations, a fixed table
+    part = read(spark, sf_dir, "part").join(nation, F.col("p_partkey") % 25 == F.col("n_nationkey"))
     k = F.col("p_partkey")
     year = F.when(k % 7 == 0, F.concat((16 + k % 4).cast("string"), F.lit("世紀"))).when(k % 11 == 0, "刊年不詳").otherwise((1566 + (k * 13) % 400).cast("string"))
     return part.select(

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemma.functions import markers as M
-from stemma.functions.text import strip
+from stemma.functions.text import matchable, strip
 
 #: Elements that make a block of text.
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote figcaption caption th td pre".split())
@@ -296,3 +296,11 @@ def page_rows(works: DataFrame) -> DataFrame:
     pages = F.split("page_text", "\f", -1)
     pages = F.when(strip(F.element_at(pages, -1)) == "", F.slice(pages, F.lit(1), F.size(pages) - 1)).otherwise(pages)
     return works.select("slug", F.posexplode(pages).alias("i", "text")).select("slug", (F.col("i") + 1).alias("page_no"), "text")
+
+
+def text_or_scanned(pages: DataFrame, scanned: DataFrame) -> DataFrame:
+    """pages(slug, page_no, text), or for works without any text the pages of `scanned`; `mode` says which."""
+    has = pages.groupBy("slug").agg((F.max(F.length(matchable(F.coalesce("text", F.lit("")))))).alias("n")).where("n > 0").select("slug")
+    own = pages.join(has, "slug", "left_semi").select("slug", "page_no", "text", F.lit("text").alias("mode"))
+    other = scanned.join(pages.select("slug").distinct(), "slug", "left_semi").join(has, "slug", "left_anti").select("slug", "page_no", "text", F.lit("scanned").alias("mode"))
+    return own.unionByName(other)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemma.functions.text import script_json
+
 
 def write_table(df: DataFrame, path: str, *partitions: str, rows_per_file: int = 0) -> None:
     writer = df.write.mode("overwrite").partitionBy(*partitions)
@@ -21,13 +23,12 @@ def page_maps(chunks: DataFrame) -> DataFrame:
 
 def document_map(parts: DataFrame) -> DataFrame:
     """parts(part_id, slug, record_class, part_index) -> one row a fragment: JSON [slug, class, part]."""
-    return parts.select("part_id", F.concat(F.lit("["), F.concat_ws(",", F.to_json(F.array("slug")).substr(F.lit(2), F.length(F.to_json(F.array("slug"))) - 2), F.to_json(F.array("record_class")).substr(F.lit(2), F.length(F.to_json(F.array("record_class"))) - 2), F.col("part_index").cast("string")), F.lit("]")).alias("mapping"))
+    names = F.to_json(F.array("slug", "record_class"))
+    return parts.select("part_id", F.concat(F.left(names, F.length(names) - 1), F.lit(","), F.col("part_index").cast("string"), F.lit("]")).alias("mapping"))
 
 
 def structured_data(publications: DataFrame) -> DataFrame:
     """JSON-LD of publications, safe inside a script element."""
-    from stemma.functions.text import script_json
-
     thing = F.struct(
         F.lit("https://schema.org").alias("@context"),
         F.when(F.col("record_class") == "major-work", "Book").otherwise("ScholarlyArticle").alias("@type"),
@@ -42,3 +43,11 @@ def sitemap(publications: DataFrame, origin: str) -> DataFrame:
     """Address and last change of each publication, by class."""
     folder = F.when(F.col("record_class") == "major-work", "books").otherwise("papers")
     return publications.select(F.concat(F.lit(origin), folder, F.lit("/"), F.col("slug"), F.lit("/")).alias("loc"), F.col("updated").cast("string").alias("lastmod"))
+
+
+def asset_manifest(files: DataFrame, root: str, origin: str) -> DataFrame:
+    """files(path, size, sha256) under `root` -> path, url, size, sha256, with addresses encoded part by part."""
+    path = F.regexp_replace("path", "^(?:file:/*)?/?" + root.strip("/") + "/", "")
+    part = lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))
+    url = F.concat(F.lit(origin), F.array_join(F.transform(F.split("path", "/"), part), "/"))
+    return files.withColumn("path", path).select("path", url.alias("url"), "size", "sha256")

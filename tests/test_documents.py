@@ -241,3 +241,23 @@ def test_incremental_ingest(spark, tmp_path):
         (folder / f"{name}{len(text)}.txt").write_text(text)
         ingest.ingest(ingest.stream(spark, str(folder)), str(tmp_path / "state"), out, read).awaitTermination()
     assert sorted(r.n for r in spark.read.parquet(f"{out}/rows").collect()) == [1, 2, 3]
+
+
+def test_footnotes(spark):
+    notes = spark.createDataFrame([("w", "O/n.xhtml", "../O/a.xhtml#r1", "注一"), ("w", "O/n.xhtml", "a.xhtml#r2", "注二"), ("w", "O/n.xhtml", "#x", "注三")], "slug string, member string, href string, text string")
+    anchors = spark.createDataFrame([("w", "O/a.xhtml", "r1", "原刊 p. 4"), ("w", "O/a.xhtml", "r2", PLACE)], "slug string, member string, fragment string, original_page string")
+    assert sorted(r.text for r in annotate.footnote_places(notes, anchors).collect()) == ["〔原刊 p. 4〕注一", "注三", "注二"]
+
+
+def test_scanned_pages(spark):
+    schema = "slug string, page_no int, text string"
+    pages = spark.createDataFrame([("a", 1, "x"), ("a", 2, ""), ("b", 1, " - "), ("b", 2, None)], schema)
+    scanned = spark.createDataFrame([("a", 1, "no"), ("b", 1, "yes"), ("c", 1, "no")], schema)
+    assert {tuple(r) for r in formats.text_or_scanned(pages, scanned).collect()} == {("a", 1, "x", "text"), ("a", 2, "", "text"), ("b", 1, "yes", "scanned")}
+
+
+def test_asset_manifest(spark):
+    files = spark.createDataFrame([("file:/data/in/a b/c.pdf", 3, "s")], "path string, size long, sha256 string")
+    assert tuple(sinks.asset_manifest(files, "/data/in", "https://h/").first()) == ("a b/c.pdf", "https://h/a%20b/c.pdf", 3, "s")
+    parts = spark.createDataFrame([("ja_1", "w", "major-work", 0)], "part_id string, slug string, record_class string, part_index int")
+    assert sinks.document_map(parts).first().mapping == '["w","major-work",0]'
