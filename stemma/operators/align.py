@@ -17,6 +17,19 @@ PROBE, NEAR_PAGES, MIN_RATE = 16, 2, 0.9
 TAIL, TAIL_PAGES, BLOCK = 512, 16, 1024
 
 
+#: A side of a seed join is broadcast up to so many rows (short strings); how many there are is looked up first.
+BROADCAST_ROWS = 250_000
+
+
+def _met(there: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Join exploded page rows with what is asked for: broadcast if that is checked to be small, by a merge else.
+
+    The pages' side is never broadcast; its size after exploding is far from what a planner expects.
+    """
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return there.join(F.broadcast(asked) if few else asked.hint("merge"), keys)
+
+
 def page_starts(pages: DataFrame) -> DataFrame:
     """pages(slug, page_no, text) -> slug, page_no, txt (for matching), start (0-based), span (txt and what follows)."""
     order = W.partitionBy("slug").orderBy("page_no")
@@ -43,7 +56,7 @@ def occurrences(needles: DataFrame, pages: DataFrame, shortest: int) -> DataFram
     hay = hay.select("*", F.explode(places).alias("q")).withColumn("seed", F.substring("span", F.col("q"), F.lit(SEED))).where(F.length("seed") == SEED)
     seeds = needles.select("*", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("o"))
     seeds = seeds.withColumn("seed", F.substring("needle", F.col("o") + 1, F.lit(SEED)))
-    met = hay.join(seeds, [*_slug(needles), "seed"]).withColumn("s", F.col("q") - F.col("o"))
+    met = _met(hay, seeds, [*_slug(needles), "seed"]).withColumn("s", F.col("q") - F.col("o"))
     here = (F.col("s") >= 1) & (F.col("s") <= F.col("n")) & (F.substring("span", F.col("s"), F.length("needle")) == F.col("needle"))
     return met.where(here).select("slug", "key", (F.col("start") + F.col("s") - 1).alias("at"), "page_no").distinct()
 
@@ -107,13 +120,17 @@ def fuzzy(rows: DataFrame, pages: DataFrame, threshold: float = FUZZY) -> DataFr
 
     Ties go to the page nearest the target, then to the lower one.
     """
-    mine = rows.select(*_slug(rows), "ord", "target", "from_page", "to_page", F.size(T.grams(F.col("norm"))).alias("total"), F.explode(T.grams(F.col("norm"))).alias("gram"))
-    # Pages give a row a place, cut from short pieces; what is not in any chunk falls in the join, before the distinct.
+    mine = rows.select(*_slug(rows), "ord", "target", "from_page", "to_page", T.grams(F.col("norm")).alias("grams"))
+    # Counted before they are spread: above the explode it would be counted again for each of them.
+    mine = mine.select("*", F.size("grams").alias("total")).select(*_slug(rows), "ord", "target", "from_page", "to_page", "total", F.explode("grams").alias("gram"))
+    # Pages give a row a place, cut from short pieces; what is in no chunk falls before the distinct.
     width, piece = 6, 64
     begins = F.sequence(F.lit(1), F.greatest(F.length("txt") - (width - 1), F.lit(1)), F.lit(piece))
     there = pages.where(F.length("txt") > 0).select("slug", "page_no", "txt", F.explode(begins).alias("b")).select("slug", "page_no", F.substring("txt", F.col("b"), F.lit(piece + width - 1)).alias("p"))
     there = there.select("slug", "page_no", "p", F.explode(F.sequence(F.lit(1), F.greatest(F.length("p") - (width - 1), F.lit(1)))).alias("i")).select("slug", "page_no", F.substring("p", F.col("i"), F.lit(width)).alias("gram"))
-    met = mine.join(there, [*_slug(rows), "gram"]).where(F.col("page_no").between(F.col("from_page"), F.col("to_page"))).dropDuplicates(["slug", "ord", "page_no", "gram"])
+    keys = [*_slug(rows), "gram"]
+    there = _met(there, mine.select(keys).distinct(), keys).select("slug", "page_no", "gram").distinct()
+    met = _met(there, mine, keys).where(F.col("page_no").between(F.col("from_page"), F.col("to_page")))
     scored = met.groupBy("slug", "ord", "page_no").agg((F.count("*") / F.first("total")).alias("score"), F.first("target").alias("target"))
     best = W.partitionBy("slug", "ord").orderBy(F.desc("score"), F.abs(F.col("page_no") - F.col("target")), "page_no")
     return scored.withColumn("r", F.row_number().over(best)).where((F.col("r") == 1) & (F.col("score") >= threshold)).select("slug", "ord", "page_no", "score")
@@ -142,7 +159,8 @@ def align(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     with the same label; and last, labels that name one page overrule all but the first two methods.
     What a later pass reads again is persisted (memory and disk) until the session's cache is cleared.
     """
-    located = page_starts(pages).persist()
+    # Dealt by page, so that a work with very many pages is spread over tasks.
+    located = page_starts(pages).repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slug", "page_no").persist()
     last = located.groupBy("slug").agg(F.max("page_no").alias("last_page"))
     rows = chunks.withColumn("norm", T.matchable(F.col("text"))).join(last, "slug", "left")
     hits = exact(rows, located)
