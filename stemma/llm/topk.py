@@ -166,11 +166,9 @@ def top_k(vectors: DataFrame, queries: F.Column, k: int = 10, scale: float = SCA
         rows = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
         return pa.table({"query_id": pa.array(rows[0].astype(np.int64)), "vec_id": pa.array(rows[1].astype(np.int64)), "score": pa.array(rows[2].astype(np.int64))})
 
-    salted = F.lit(0)
-    for p, r, s in zip(pivot, ring, salts, strict=True):
-        if s > 1:
-            salted = F.when((F.col("pivot") == int(p)) & (F.col("ring") == int(r)), F.pmod(F.xxhash64("vec_id", "dist"), F.lit(int(s)))).otherwise(salted)
-    blocks = index.select("pivot", "ring", salted.cast("int").alias("salt"), "vec_id", "dist", "vec")
+    shapes = spark.createDataFrame([(int(p), int(r), int(n)) for p, r, n in zip(pivot, ring, salts, strict=True)], "pivot int, ring int, salts int")
+    blocks = index.join(F.broadcast(shapes), ["pivot", "ring"])  # at most PIVOTS * (RINGS + 1) rows
+    blocks = blocks.select("pivot", "ring", F.pmod(F.xxhash64("vec_id", "dist"), F.col("salts")).cast("int").alias("salt"), "vec_id", "dist", "vec")
     blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(int(query_salts) - 1))))
     asking = index.where("asks").select("vec_id", "vec").dropDuplicates(["vec_id", "vec"])
     keys = ["pivot", "ring", "salt", "part"]
