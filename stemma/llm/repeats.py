@@ -120,11 +120,13 @@ def _refine(rows: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
     """
     place = F.struct("doc_id", "first")
     best = staged(rows.groupBy("core", "union").agg(F.min(place).alias("best")), "ranks")
-    joined = rows.join(best, ["core", "union"])
-    repeated = staged(_spans(joined.where(place != F.col("best"))), "repeated")
-    several = staged(best.groupBy("core").agg(F.count("*").alias("unions")).where("unions > 1").select("core"), "several")
-    open_ = joined.where(place == F.col("best")).join(several, "core", "left_semi").select("doc_id", "first", "n", keep)
-    return repeated, staged(open_, "open", rows, best, several)
+    ranked = rows.join(best, ["core", "union"]).select("core", "doc_id", "first", "n", keep, (place == F.col("best")).alias("first_of_union"))
+    ranked = staged(ranked, "ranked", rows, best)
+    repeated = staged(_spans(ranked.where("not first_of_union")), "repeated")
+    firsts = ranked.where("first_of_union")
+    several = staged(firsts.groupBy("core").agg(F.count("*").alias("unions")).where("unions > 1").select("core"), "several")
+    open_ = firsts.join(several, "core", "left_semi").select("doc_id", "first", "n", keep)
+    return repeated, staged(open_, "open", ranked, several)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, segment: int = SEGMENT) -> DataFrame:
