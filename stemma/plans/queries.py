@@ -524,12 +524,26 @@ def snippet_batch(spark: SparkSession, d: str) -> DataFrame:
     + "SELECT slug, ord, 'b' || lpad(ord::VARCHAR, greatest(5, length(ord::VARCHAR))::INT, '0') AS id, original_page, pdf_page FROM chunk WHERE length(ord::VARCHAR) <= 5"
 )
 def located_results(spark: SparkSession, d: str) -> DataFrame:
-    """Block ids of five digits meet the page map; longer ones are no block ids."""
+    """Block ids of five digits meet the page map; longer ones are no block ids. These are a few lines of document 0; located_chunks has all."""
     chunks = tables.chunks(spark, d)
     results = chunks.select("slug", "ord", F.lit(None).cast("string").alias("anchor"), F.concat(F.lit("/x/#"), T.block_id(F.col("ord"))).alias("url"))
     return search.located(results, index.page_map(chunks)).select("slug", "ord", "id", "original_page", "pdf_page")
 
 
+@query(
+    CHUNKS
+    + """, numbered AS (SELECT slug || '/' || pdf_page || '/' || (ord - pdf_page * 100000) // 99999 AS slug, (ord - pdf_page * 100000) % 99999 + 1 AS ord, original_page, pdf_page FROM chunk)
+    SELECT slug, ord, 'b' || lpad(ord::VARCHAR, 5, '0') AS id, original_page, pdf_page FROM numbered"""
+)
+def located_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk meets the page map. Block ids count from 1 in each document, or in each 99,999 lines of it, so that all have five digits."""
+    line = F.col("ord") - F.col("pdf_page") * 100_000
+    work = F.concat_ws("/", "slug", F.col("pdf_page").cast("string"), F.floor(line / 99_999).cast("string"))
+    chunks = tables.chunks(spark, d).withColumns({"slug": work, "ord": line % 99_999 + 1})
+    results = chunks.select("slug", "ord", F.lit(None).cast("string").alias("anchor"), F.concat(F.lit("/x/#"), T.block_id(F.col("ord"))).alias("url"))
+    return search.located(results, index.page_map(chunks)).select("slug", "ord", "id", "original_page", "pdf_page")
+
+
 @query(
     """WITH block AS (SELECT l_orderkey AS slug, l_linenumber AS ord, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 END AS priority, l_returnflag || l_linenumber AS text FROM lineitem)
     SELECT i.slug, i.ord, arg_min(b.text, b.priority * 1000 + abs(b.ord - i.ord) * 100 + b.ord) AS caption FROM block i JOIN block b ON b.slug = i.slug AND abs(b.ord - i.ord) BETWEEN 1 AND 3 WHERE i.priority IS NULL AND b.priority IS NOT NULL GROUP BY i.slug, i.ord"""
