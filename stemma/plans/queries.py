@@ -236,10 +236,19 @@ def gram_sets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, replace(replace(replace(replace(replace(substring(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') AS html FROM documents")
 def escaped_html(spark: SparkSession, d: str) -> DataFrame:
-    """C13, on the first 200 characters, as an excerpt has them."""
+    """C13, on the first 200 characters, as an excerpt has them; escaped_html_whole has whole texts."""
     return read(spark, d, "documents").select("doc_id", T.escape_html(F.substring("text", 1, 200)).alias("html"))
 
 
+@query(
+    "SELECT doc_id, length(html)::BIGINT AS chars, sha256(html) AS sha256 FROM (SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') AS html FROM documents)"
+)
+def escaped_html_whole(spark: SparkSession, d: str) -> DataFrame:
+    """C13, on whole texts: length and digest."""
+    html = read(spark, d, "documents").select("doc_id", T.escape_html(F.col("text")).alias("html"))
+    return html.select("doc_id", F.length("html").cast("long").alias("chars"), F.sha2("html", 256).alias("sha256"))
+
+
 # ---------------------------------------------------------------- alignment
 
 

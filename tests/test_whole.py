@@ -1,5 +1,7 @@
 """Queries that do the whole job: no row, text or record is left out, however many there are."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from stemma.plans import tables
@@ -17,3 +19,10 @@ def test_long_documents_are_located(spark, tmp_path):
     rows = QUERIES["located_chunks"](spark, str(tmp_path))
     assert rows.count() == rows.select("slug", "id").distinct().count() == 100_007
     assert {(r.slug, r.id) for r in rows.where("pdf_page = 8").collect()} == {("src1/8/0", "b00001"), ("src1/8/0", "b00003")}
+
+
+def test_whole_texts_are_escaped(spark, tmp_path):
+    text = "x" * 1000 + "<a & \"b\" 'c'>" + "y" * 1000 + "&"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    html = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&#039;")
+    assert [tuple(r) for r in QUERIES["escaped_html_whole"](spark, str(tmp_path)).collect()] == [(1, len(html), hashlib.sha256(html.encode()).hexdigest())]
