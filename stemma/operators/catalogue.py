@@ -15,6 +15,8 @@ STRINGS = ["title", "original_title", "subtitle", "author", "description", "orig
 ARRAYS = ["types", "regions", "languages", "tags"]
 FACETS = {"types": 3, "regions": 4, "languages": 1, "tags": 2}
 PER_PAGE = (6, 12, 24)
+#: Related records: up to so many values a record has a row for each set of them; and parts of a set's rows.
+SET_VALUES, SET_PARTS = 10, 8
 
 
 class State(NamedTuple):
@@ -122,22 +124,46 @@ def author_groups(publications: DataFrame) -> DataFrame:
 def related(publications: DataFrame, top: int = 3, locale: str | None = None) -> DataFrame:
     """slug, rank, related, score: the records that share most facets, by weight; then by year, then by order.
 
-    Shared values come from an equality join; repeated values of the record itself count each. Records that
-    share nothing may fill up the places: for those it is enough to look at the first few of the whole
-    catalogue, as many as could be taken by better ones.
+    Repeated values of the record itself count each. Records that share nothing may fill up the places: for
+    those it is enough to look at the first few of the whole catalogue, as many as could be taken by better ones.
+
+    A value may be shared by much of the catalogue, so its records are not paired. Each record has a row for
+    each set of its values, and of the records with a set only the first top + 1 are kept: whoever comes later
+    among those that share just this set with a record has `top` others before it, which share as much or more.
+    What a pair shares is its best set: for all that get a place that set is among those met. Only records
+    with more than SET_VALUES values, which would have too many sets, are paired with all that share a value.
     """
     weight = F.element_at(F.create_map(*[F.lit(x) for p in FACETS.items() for x in p]), F.col("facet"))
     mine = publications.select("slug", F.explode(F.flatten(F.array(*[_pairs(c, F.col(c)) for c in FACETS]))).alias("p")).select("slug", "p.*")
-    other = publications.select(F.col("slug").alias("related"), F.explode(F.flatten(F.array(*[_pairs(c, F.array_distinct(c)) for c in FACETS]))).alias("p")).select("related", "p.*")
     mine = mine.groupBy("slug", "facet", "value").agg(F.count("*").alias("times"))
-    scored = mine.join(other, ["facet", "value"]).where("slug <> related").groupBy("slug", "related").agg(F.sum(F.col("times") * weight).alias("score"))
+    value = F.struct(F.xxhash64("facet", "value").alias("a"), F.xxhash64(F.lit(7), "facet", "value").alias("b"), (F.col("times") * weight).alias("score"))
     year = C.sort_year(F.col("year"))
-    keys = publications.select(F.col("slug").alias("related"), year.alias("y"), "ord")
+    keys = publications.select("slug", year.alias("y"), "ord")
+    whole = mine.where("value is not null").groupBy("slug").agg(F.collect_list(value).alias("own")).join(keys, "slug")
+
+    # Pairs of records with few values, by sets: a set's key is the exclusive or of two hashes of its values.
+    none = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("score")))
+    more = lambda s, v: F.struct(s.a.bitwiseXOR(v.a).alias("a"), s.b.bitwiseXOR(v.b).alias("b"), (s.score + v.score).alias("score"))
+    every = F.aggregate("own", none, lambda sets, v: F.concat(sets, F.transform(sets, lambda s: more(s, v))))
+    sets = whole.where(F.size("own") <= SET_VALUES).select("slug", "y", "ord", F.explode(every).alias("s")).where("s.score > 0")
+    sets = sets.select("slug", "y", "ord", "s.*", F.pmod(F.xxhash64("slug"), F.lit(SET_PARTS)).alias("part"))
+    order = W.partitionBy("a", "b").orderBy(F.col("y").asc_nulls_last(), "ord")
+    first = sets.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top + 1)
+    first = first.withColumn("several", F.count("*").over(W.partitionBy("a", "b")) > 1).where("several")
+    first = first.select("a", "b", F.col("slug").alias("related"), F.explode(F.sequence(F.lit(0), F.lit(SET_PARTS - 1))).alias("part"))
+    scored = sets.select("slug", "a", "b", "part", "score").join(first, ["a", "b", "part"]).where("slug <> related").select("slug", "related", "score")
+
+    # Pairs with a record of many values.
+    values = mine.join(whole.select("slug", (F.size("own") > SET_VALUES).alias("wide")), "slug").where("value is not null")
+    other = values.select(F.col("slug").alias("related"), "facet", "value", F.col("wide").alias("wide_too"))
+    one_of = values.where("wide").join(other, ["facet", "value"]).unionByName(values.where("not wide").join(other.where("wide_too"), ["facet", "value"]))
+    wide = one_of.where("slug <> related").groupBy("slug", "related").agg(F.sum(F.col("times") * weight).alias("score"))
+
     leading = publications.orderBy(year.asc_nulls_last(), "ord").limit(top + 1).select(F.col("slug").alias("related"))  # at most top + 1 rows
-    filler = publications.select("slug").crossJoin(F.broadcast(leading)).where("slug <> related")
-    filler = filler.join(scored.select("slug", "related"), ["slug", "related"], "left_anti").withColumn("score", F.lit(0).cast("long"))
+    filler = publications.select("slug").crossJoin(F.broadcast(leading)).where("slug <> related").withColumn("score", F.lit(0).cast("long"))
+    best = scored.unionByName(wide).unionByName(filler).groupBy("slug", "related").agg(F.max("score").alias("score"))
     order = W.partitionBy("slug").orderBy(F.desc("score"), F.col("y").asc_nulls_last(), "ord")
-    out = scored.unionByName(filler).join(keys, "related").withColumn("rank", F.row_number().over(order))
+    out = best.join(keys.withColumnRenamed("slug", "related"), "related").withColumn("rank", F.row_number().over(order))
     return out.where(F.col("rank") <= top).select("slug", "rank", "related", "score")
 
 

@@ -81,7 +81,7 @@ def author_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    """One record a brand and type: a catalogue of fixed size, with arrays of several values."""
+    """One record a brand and type: a catalogue of fixed size, with arrays of several values. related_publications has the whole catalogue."""
     part = read(spark, d, "part")
     words = F.split("p_name", " ")
     small = lambda i, m: F.array_sort(F.collect_set(F.when(F.col("p_size") <= m, F.element_at(words, i))))
@@ -104,6 +104,19 @@ def related_top3(spark: SparkSession, d: str) -> DataFrame:
     return catalogue.related(_records(spark, d)).select("slug", F.col("rank").cast("long").alias("rank"), "related", "score")
 
 
+@query(
+    PUBLICATIONS
+    + """, pair AS (SELECT a.slug, b.slug AS related, b.y, b.ord,
+      4 * len(list_filter(a.regions, lambda x: list_contains(b.regions, x))) + 3 * len(list_filter(a.types, lambda x: list_contains(b.types, x)))
+      + 2 * len(list_filter(a.tags, lambda x: list_contains(b.tags, x))) + len(list_filter(a.languages, lambda x: list_contains(b.languages, x))) AS score
+      FROM pub a JOIN pub b ON a.slug <> b.slug)
+    SELECT slug, rank, related, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY score DESC, y ASC NULLS LAST, ord) AS rank FROM pair) WHERE rank <= 3"""
+)
+def related_publications(spark: SparkSession, d: str) -> DataFrame:
+    """The three closest records of the whole catalogue, one record a part."""
+    return catalogue.related(tables.publications(spark, d)).select("slug", F.col("rank").cast("long").alias("rank"), "related", "score")
+
+
 @query("SELECT p_partkey, len(list_filter(string_split(p_name || ' ' || p_name, ' '), lambda x: list_contains(string_split(p_type || ' ring red', ' '), x))) AS overlap, array_to_string(list_sort(list_distinct(string_split(p_name || ' ' || p_type || ' ' || p_name, ' '))), ' ') AS tags FROM part")
 def multiset_tags(spark: SparkSession, d: str) -> DataFrame:
     """Overlap that counts repeated elements on the left; distinct tags."""

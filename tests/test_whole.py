@@ -1,9 +1,12 @@
 """Queries that do the whole job: no row, text or record is left out, however many there are."""
 
 import hashlib
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from stemma.operators import catalogue
 from stemma.plans import tables
 from stemma.plans.queries import QUERIES
 
@@ -26,3 +29,27 @@ def test_whole_texts_are_escaped(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     html = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&#039;")
     assert [tuple(r) for r in QUERIES["escaped_html_whole"](spark, str(tmp_path)).collect()] == [(1, len(html), hashlib.sha256(html.encode()).hexdigest())]
+
+
+@pytest.mark.parametrize("most", [3, 5])
+def test_related_without_pairs(spark, most, monkeypatch):
+    """Against all pairs, with records of few values and of many."""
+    monkeypatch.setattr(catalogue, "SET_VALUES", 6)
+    r = random.Random(most)
+    some = lambda n: [f"v{r.randrange(n)}" for _ in range(r.randrange(most))]
+    rows = [(f"s{i}", r.choice(["1700", "1650", "?"]), i, some(6), some(4), some(2), some(20)) for i in range(120)]
+    got = {}
+    for x in catalogue.related(spark.createDataFrame(rows, "slug string, year string, ord int, types array<string>, regions array<string>, languages array<string>, tags array<string>")).collect():
+        got.setdefault(x.slug, {})[x.rank] = (x.related, x.score)
+    score = lambda a, b: sum(w * sum(v in b[k] for v in a[k]) for k, w in ((3, 3), (4, 4), (5, 1), (6, 2)))
+    for a in rows:
+        best = sorted((-score(a, b), b[1] == "?", b[1], b[2], b[0]) for b in rows if b is not a)[:3]
+        assert got[a[0]] == {k + 1: (b[4], -b[0]) for k, b in enumerate(best)}
+
+
+def test_related_runs_over_the_whole_catalogue(spark, small):
+    """Every record of the catalogue has its three, and no value's records are paired."""
+    rows = QUERIES["related_publications"](spark, small)
+    assert rows.count() == 3 * tables.publications(spark, small).count()
+    same = spark.range(20_000).select(F.concat(F.lit("s"), "id").alias("slug"), F.lit("1700").alias("year"), F.col("id").alias("ord"), *[F.array(F.lit("v")).alias(c) for c in catalogue.ARRAYS])
+    assert {tuple(r) for r in catalogue.related(same).groupBy("related", "score").count().collect()} == {("s0", 10, 19_999), ("s1", 10, 19_999), ("s2", 10, 19_999), ("s3", 10, 3)}
