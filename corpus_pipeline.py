@@ -21,10 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least doc_id stays; rows without a doc_id stay."""
-    classes = neardup.near_duplicates(docs)
-    first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, docs.doc_id == first.kept_id, "left_semi").dropDuplicates(["doc_id"])
+    """Of each class of near-duplicate texts the one with the least doc_id stays, in one row; rows without a doc_id stay.
+
+    A doc_id on rows with different texts may stay with several.
+    """
+    first = neardup.first_texts(docs).select(F.col("doc_id").alias("_id"), F.col("k1").alias("_f1"), F.col("k2").alias("_f2"))
+    k1, k2 = neardup.text_keys(F.col("text"))
+    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2"))
+    kept = keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", "_k1", "_k2"]).select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -172,14 +172,35 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     that they cannot be near. So every pair that shares a band is compared, implied by links, or ruled out.
 
     Null counts as empty; empty texts are equal texts, and texts without words are near no other text. Rows
-    that repeat a doc_id get one row each, with the class of its least text. Rows with a null doc_id get
-    null ids. No rows: no rows.
+    that repeat a doc_id get one row each, with the class of their own text; classes that meet only in such a
+    doc_id stay apart, though both may be called by it. Rows with a null doc_id get null ids. No rows: no rows.
     """
+    rows, named = _classes(docs, threshold, shingle)
+    out = rows.select("doc_id", "k1", "k2").join(named.select("k1", "k2", "text_id", F.col("first.text_id").alias("class_id")), ["k1", "k2"], "left")
+    known_id = F.col("doc_id").isNotNull()
+    return out.select("doc_id", F.when(known_id, F.col("text_id")).alias("text_id"), F.when(known_id, F.col("class_id")).alias("class_id"))
+
+
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """Two hashes that stand for a text."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
+
+
+def first_texts(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """documents(doc_id, text) -> doc_id, k1, k2: of each class the text with the least doc_id, by text_keys()."""
+    _, named = _classes(docs, threshold, shingle)
+    return named.where(F.struct("text_id", "k1", "k2") == F.col("first")).select(F.col("text_id").alias("doc_id"), "k1", "k2")
+
+
+def _classes(docs: DataFrame, threshold: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, k1, k2, bands), and texts (k1, k2, text_id, first), where first is the least (text_id, k1, k2) of the class."""
     spark = docs.sparkSession
     short_batches(spark)
     text = F.coalesce("text", F.lit(""))
     source = narrowed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    keyed = source.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "text")
+    k1, k2 = text_keys(F.col("text"))
+    keyed = source.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -193,22 +214,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists], ["doc_id", "k1", "k2", "bands"])
 
     rows = staged(keyed.mapInArrow(signed, "doc_id long, k1 long, k2 long, bands array<long>"), "signatures")
-    texts = rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    # A doc_id with several texts is one node: its texts' classes meet in it.
-    texts = staged(texts.where(F.size("bands") > 0), "texts")
+    texts = rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands"))
+    # A text is a node, called by its doc_id; where that is the least of several texts, by its hash.
+    texts = staged(texts, "all-texts")
+    twice = staged(texts.groupBy("text_id").agg(F.count("*").alias("n")).where("n > 1").select("text_id", F.lit(True).alias("twice")), "twice")
+    every = texts.join(twice, "text_id", "left").withColumn("id", F.when(F.col("twice"), F.col("k1")).otherwise(F.col("text_id"))).drop("twice")
+    texts = every.where(F.size("bands") > 0)
     buckets = texts.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
     sizes = staged(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = staged(buckets.join(sizes, "bucket"), "shared")
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
-    several = staged(degree.join(texts, "id").select("id", "degree", "bands"), "several")
-    bodies = staged(source.join(several.select("id"), source.doc_id == several.id, "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text")), "bodies")
+    several = staged(degree.join(texts, "id").select("id", "text_id", "k1", "k2", "degree", "bands"), "several")
+    wanted = several.select("id", F.col("text_id").alias("doc_id"), "k1", "k2")
+    bodies = staged(keyed.join(wanted, ["doc_id", "k1", "k2"]).groupBy("id").agg(F.min("text").alias("text")), "bodies")
 
     def centred(width: int) -> DataFrame:
         """Bucket, member, centre, for runs of `width` bands."""
         run = F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda i: F.xxhash64(i, *[F.element_at("bands", (i + (j - 1)) % BANDS + 1) for j in range(width)]))
         inside = several.select("id", "degree", F.explode(run).alias("bucket"))
-        centre = inside.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("c"), F.count("*").alias("n")).where("n > 1")
-        return inside.join(centre.select("bucket", (-F.col("c.id")).alias("centre")), "bucket").select("bucket", "id", "centre")
+        centre = inside.groupBy("bucket").agg(F.max(F.struct("degree", F.bitwise_not("id").alias("id"))).alias("c"), F.count("*").alias("n")).where("n > 1")
+        return inside.join(centre.select("bucket", F.bitwise_not("c.id").alias("centre")), "bucket").select("bucket", "id", "centre")
 
     stars = centred(1)
     for width in (2, 4):
@@ -229,11 +254,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     more = verified(staged(more, "open-pairs"), bodies, shingle).where(F.col("shared") >= threshold * (F.col("nx") + F.col("ny") - F.col("shared")))
     classes = staged(components(links.unionByName(more.select(F.col("x").alias("u"), F.col("y").alias("v")))), "classes")
 
-    ids = rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("text_id"))
-    named = ids.join(classes, F.col("text_id") == F.col("node"), "left").select("k1", "k2", "text_id", F.coalesce("component", "text_id").alias("class_id"))
-    out = rows.select("doc_id", "k1", "k2").join(staged(named, "named"), ["k1", "k2"], "left")
-    known_id = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.when(known_id, F.col("text_id")).alias("text_id"), F.when(known_id, F.col("class_id")).alias("class_id"))
+    own = F.struct("text_id", "k1", "k2")
+    linked = staged(every.select("id", "text_id", "k1", "k2").join(classes, F.col("id") == F.col("node")).select("k1", "k2", "text_id", "component"), "linked")
+    firsts = linked.groupBy("component").agg(F.min(own).alias("first"))
+    first = linked.join(firsts, "component").select("k1", "k2", "first")
+    named = every.select("k1", "k2", "text_id").join(first, ["k1", "k2"], "left").select("k1", "k2", "text_id", F.coalesce("first", own).alias("first"))
+    return rows, staged(named, "named")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
