@@ -51,10 +51,13 @@ class Segments:
 
 
 def segments(texts: list[bytes], overlap: int, length: int, size: int = SEGMENT) -> Iterator[Segments]:
-    """Texts in buffers of bounded size; those longer than `size` in parts that share `overlap` bytes."""
+    """Texts in buffers of bounded size; those longer than `size` in parts that share `overlap` bytes.
+
+    There is a part for each multiple of `size` where a string of `length` bytes begins, whatever the overlap.
+    """
     parts, total = [], 0
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - overlap), size):
+        for at in range(0, max(1, len(t) - length + 1), size):
             parts.append((i, at, t[at : at + size + overlap]))
             total += len(parts[-1][2])
             if total >= size:
