@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts can be long, so a batch is kept short.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch. Texts can be long, so a batch is kept short.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,57 +24,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: batches by rows and, where Spark knows the setting, by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    with contextlib.suppress(Exception):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    """Bound what a Python worker is sent at once: batches by rows and by bytes. A smaller setting stays."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(re.sub("[^0-9]", "", spark.conf.get(key, None) or "") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, from the session; a folder of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder, from the session. Only on one machine, where none is set, a folder of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
+    if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="stemma-")
     return f"file://{_OWN['dir']}"
 
 
-_STAGED: list[tuple[SparkSession, str]] = []
+_STAGED: dict[str, SparkSession] = {}
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staged(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back; staged tables in `done` are then deleted.
 
     This cuts the lineage: a lost executor costs no more than its own tasks, and no stage before this
-    one runs again. Shuffle files of the stages before go once the driver has let go of them.
+    one runs again. The write's own shuffle files go when it ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stemma-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    _STAGED.append((spark, path))
+    path = f"{shared_folder(spark)}/stemma-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(_FREE_SHUFFLES) if before is None else spark.conf.set(_FREE_SHUFFLES, before)
+    _STAGED[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
-    for x in done:
-        _delete(spark, x.staged_at)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    discard(*done)
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for x in tables:
+        if x.staged_at in _STAGED:
+            _delete(_STAGED.pop(x.staged_at), x.staged_at)
 
 
-@atexit.register
-def _clear() -> None:
-    for spark, path in _STAGED:
-        with contextlib.suppress(Exception):
+def clear_staged() -> None:
+    """Delete all staged tables. Results that were returned read the last of theirs, so these have to be written first."""
+    for path, spark in list(_STAGED.items()):
+        with contextlib.suppress(Exception):  # the session may have ended
             _delete(spark, path)
+        _STAGED.pop(path, None)
+
+
+atexit.register(clear_staged)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -86,7 +106,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 1
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = [len(x) for x in text_bytes(batch, name)]
+        sizes = [n or 0 for n in pc.binary_length(batch.column(batch.schema.get_field_index(name))).to_pylist()]
         first = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > limit:
@@ -96,6 +116,19 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 1
         yield batch.slice(first)
 
 
+def tidy() -> None:
+    """At the end of a task: give memory that is free again back to the system, as the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """What the planner takes the size of a table to be; None where it does not know."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
+
+
 def narrowed(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: others, whatever they are called, never reach an operator."""
     return docs.select(*[docs[n] for n in names])

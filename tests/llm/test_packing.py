@@ -81,3 +81,32 @@ def test_query_has_all_ids(spark, small, name):
     assert (total.n == total.want).all() and len(total) == 200
     used = out.groupby("sequence_id").length.sum()
     assert used.max() <= P.WINDOW and used.sum() / (len(used) * P.WINDOW) > 0.95
+
+
+ODD = ["a", "B", "é", "É", "×", "÷", "ß", "İ", "'s", "'", "don't", "l'été", "<|endoftext|>", "<", "1", "23", " ", "\n", " ", "　", "日本語", "ｶﾞ", "é", "́", ".", ",", "!!!", "\x00", "\x1c", "\x85", "Ω", "ſ", "ﬁ", "🙂", "x" * 40, "É" * 20, "-" * 50, "\t", "ª", "²", "_", "The", "of"]
+
+
+@pytest.mark.parametrize("clashes", [False, True])
+def test_pieces(monkeypatch, clashes):
+    """Ids are those of the tokenizer, though pieces share hashes, the cache is small and texts are cut."""
+    import random
+
+    monkeypatch.setattr(P, "CACHE_PIECES", 60)
+    monkeypatch.setattr(P, "PART_BYTES", 300)
+    if clashes:
+        monkeypatch.setattr(P, "_hash", lambda h, key: (h + key) % np.uint64(50))
+    r = random.Random(5)
+    texts = ["", "  ", *("".join(r.choice(ODD) for _ in range(r.randrange(n))) for n in (3, 12, 60, 400) for _ in range(100))]
+    made = P.PieceIds(P.default_tokenizer())
+    whole = Tokenizer.from_file(P.default_tokenizer())
+    got = [np.frombuffer(x, "<u4").tolist() for k in range(0, len(texts), 7) for x in made.of([t.encode() for t in texts[k : k + 7]])]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("splits", [1, 16, 211])
+def test_fill_by_splits(spark, splits):
+    """Many small input splits waste no more windows than one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(splits)
+    rows = P.pack(docs, P.default_tokenizer(), with_ids=False)
+    tokens, windows = rows.selectExpr("sum(length)", "count(distinct sequence_id)").first()
+    assert tokens / windows / P.WINDOW > 0.95
