@@ -13,11 +13,14 @@ def _sum(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges(u, v) -> node, component (its least node), for all nodes with an edge.
+    """edges(u, v) -> node, component (its least node), for all nodes with an edge to another, as a staged table.
 
     Large-star hangs every greater neighbour on a node's least one, small-star hangs lesser ones there; the
     two alternate until nothing changes, which takes about the logarithm of the longest path. Least
     neighbours are aggregates with partial sums, and a node with many edges is split by the join.
+
+    Edges with a null end, and from a node to itself, count for nothing; repeated ones count once. No edges:
+    no rows.
     """
     edges = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _sum(edges)
@@ -25,14 +28,14 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = staged(large, "large")
+        large = staged(large, "large", edges)
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = staged(small, "small")
+        edges = staged(small, "small", large)
         after = _sum(edges)
         if after == before:
             break
         before = after
     nodes = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
+    return staged(nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct()), "components", edges)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,15 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stemma.llm.common import narrowed, short_batches, slices, staged, table, text_bytes
+from stemma.llm.common import discard, narrowed, short_batches, slices, staged, table, text_bytes, tidy
 from stemma.llm.components import components
 from stemma.llm.words import mix, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 24 bands of 4: a pair at the threshold shares no band with a probability of (1 - 0.8 ** 4) ** 24, 3 in a million.
 BANDS, ROWS = 24, 4
-#: Texts that a verifying task compares, and texts they are compared with.
-BLOCK_X, BLOCK_Y, GROUP_Y = 128, 512, 1024
+#: What a verifying group compares, about: texts and bytes on either side of a block, pairs and bytes of a group.
+BLOCK_X, BLOCK_Y, BLOCK_BYTES = 128, 512, 2 << 20
+GROUP_PAIRS, GROUP_BYTES = 1024, 4 << 20
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
@@ -77,10 +79,18 @@ def bands(signature: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.nda
 Bag = tuple[np.ndarray, np.ndarray]
 
 
+NONE: Bag = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def common(a: Bag, b: Bag) -> Bag:
+    """The intersection of two multisets, each as sorted hashes and their counts."""
+    h, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return h, np.minimum(a[1][i], b[1][j])
+
+
 def overlap(a: Bag, b: Bag) -> int:
-    """Size of the intersection of two multisets, each as sorted hashes and their counts."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    return int(np.minimum(a[1][i], b[1][j]).sum())
+    """Its size."""
+    return int(common(a, b)[1].sum())
 
 
 def excess(a: Bag, b: Bag) -> Bag:
@@ -97,66 +107,101 @@ def _bags(texts: list[bytes], shingle: int) -> list[tuple[np.ndarray, np.ndarray
     return [(h[a:z], n[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, shingle: int = SHINGLE, beyond: bool = False) -> DataFrame:
-    """pairs(near, x, y) and bodies(id, text) -> x, y, shared, nx, ny, and what y has beyond x (if asked for).
+def verified(pairs: DataFrame, bodies: DataFrame, shingle: int = SHINGLE, share: float | None = None) -> DataFrame:
+    """pairs(near, x, y) and bodies(id, text, size) -> x, y, shared, nx, ny, inside, beyond.
 
-    Pairs with one `near` are dealt out in blocks of BLOCK_X times BLOCK_Y texts, so a text goes once to each
-    block that needs it, not once a pair, and a `near` with very many pairs fills many blocks.
+    Pairs with one `near` are dealt out in blocks of about BLOCK_X times BLOCK_Y texts, and fewer where these
+    have more than BLOCK_BYTES on a side. So a text goes once to each block that needs it, not once a pair,
+    and a `near` with very many pairs, or long texts, fills many blocks. A group has a few small blocks or one.
+    With a `share`, `beyond` is what y has and x has not, and `inside` what they have in common, where that is
+    so much of y; else both are empty.
     """
-    sizes = pairs.groupBy("near").agg(F.ceil(F.approx_count_distinct("x") / BLOCK_X).alias("nx"), F.ceil(F.approx_count_distinct("y") / BLOCK_Y).alias("ny"), F.count("*").alias("n"))
-    sizes = staged(sizes, "sizes")
-    groups = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // GROUP_Y))
+    size = bodies.select("id", "size")
+    sized = pairs.join(size.select(F.col("id").alias("x"), F.col("size").alias("sx")), "x").join(size.select(F.col("id").alias("y"), F.col("size").alias("sy")), "y")
+    sized = staged(sized.select("near", "x", "y", "sx", "sy"), "sized")
+    each = sized.groupBy("near").agg(F.approx_count_distinct("x").alias("x"), F.approx_count_distinct("y").alias("y"), F.avg("sx").alias("sx"), F.avg("sy").alias("sy"), F.count("*").alias("n"))
+    parts = lambda k, most: F.ceil(F.greatest(F.col(k) / most, F.col(k) * F.col(f"s{k}") / BLOCK_BYTES))
+    each = each.select("near", "n", parts("x", BLOCK_X).alias("nx"), parts("y", BLOCK_Y).alias("ny"), (F.col("x") * F.col("sx")).alias("bx"), (F.col("y") * F.col("sy")).alias("by"))
+    each = staged(each, "sizes")
+    n, total = each.agg(F.sum("n"), F.sum(F.col("bx") * F.col("ny") + F.col("by") * F.col("nx"))).first()
+    groups = max(1, -(-(n or 0) // GROUP_PAIRS), int(total or 0) // GROUP_BYTES)
     block = F.xxhash64("near", F.pmod(F.xxhash64("x"), F.col("nx")), F.pmod(F.xxhash64("y", F.lit(1)), F.col("ny")))
-    dealt = staged(pairs.join(sizes, "near").select(F.pmod(block, F.lit(groups)).alias("g"), "x", "y").distinct(), "dealt", sizes)
+    dealt = sized.join(each, "near").select(F.pmod(block, F.lit(groups)).alias("g"), "x", "y").distinct()
+    dealt = staged(dealt, "dealt", sized, each)
     left = dealt.select("g", F.col("x").alias("id")).distinct().join(bodies, "id").select("g", "id", "text")
     bodies = bodies.select(F.col("id").alias("y"), F.col("text").alias("body"))
     right = dealt.groupBy(F.col("g").alias("h"), "y").agg(F.collect_set("x").alias("xs")).join(bodies, "y").select("h", "y", "xs", "body")
-    kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int32())]))
+    shared = pa.struct([("h", pa.int64()), ("c", pa.int32())])
+
+    def lists(bags: list[Bag]) -> pa.Array:
+        h, c = (np.concatenate([b[k] for b in bags]) if bags else np.zeros(0, np.uint64) for k in (0, 1))
+        rows = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int32))], fields=list(shared))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(b[0]) for b in bags)]), pa.int32()), rows)
 
     def compare(xs: pa.Table, ys: pa.Table) -> pa.Table:
         out: list[tuple] = []
+        inner: list[Bag] = []
+        outer: list[Bag] = []
         if xs.num_rows and ys.num_rows:
             raw = lambda column: [x.encode() for x in column.to_pylist()]
             bag = dict(zip(xs.column("id").to_pylist(), _bags(raw(xs.column("text")), shingle), strict=True))
-            for first in range(0, ys.num_rows, 256):
-                part = ys.slice(first, 256)
+            for first in range(0, ys.num_rows, 64):
+                part = ys.slice(first, 64)
                 for y, wanted, own in zip(part.column("y").to_pylist(), part.column("xs").to_pylist(), _bags(raw(part.column("body")), shingle), strict=True):
+                    n = int(own[1].sum())
                     for x in wanted:
-                        more = [{"h": int(h), "c": int(c)} for h, c in zip(*(a.view(np.int64) for a in excess(bag[x], own)), strict=True)] if beyond else []
-                        out.append((x, y, overlap(bag[x], own), int(bag[x][1].sum()), int(own[1].sum()), more))
+                        both = common(bag[x], own)
+                        out.append((x, y, int(both[1].sum()), int(bag[x][1].sum()), n))
+                        if share is not None:
+                            inner.append(both if out[-1][2] >= share * n else NONE)
+                            outer.append(excess(bag[x], own))
+        none = [NONE] * len(out)
         cols = [pa.array([r[k] for r in out], pa.int64()) for k in range(5)]
-        return pa.Table.from_arrays([*cols, pa.array([r[5] for r in out], kind)], ["x", "y", "shared", "nx", "ny", "beyond"])
+        return pa.Table.from_arrays([*cols, lists(inner or none), lists(outer or none)], ["x", "y", "shared", "nx", "ny", "inside", "beyond"])
 
-    return left.groupBy("g").cogroup(right.groupBy("h")).applyInArrow(compare, "x long, y long, shared long, nx long, ny long, beyond array<struct<h:long,c:int>>")
+    bags = "array<struct<h:long,c:int>>"
+    return left.groupBy("g").cogroup(right.groupBy("h")).applyInArrow(compare, f"x long, y long, shared long, nx long, ny long, inside {bags}, beyond {bags}")
 
 
 def _open_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """members(c, id, component, shared, n, beyond) -> near, x, y: pairs of unlike component that may be near.
-
-    All members of c have been compared with the text c. Near texts share at least threshold / (1 + threshold)
-    of both sizes together. Inside c two members share at most the lesser of what each shares with c, and
-    pairs with nothing in common beyond c mostly fall by that. What a member must share with another beyond
-    c is at least threshold * n - shared, whatever the other's size; so, with all its shingles beyond c
-    ordered from the rarest on, one of those before the last so many must be in the other too: pairs come
-    from an equality join on these prefixes, which hardly ever hold a common passage.
+    """members(c, id, component, shared, n, inside, beyond) -> near, x, y: pairs of unlike component that may be near.
+
+    All members of c have been compared with the text c: `inside` is what they share with it (where that is
+    enough for a pair by itself), `beyond` the rest of them. Near texts share at least threshold of either,
+    and threshold / (1 + threshold) of both sizes together. Two cases:
+    - With something in common beyond c, that is threshold * n - shared at least, whatever the other's size.
+    - With nothing there, they share that much inside c: no more than the lesser of what each shares with c,
+      so a member's own counts bound the size of the other.
+    In both, with what is left of a member ordered from the rarest shingle on, one of those before the last so
+    many must be in the other too. Pairs come from an equality join on these prefixes, which hardly ever hold
+    a common passage, and in the second case on narrow ranges of sizes too; nothing is paired by c alone.
     """
     share = threshold / (1 + threshold) - 1e-9
     main = members.groupBy("c", "component").agg(F.count("*").alias("k")).groupBy("c").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"))
-    rest = staged(members.join(staged(main.where("parts > 1").select("c", "main"), "main"), "c").withColumn("stray", F.col("component") != F.col("main")), "rest")
-    name = lambda df, a: df.select("c", *[F.col(k).alias(k + a) for k in ("id", "component", "shared", "n", "stray")], *[k for k in ("h",) if k in df.columns])
+    main = staged(main.where("parts > 1").select("c", "main"), "main")
+    rest = staged(members.join(main, "c").withColumn("stray", F.col("component") != F.col("main")), "rest", main)
+    row = ["id", "component", "shared", "n", "stray"]
+    name = lambda df, a, *more: df.select("c", "h", *more, *[F.col(k).alias(k + a) for k in row])
     apart = (F.col("component1") != F.col("component2")) & (~F.col("stray2") | (F.col("id1") < F.col("id2")))
-    inside, least = F.least("shared1", "shared2"), share * (F.col("n1") + F.col("n2"))
-    plain = name(rest.where("stray"), "1").join(name(rest, "2"), "c").where(apart & (inside >= least))
-    own = rest.select("c", "id", "component", "shared", "n", "stray", F.explode("beyond").alias("b")).select("*", "b.h", F.col("b.c").alias("k")).drop("b")
-    own = own.join(staged(own.groupBy("c", "h").agg(F.count("*").alias("times")), "times"), ["c", "h"])
-    text = W.partitionBy("c", "id")
-    before = F.coalesce(F.sum("k").over(text.orderBy("times", "h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    need = F.greatest(F.lit(1), F.ceil(threshold * F.col("n") - F.col("shared") - 1e-6))
-    own = own.withColumn("prefix", before <= F.sum("k").over(text) - need).where("prefix and times > 1")
-    own = staged(own.drop("k", "times", "prefix"), "beyond")
-    both = name(own.where("stray"), "1").join(name(own, "2"), ["c", "h"]).where(apart)
-    out = plain.select("c", "id1", "id2").unionByName(both.select("c", "id1", "id2"))
-    return out.groupBy(F.col("id1").alias("x"), F.col("id2").alias("y")).agg(F.min("c").alias("near")).select("near", "x", "y")
+
+    def prefixes(of: DataFrame, bag: str, need: Column) -> DataFrame:
+        own = of.select("c", *row, F.explode(bag).alias("b")).select("c", *row, "b.h", F.col("b.c").alias("k"))
+        times = staged(own.groupBy("c", "h").agg(F.count("*").alias("times")).where("times > 1"), "times")
+        text = W.partitionBy("c", "id")
+        before = F.coalesce(F.sum("k").over(text.orderBy(F.coalesce("times", F.lit(1)), "h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        own = own.join(times, ["c", "h"], "left").withColumn("prefix", before <= F.sum("k").over(text) - need).where("prefix and times > 1")
+        return staged(own.select("c", "h", *row), bag, times)
+
+    beyond = prefixes(rest, "beyond", F.greatest(F.lit(1), F.ceil(threshold * F.col("n") - F.col("shared") - 1e-6)))
+    met = name(beyond.where("stray"), "1").join(name(beyond, "2"), ["c", "h"]).where(apart).select("c", "id1", "id2")
+    inside = prefixes(rest.where(F.col("shared") >= threshold * F.col("n")), "inside", F.ceil(threshold * F.col("n") - 1e-6))
+    size = lambda n: F.floor(F.log(n) / math.log(1.02))
+    other = F.least(F.col("n") / threshold, F.col("shared") / share - F.col("n"))
+    ranges = F.explode(F.sequence(size(threshold * F.col("n")) - 1, size(F.greatest(other, threshold * F.col("n"))) + 1))
+    enough = F.least("shared1", "shared2") >= share * (F.col("n1") + F.col("n2"))
+    plain = name(inside.where("stray"), "1", ranges.alias("size")).join(name(inside, "2", size(F.col("n")).alias("size")), ["c", "h", "size"]).where(apart & enough)
+    out = met.unionByName(plain.select("c", "id1", "id2")).groupBy(F.col("id1").alias("x"), F.col("id2").alias("y")).agg(F.min("c").alias("near")).select("near", "x", "y")
+    return staged(out, "open-pairs", rest, beyond, inside)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
@@ -189,7 +234,8 @@ def text_keys(text: Column) -> tuple[Column, Column]:
 
 def first_texts(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """documents(doc_id, text) -> doc_id, k1, k2: of each class the text with the least doc_id, by text_keys()."""
-    _, named = _classes(docs, threshold, shingle)
+    rows, named = _classes(docs, threshold, shingle)
+    discard(rows)
     return named.where(F.struct("text_id", "k1", "k2") == F.col("first")).select(F.col("text_id").alias("doc_id"), "k1", "k2")
 
 
@@ -212,21 +258,23 @@ def _classes(docs: DataFrame, threshold: float, shingle: int) -> tuple[DataFrame
             flat = pa.array(made.reshape(-1), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * BANDS)]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists], ["doc_id", "k1", "k2", "bands"])
+        tidy()
 
     rows = staged(keyed.mapInArrow(signed, "doc_id long, k1 long, k2 long, bands array<long>"), "signatures")
     texts = rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands"))
     # A text is a node, called by its doc_id; where that is the least of several texts, by its hash.
-    texts = staged(texts, "all-texts")
+    all_texts = texts = staged(texts, "all-texts")
     twice = staged(texts.groupBy("text_id").agg(F.count("*").alias("n")).where("n > 1").select("text_id", F.lit(True).alias("twice")), "twice")
     every = texts.join(twice, "text_id", "left").withColumn("id", F.when(F.col("twice"), F.col("k1")).otherwise(F.col("text_id"))).drop("twice")
     texts = every.where(F.size("bands") > 0)
     buckets = texts.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
     sizes = staged(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = staged(buckets.join(sizes, "bucket"), "shared")
+    shared = buckets.join(sizes, "bucket")
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
-    several = staged(degree.join(texts, "id").select("id", "text_id", "k1", "k2", "degree", "bands"), "several")
+    several = staged(degree.join(texts, "id").select("id", "text_id", "k1", "k2", "degree", "bands"), "several", sizes)
     wanted = several.select("id", F.col("text_id").alias("doc_id"), "k1", "k2")
-    bodies = staged(keyed.join(wanted, ["doc_id", "k1", "k2"]).groupBy("id").agg(F.min("text").alias("text")), "bodies")
+    bodies = keyed.join(wanted, ["doc_id", "k1", "k2"]).groupBy("id").agg(F.min("text").alias("text"))
+    bodies = staged(bodies.withColumn("size", F.octet_length("text") + 64), "bodies")
 
     def centred(width: int) -> DataFrame:
         """Bucket, member, centre, for runs of `width` bands."""
@@ -239,27 +287,30 @@ def _classes(docs: DataFrame, threshold: float, shingle: int) -> tuple[DataFrame
     for width in (2, 4):
         stars = stars.unionByName(centred(width))
     pairs = stars.where("id <> centre").select(F.col("centre").alias("near"), F.col("centre").alias("x"), F.col("id").alias("y")).distinct()
-    known = verified(staged(pairs, "stars"), bodies, shingle).select("x", "y", (F.col("shared") >= threshold * (F.col("nx") + F.col("ny") - F.col("shared"))).alias("linked"))
-    links = staged(known.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")), "links")
-    part = staged(components(links), "components")
+    pairs = staged(pairs, "stars")
+    near = F.col("shared") >= threshold * (F.col("nx") + F.col("ny") - F.col("shared"))
+    links = staged(verified(pairs, bodies, shingle).where(near).select(F.col("x").alias("u"), F.col("y").alias("v")), "links", pairs)
+    part = components(links)
 
     # Centres whose members are still in several components, and those members.
     member = centred(1).select(F.col("centre").alias("c"), "id").distinct().join(part, F.col("id") == F.col("node"), "left").select("c", "id", F.coalesce("component", "id").alias("component"))
-    member = staged(member, "members")
-    several = staged(member.groupBy("c").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("c"), "several")
-    member = staged(member.join(several, "c", "left_semi").where("c <> id"), "open-members")
-    against = verified(member.select(F.col("c").alias("near"), F.col("c").alias("x"), F.col("id").alias("y")), bodies, shingle, True)
-    against = against.select(F.col("x").alias("c"), F.col("y").alias("id"), "shared", F.col("ny").alias("n"), "beyond")
-    more = _open_pairs(staged(member.join(against, ["c", "id"]), "against"), threshold)
-    more = verified(staged(more, "open-pairs"), bodies, shingle).where(F.col("shared") >= threshold * (F.col("nx") + F.col("ny") - F.col("shared")))
-    classes = staged(components(links.unionByName(more.select(F.col("x").alias("u"), F.col("y").alias("v")))), "classes")
+    member = staged(member, "members", part, several)
+    mixed = staged(member.groupBy("c").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("c"), "mixed")
+    member = staged(member.join(mixed, "c", "left_semi").where("c <> id"), "open-members", member, mixed)
+    against = verified(member.select(F.col("c").alias("near"), F.col("c").alias("x"), F.col("id").alias("y")), bodies, shingle, threshold)
+    against = against.select(F.col("x").alias("c"), F.col("y").alias("id"), "shared", F.col("ny").alias("n"), "inside", "beyond")
+    against = staged(member.join(against, ["c", "id"]), "against", member)
+    open_ = _open_pairs(against, threshold)
+    more = verified(open_, bodies, shingle).where(near).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    both = staged(links.unionByName(more), "all-links", links, open_, against, bodies)
+    classes = components(both)
 
     own = F.struct("text_id", "k1", "k2")
-    linked = staged(every.select("id", "text_id", "k1", "k2").join(classes, F.col("id") == F.col("node")).select("k1", "k2", "text_id", "component"), "linked")
+    linked = staged(every.select("id", "text_id", "k1", "k2").join(classes, F.col("id") == F.col("node")).select("k1", "k2", "text_id", "component"), "linked", classes, both)
     firsts = linked.groupBy("component").agg(F.min(own).alias("first"))
     first = linked.join(firsts, "component").select("k1", "k2", "first")
     named = every.select("k1", "k2", "text_id").join(first, ["k1", "k2"], "left").select("k1", "k2", "text_id", F.coalesce("first", own).alias("first"))
-    return rows, staged(named, "named")
+    return rows, staged(named, "named", linked, all_texts, twice)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

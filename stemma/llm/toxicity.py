@@ -8,13 +8,17 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stemma.llm.common import narrowed, short_batches, slices, table, text_bytes
+from stemma.llm.common import discard, narrowed, short_batches, slices, staged, table, text_bytes, tidy
 from stemma.llm.words import _IS_WORD, lowered, mix, prefix_hashes, range_hashes
 
-#: Bound of the training sample: labelled rows of either class.
+#: Bound of the training sample: labelled rows of either class, and bytes of their texts.
 TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
+TOXIC_BYTES, CLEAN_BYTES = 8 << 20, 16 << 20
+#: Windows that are scored together.
+SCORED = 1024
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 48
 THRESHOLD = 0.3
@@ -85,10 +89,12 @@ def windows(index: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     count = np.where(size > 0, np.maximum(1, -(-(size - (WINDOW - STRIDE)) // STRIDE)), 0)
     text = np.repeat(np.arange(len(size)), count)
     k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    at = k[:, None] * STRIDE + np.arange(WINDOW)
-    out = np.full(at.shape, -1, np.int32)
-    here = at < size[text][:, None]
-    out[here] = index[(first[text][:, None] + at)[here]]
+    out = np.full((len(text), WINDOW), -1, np.int32)
+    for i in range(0, len(text), 8192):
+        t = text[i : i + 8192]
+        at = k[i : i + 8192, None] * STRIDE + np.arange(WINDOW)
+        here = at < size[t][:, None]
+        out[i : i + 8192][here] = index[(first[t][:, None] + at)[here]]
     return out, text
 
 
@@ -196,7 +202,7 @@ class Network:
         return g
 
     def all_logits(self, words: Vocabulary, ids: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.logits(*_subset(words, ids[i : i + 4096])) for i in range(0, len(ids), 4096)] or [np.zeros(0)])
+        return np.concatenate([self.logits(*_subset(words, ids[i : i + SCORED])) for i in range(0, len(ids), SCORED)] or [np.zeros(0)])
 
 
 def features(logit: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
@@ -230,31 +236,37 @@ def _subset(words: Vocabulary, ids: np.ndarray) -> tuple[Vocabulary, np.ndarray]
     return Vocabulary(words.word[used], words.chars[used]), new
 
 
-def _log_odds(rows: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """How much likelier the rows of a table are in toxic documents; rare rows count less. -1: no row."""
-    a, b = np.zeros(size), np.zeros(size)
+def _log_odds(seen: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """How much likelier rows of a table are in toxic documents; seen (2, rows): in how many clean and toxic ones."""
+    prior = label.mean()
+    return np.log((seen[1] + 2 * prior) / (seen[0] + 2 * (1 - prior))) - np.log(prior / (1 - prior))
+
+
+def _seen(rows: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
+    """In how many clean and toxic documents each row of a table is. -1: no row."""
+    out = np.zeros((2, size))
     for column in rows.T:
         has = column >= 0
         key = np.unique(doc[has].astype(np.int64) * size + column[has])
-        toxic = label[key // size] == 1
-        a += np.bincount(key[toxic] % size, minlength=size)
-        b += np.bincount(key[~toxic] % size, minlength=size)
-    prior = label.mean()
-    return np.log((a + 2 * prior) / (b + 2 * (1 - prior))) - np.log(prior / (1 - prior))
+        for c in (0, 1):
+            out[c] += np.bincount(key[label[key // size] == c] % size, minlength=size)
+    return out
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Network | None:
+def train(texts: list[bytes], labels: list[int], seed: int = SEED, informed: bool = True, epochs: int = EPOCHS) -> Network | None:
     """Fit the network on whole labelled texts; None unless both classes are there.
 
     A text's label is that of its most suspicious window: each epoch scores all windows, and learns from the
     highest of each text, and from one more of each clean text. The first component of both tables starts as
-    log-odds. A quarter of the texts only serves to weigh the windows of a document.
+    log-odds (unless `informed` is off: all of both is random then). A quarter of the texts only serves to weigh
+    the windows of a document.
     """
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         return None
     r = np.random.default_rng(seed)
     words, index, first = read(texts)
+    tidy()
     ids, text = windows(index, first)
     if not len(ids):
         return None
@@ -263,18 +275,25 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Network |
     for c in (0, 1):
         if not learn[y == c].any():
             learn[np.flatnonzero(y == c)[0]] = True
-    doc = np.repeat(np.arange(len(y)), np.diff(first))
-    once = np.unique(doc[learn[doc]].astype(np.int64) * len(words.word) + index[learn[doc]])  # a text's distinct words
-    doc, word = once // len(words.word), once % len(words.word)
-    net.p["word"][:, 0] = 0.3 * _log_odds(words.word[word][:, None], doc, y, WORD_ROWS)
-    net.p["char"][:, 0] = 0.3 * _log_odds(words.chars[word], doc, y, CHAR_ROWS)
+    seen_word, seen_char = np.zeros((2, WORD_ROWS)), np.zeros((2, CHAR_ROWS))
+    for i in range(0, len(y), 500):  # by some documents at a time, as all their words at once would take much memory
+        j = min(i + 500, len(y))
+        doc = np.repeat(np.arange(i, j), np.diff(first[i : j + 1]))
+        once = np.unique((doc * len(words.word) + index[first[i] : first[j]])[learn[doc]])  # a text's distinct words
+        doc, word = once // len(words.word), once % len(words.word)
+        seen_word += _seen(words.word[word][:, None], doc, y, WORD_ROWS)
+        seen_char += _seen(words.chars[word], doc, y, CHAR_ROWS)
+    del index
+    if informed:
+        net.p["word"][:, 0] = 0.3 * _log_odds(seen_word, y)
+        net.p["char"][:, 0] = 0.3 * _log_odds(seen_char, y)
     odd = np.concatenate([net.vectors(Vocabulary(*(x[i : i + 50_000] for x in words)))[0][:, [0, DIM]].sum(1) for i in range(0, len(words.word), 50_000)])
-    guess = np.where(ids >= 0, np.maximum(odd, 0).astype(np.float32)[ids], 0)
-    score = np.sort(guess, 1)[:, -3:].sum(1)
+    odd = np.append(np.maximum(odd, 0).astype(np.float32), np.float32(0))  # the last for -1
+    score = np.concatenate([np.partition(odd[ids[i : i + 4096]], WINDOW - 3, 1)[:, -3:].sum(1) for i in range(0, len(ids), 4096)])
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, rare = 0, min(4.0, (1 - y[learn].mean()) / y[learn].mean())
     weight = np.where(y == 1, rare, 1.0)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = np.lexsort((-score, text))
         best = order[np.searchsorted(text[order], np.unique(text))]
         extra = r.permutation(len(text))[: len(y)]
@@ -316,13 +335,30 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Network | None:
-    """Train on labels(doc_id, toxic) of at most so many rows of either class, the first by a hash of doc_id."""
+    """Train on labels(doc_id, toxic) of at most so many rows of either class, the first by a hash of doc_id.
+
+    Their texts, which come to the driver whole, are bounded in bytes too: from the first on, while they fit,
+    where a text that takes more than a sixteenth of the room is passed over.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    pick = lambda c, n: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    pick = lambda c, n: known.where(F.col("toxic") == c).orderBy(*order).limit(n)
     sample = F.broadcast(pick(1, toxic_rows).unionByName(pick(0, clean_rows)))  # at most toxic_rows + clean_rows rows
-    rows = narrowed(docs, "doc_id", "text").join(sample, "doc_id").orderBy("doc_id", "text").select("text", "toxic").toArrow()
-    texts = [x.encode() if x else b"" for x in rows.column("text").to_pylist()]
-    return train(texts, [int(x) for x in rows.column("toxic").to_pylist()])
+    rows = narrowed(docs, "doc_id", "text").join(sample, "doc_id").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    rows = staged(rows, "labelled")
+    room = F.when(F.col("toxic") == 1, TOXIC_BYTES).otherwise(CLEAN_BYTES)
+    total = rows.groupBy("doc_id", "toxic").agg(F.sum("size").alias("size")).where(F.col("size") <= room / 16)
+    upto = F.sum("size").over(W.partitionBy("toxic").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))  # a row a sampled id
+    chosen = F.broadcast(total.withColumn("upto", upto).where(F.col("upto") <= room).select("doc_id"))  # at most toxic_rows + clean_rows rows
+    found = rows.join(chosen, "doc_id").orderBy("doc_id", "text").select("text", "toxic").toArrow()
+    discard(rows)
+    texts = [x.encode() if x else b"" for x in found.column("text").to_pylist()]
+    toxic = [int(x) for x in found.column("toxic").to_pylist()]
+    del found
+    net = train(texts, toxic)
+    del texts
+    tidy()
+    return net
 
 
 def score_documents(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -335,6 +371,7 @@ def score_documents(docs: DataFrame, net: Network | None) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(net, text_bytes(b)))], ["doc_id", "score"])
+        tidy()
 
     source = narrowed(docs, "doc_id", "text")
     return source.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
@@ -347,6 +384,7 @@ def drop_toxic(docs: DataFrame, net: Network | None, threshold: float = THRESHOL
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield b.filter(pa.array(scores(net, text_bytes(b)) < threshold))
+        tidy()
 
     return docs.mapInArrow(keep, docs.schema)
 
