@@ -47,6 +47,11 @@ NOTICES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
     ("mpl", "mozilla public license", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ("permission is hereby granted free of charge", "the above copyright notice and this permission notice shall be included")),
+    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("redistribution and use in source and binary forms", "neither the name of the copyright holder nor the names of its contributors")),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ("for any purpose with or without fee is hereby granted", "the author disclaims all warranties with regard to this software")),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("distributed on an as is basis without warranties or conditions of any kind", "language governing permissions and limitations under the license")),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program", ("in the hope that it will be useful but without any warranty", "you should have received a copy of the gnu general public license")),
 )
 
 
@@ -82,18 +87,22 @@ class Index:
     def __init__(self, made: list[Template], idf: dict[bytes, float], rare: int = RARE) -> None:
         self.templates, self.idf = made, idf
         self.posts: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.needed = []
         for t, x in enumerate(made):
-            inside = {x.words[at + i] for at, key in x.keys for i in range(len(key))}
-            for w in sorted(inside, key=lambda w: (-idf.get(w, 0.0), w))[: 1 if x.base else rare]:
-                for place in (i for i, v in enumerate(x.words) if v == w):
-                    self.posts[w].append((t, place))
+            place = {x.words[at + i]: at + i for at, key in reversed(x.keys) for i in reversed(range(len(key)))}
+            chosen = sorted(place, key=lambda w: (-idf.get(w, 0.0), w))[:rare]
+            self.needed.append(len(chosen))
+            for w in chosen:
+                self.posts[w].append((t, place[w]))
         self.rare = frozenset(self.posts)
 
     def scan(self, ws: list[bytes]) -> list[tuple[int, int, float]]:
         """Matches (template, first word, share of its words that agree), sorted.
 
-        The file's rare words are taken from the highest IDF down; each occurrence gives, through the
-        postings, the place where a template would begin. There its key phrases must stand word for word.
+        The file's rare words are looked up from the highest IDF down. Each of a template's words gives the
+        places where it would have to begin; key phrases are mandatory, so only places that all its words
+        give are left, and a template that lacks a word falls at once. There its key phrases must stand word
+        for word.
         """
         if self.rare.isdisjoint(ws):
             return []
@@ -101,14 +110,21 @@ class Index:
         for i, w in enumerate(ws):
             if w in self.rare:
                 places[w].append(i)
-        starts = {(t, i - place) for w in sorted(places, key=lambda w: (-self.idf.get(w, 0.0), w)) for i in places[w] for t, place in self.posts[w]}
+        starts: dict[int, set[int]] = {}
+        met = Counter()
+        for w in sorted(places, key=lambda w: (-self.idf.get(w, 0.0), w)):
+            for t, place in self.posts[w]:
+                own = starts.get(t)
+                starts[t] = {i - place for i in places[w] if own is None or i - place in own}
+                met[t] += 1
         found = []
-        for t, start in sorted(starts):
+        for t in sorted(t for t, n in met.items() if n == self.needed[t]):
             x = self.templates[t]
-            if all(start + at >= 0 and tuple(ws[start + at : start + at + len(key)]) == key for at, key in x.keys):
-                agree = sum(0 <= start + i < len(ws) and ws[start + i] == w for i, w in enumerate(x.words))
-                if agree >= COVER * len(x.words):
-                    found.append((t, start, agree / len(x.words)))
+            for start in sorted(starts[t]):
+                if all(start + at >= 0 and tuple(ws[start + at : start + at + len(key)]) == key for at, key in x.keys):
+                    agree = sum(0 <= start + i < len(ws) and ws[start + i] == w for i, w in enumerate(x.words))
+                    if agree >= COVER * len(x.words):
+                        found.append((t, start, agree / len(x.words)))
         return found
 
 
@@ -136,7 +152,7 @@ def scan(docs: DataFrame, made: list[Template] | None = None) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_words, and all matches of license templates, by template and place.
 
     Two passes over the texts, which are never moved: the document frequencies of the templates' words, then
-    the look-up. A base phrase stands under one word that it must have, so each of its places is found.
+    the look-up. A template stands only under words that it must have, so each place of a base phrase is found.
 
     Null and empty texts have no words. Repeated rows are scanned each; a null doc_id stays null. No rows: no
     rows.

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stemma.llm.common import discard, narrowed, short_batches, slices, staged, table, text_bytes, tidy
+from stemma.llm.common import narrowed, short_batches, slices, staged, table, text_bytes, tidy
 from stemma.llm.components import components
 from stemma.llm.words import mix, words
 
@@ -233,10 +233,14 @@ def text_keys(text: Column) -> tuple[Column, Column]:
 
 
 def first_texts(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, k1, k2: of each class the text with the least doc_id, by text_keys()."""
+    """documents(doc_id, text) -> doc_id, k1, k2, repeated: of each class the text with the least doc_id, by text_keys().
+
+    `repeated`: whether several rows have this doc_id and this text.
+    """
     rows, named = _classes(docs, threshold, shingle)
-    discard(rows)
-    return named.where(F.struct("text_id", "k1", "k2") == F.col("first")).select(F.col("text_id").alias("doc_id"), "k1", "k2")
+    first = named.where(F.struct("text_id", "k1", "k2") == F.col("first")).select(F.col("text_id").alias("doc_id"), "k1", "k2")
+    times = rows.groupBy("doc_id", "k1", "k2").agg((F.count("*") > 1).alias("repeated"))
+    return staged(first.join(times, ["doc_id", "k1", "k2"]), "firsts", rows, named)
 
 
 def _classes(docs: DataFrame, threshold: float, shingle: int) -> tuple[DataFrame, DataFrame]:

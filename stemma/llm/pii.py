@@ -12,20 +12,34 @@ from stemma.llm.common import let, narrowed, table
 
 #: A span of a kind that the method adds counts from this score on; kinds with a base definition always stay.
 THRESHOLD = 0.5
-#: Characters before a span in which a context word counts.
-NEAR = 40
+#: Characters before and after a span in which a context word counts, up to the next match of its kind, and what it
+#: adds or takes.
+NEAR, FOR, AGAINST = 40, 0.4, 0.3
+#: Words near a span that make it less likely, whatever its kind.
+DOUBTS = "example|sample|dummy|order no|serial|version|isbn"
 #: Spans that are summed up together when positions are computed.
 BLOCK = 64
 
 LOCAL, HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Lengths of account numbers by country (ISO 13616 registry).
 IBAN_LENGTHS = {
-    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27,
-    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25,
-    "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28,
+    "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
 
 
+def _account_pattern() -> str:
+    """A country's accounts have one length, so a word that follows is never taken in. An alternative for each length."""
+    by: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTHS.items():
+        by.setdefault(n, []).append(country)
+    return "|".join(rf"(?:{'|'.join(cs)})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, cs in sorted(by.items()))
+
+
 def luhn(digits: Column) -> Column:
     """Whether the check digit of a digit string is right."""
     n = F.length(digits)
@@ -57,9 +71,7 @@ def _digits(span: Column) -> Column:
 
 
 def _account(span: Column) -> Column:
-    compact = F.replace(span, F.lit(" "), F.lit(""))
-    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
-    return F.coalesce(F.length(compact) == F.try_element_at(lengths, F.substring(compact, 1, 2)), F.lit(False)) & mod97(compact)
+    return mod97(F.replace(span, F.lit(" "), F.lit("")))
 
 
 # The patterns find what the plain definitions find, but each character is looked at a bounded number of times,
@@ -71,7 +83,7 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda t: F.contains(t, F.lit(".")), lambda s: s.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), 0.6, "ip|address|host|server", True),
     Kind("card", r"[0-9](?:(?![ -](?![0-9]))[0-9 -])++", lambda t: t.rlike("[0-9]"), lambda s: F.length(_digits(s)).between(16, 19) & luhn(_digits(s)), 0.8, "card|visa|credit|payment", True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda s: F.length(_digits(s)).between(8, 15), 0.6, "phone|tel|call|mobile|fax", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,27}(?![A-Za-z0-9])", lambda t: t.rlike("[A-Z]{2}[0-9]{2}[ A-Z0-9]{11}"), _account, 0.8, "iban|account|bank", False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_account_pattern()})(?![A-Za-z0-9])", lambda t: t.rlike("[A-Z]{2}[0-9]{2}[ A-Z0-9]{11}"), _account, 0.8, "iban|account|bank", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike("[0-9]-[0-9]{2}-[0-9]"), lambda s: ~s.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, "ssn|social security|tax id", False),
 )
 SPAN = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
@@ -86,9 +98,11 @@ def spans_of(text: Column, kind: Kind) -> Column:
     """
     pattern = F.lit(kind.pattern)
     found = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, kind.pattern, -1).alias("p"))
-    part = lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), m.alias("m"), F.lower(F.right(p, F.lit(NEAR))).alias("near"))
+    # A space stands for the span itself, so that no word is made of what is before and after it.
+    near = lambda p, after: F.lower(F.concat(F.right(p, F.lit(NEAR)), F.lit(" "), F.left(after, F.lit(NEAR))))
+    part = lambda x: F.struct(F.length(x.p).alias("gap"), F.length(x.m).alias("n"), x.m.alias("m"), near(x.p, x.after).alias("near"))
     total = lambda rows: F.aggregate(rows, F.lit(0), lambda a, r: a + r.gap + r.n)
-    near = rf"(?<![a-z])(?:{kind.words})(?![a-z])"
+    word = lambda words: rf"(?<![a-z])(?:{words})(?![a-z])"
 
     def placed(rows: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(rows, b * BLOCK + 1, F.lit(BLOCK))))
@@ -97,12 +111,14 @@ def spans_of(text: Column, kind: Kind) -> Column:
         def at(before: Column, r: Column, i: Column) -> Column:
             b = F.floor(i / BLOCK).cast("int")
             start = F.element_at(before, b + 1) + total(F.slice(rows, b * BLOCK + 1, i % BLOCK)) + r.gap
-            score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(r.near.rlike(near), 0.4).otherwise(0.0))
+            score = F.lit(kind.score) + F.when(r.near.rlike(word(kind.words)), FOR).otherwise(0.0) - F.when(r.near.rlike(word(DOUBTS)), AGAINST).otherwise(0.0)
+            score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2)
             return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + r.n).alias("end"), r.m.alias("value"), score.alias("score"))
 
         return let(sums, lambda before: F.transform(rows, lambda r, i: at(before, r, i)))
 
-    rows = let(found, lambda f: F.zip_with(F.slice(f.p, F.lit(1), F.size(f.m)), f.m, part))
+    zipped = lambda f: F.arrays_zip(F.slice(f.p, F.lit(1), F.size(f.m)).alias("p"), f.m.alias("m"), F.slice(f.p, F.lit(2), F.size(f.m)).alias("after"))
+    rows = let(found, lambda f: F.transform(zipped(f), part))
     out = F.when(kind.may(text), let(rows, lambda r: F.when(F.size(r) > 0, placed(r))))
     keep = lambda s: kind.valid(s.value) & (F.lit(kind.base) | (s.score >= THRESHOLD))
     return F.filter(F.coalesce(out, F.array().cast(SPAN)).cast(SPAN), keep)
@@ -153,4 +169,5 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda name: F.size(F.filter("pii", lambda s: s.kind == name)).cast("long").alias(f"n_{name}")
     base = [k.name for k in KINDS if k.base]
     sha = F.sha2(_said(F.filter("pii", lambda s: s.kind.isin(base))), 256).alias("base_sha256")
-    return found.select("doc_id", *map(count, base), sha, _said(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda s: F.format_string("%.2f", s.score)), ",").alias("scores")
+    return found.select("doc_id", *map(count, base), sha, _said(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"), scores)

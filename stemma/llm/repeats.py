@@ -128,7 +128,7 @@ def _refine(rows: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
     repeated = staged(_spans(ranked.where("not first_of_union")), "repeated")
     firsts = ranked.where("first_of_union")
     several = staged(firsts.groupBy("core").agg(F.count("*").alias("unions")).where("unions > 1").select("core"), "several")
-    open_ = firsts.join(several, "core", "left_semi").select("doc_id", "first", "n", keep)
+    open_ = firsts.join(several, "core", "left_semi").select("core", "doc_id", "first", "n", keep)
     return repeated, staged(open_, "open", ranked, several)
 
 
@@ -142,6 +142,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, segm
     - blocks of BLOCK positions of the anchors still open: common parts of length - BLOCK + 1 bytes.
     - single positions of the blocks still open, at the full length.
     Each round groups by the first rank, drops what is unique, groups by the pair, and hands on what differs.
+    Both ranks are hashes of 64 bits over different ranges of bytes, and rows are equal where both are.
     """
     short_batches(docs.sparkSession)
     schema = "core long, union long, doc_id long, first int, n int"
@@ -186,11 +187,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, segm
     parts = staged(runs.mapInArrow(blocked, schema + ", each array<long>"), "blocks", open_)
     again = staged(parts.groupBy("core").agg(F.count("*").alias("rows")).where("rows > 1").select("core"), "common")
     more, open_ = _refine(staged(parts.join(again, "core", "left_semi"), "shared-blocks", parts, again), "each")
-    single = open_.select("doc_id", "first", F.posexplode(F.slice("each", F.lit(1), F.col("n"))).alias("i", "core"))
-    single = staged(single.select("core", "doc_id", (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("n")), "positions", open_)
-    best = single.groupBy("core").agg(F.min(F.struct("doc_id", "first")).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    # Equal strings stand in blocks of equal core, so the pair of both hashes, 128 bits, stands for a string.
+    single = open_.select("core", "doc_id", "first", F.posexplode(F.slice("each", F.lit(1), F.col("n"))).alias("i", "own"))
+    single = staged(single.select("core", "own", "doc_id", (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("n")), "positions", open_)
+    best = single.groupBy("core", "own").agg(F.min(F.struct("doc_id", "first")).alias("best"), F.count("*").alias("rows")).where("rows > 1")
     best = staged(best, "firsts")
-    last = staged(_spans(single.join(best, "core").where(F.struct("doc_id", "first") != F.col("best"))), "repeated", single, best)
+    last = staged(_spans(single.join(best, ["core", "own"]).where(F.struct("doc_id", "first") != F.col("best"))), "repeated", single, best)
     spans = covered.unionByName(more).unionByName(last)
     return staged(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "last")).alias("spans")), "spans", covered, more, last)
 

@@ -169,14 +169,15 @@ def top_k(vectors: DataFrame, queries: F.Column, k: int = 10, scale: float = SCA
     shapes = spark.createDataFrame([(int(p), int(r), int(n)) for p, r, n in zip(pivot, ring, salts, strict=True)], "pivot int, ring int, salts int")
     blocks = index.join(F.broadcast(shapes), ["pivot", "ring"])  # at most PIVOTS * (RINGS + 1) rows
     blocks = blocks.select("pivot", "ring", F.pmod(F.xxhash64("vec_id", "dist"), F.col("salts")).cast("int").alias("salt"), "vec_id", "dist", "vec")
-    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(int(query_salts) - 1))))
     asking = index.where("asks").select("vec_id", "vec").dropDuplicates(["vec_id", "vec"])
     keys = ["pivot", "ring", "salt", "part"]
 
     def searched(rows: DataFrame, first_round: bool) -> DataFrame:
         rows = rows.mapInArrow(visits(first_round), "pivot int, ring int, salt int, query_id long, vec binary, bound long, from double, to double")
         rows = rows.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(int(query_salts))).cast("int"))
-        return rows.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(search, RESULT)
+        # A block goes once to each part of the queries that visits it, and nowhere else.
+        visited = staged(rows.select(keys).distinct(), "visited")
+        return rows.groupBy(*keys).cogroup(blocks.join(visited, keys[:3]).groupBy(*keys)).applyInArrow(search, RESULT)
 
     def best(found: DataFrame) -> DataFrame:
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

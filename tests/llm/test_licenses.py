@@ -55,3 +55,40 @@ def test_query(spark, small):
     assert len(rows) == len(texts)
     for r in rows:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(texts[r.doc_id])
+
+
+def every(text):
+    """Labels and the best share, each template tried at each place."""
+    ws, made, labels, best = L.split((text or "").encode()), L.templates(), set(), 0.0
+    for x in made:
+        for start in range(-len(x.words), len(ws)):
+            if all(start + at >= 0 and tuple(ws[start + at : start + at + len(k)]) == k for at, k in x.keys):
+                share = sum(0 <= start + i < len(ws) and ws[start + i] == w for i, w in enumerate(x.words)) / len(x.words)
+                if share >= L.COVER:
+                    labels.add(x.label)
+                    best = max(best, share)
+    return ",".join(sorted(labels)), best
+
+
+def test_labels_and_scores(spark, make_docs, tmp_path):
+    """Against all templates at all places, in whole notices, damaged ones and pieces of them."""
+    import random
+
+    r = random.Random(4)
+    texts = [t for t in TEXTS if not t or len(t) < 10_000]
+    for _, text, _ in L.NOTICES:
+        ws = text.split()
+        texts += [text, " ".join(ws[:-3]), " ".join(w if r.random() < 0.9 else "other" for w in ws), "a b " + text + " " + text, " ".join(ws[r.randrange(len(ws)) :])]
+    make_docs(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    for x in L.op4_license_scan(spark, str(tmp_path)).collect():
+        labels, score = every(texts[x.doc_id])
+        assert x.labels == labels, texts[x.doc_id]
+        assert abs(x.score - score) < 1e-12
+
+
+def test_words_that_are_rare_are_looked_up_first():
+    made = L.templates()
+    idf = {b"apache": 5.0, b"license": 1.0, b"version": 2.0, b"2": 0.5, b"0": 0.4}
+    index = L.Index(made, idf, 2)
+    here = {w for w, posts in index.posts.items() if any(made[t].label == "apache-2.0" and made[t].words[:2] == (b"apache", b"license") for t, _ in posts)}
+    assert here == {b"apache", b"version"}

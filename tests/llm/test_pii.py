@@ -85,3 +85,56 @@ def test_query(spark, small):
     assert len(rows) == len(all_)
     for r in rows:
         assert r.base_sha256 == hashlib.sha256(",".join(brute(all_[r.doc_id])).encode()).hexdigest()
+
+
+def test_accounts_before_other_words(make_docs):
+    """A following word in capitals or digits is not taken into an account, and countries of any length are known."""
+    cases = {
+        "IBAN GB82WEST12345698765432 BIC NWBK": ["GB82WEST12345698765432"],
+        "GB82 WEST 1234 5698 7654 32 NOW": ["GB82 WEST 1234 5698 7654 32"],
+        "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX": ["DE89 3704 0044 0532 0130 00"],
+        "DE89 3704 0044 0532 0130 00 2024 paid": ["DE89 3704 0044 0532 0130 00"],
+        "NO93 8601 1117 947 X": ["NO93 8601 1117 947"],
+        "UA21 3223 1300 0002 6007 2335 6600 1": ["UA21 3223 1300 0002 6007 2335 6600 1"],
+        "BR15 0000 0000 0000 1093 2840 814 P2 OK": ["BR15 0000 0000 0000 1093 2840 814 P2"],
+        "MT84MALT011000012345MTLCAST001S and LC55HEMM000100010012001200023015": ["MT84MALT011000012345MTLCAST001S", "LC55HEMM000100010012001200023015"],
+    }
+    for r in pii.find(make_docs(list(cases))).collect():
+        assert [s.value for s in r.pii if s.kind == "iban"] == cases[r.text], r.text
+
+
+def added(text):
+    """All spans of the kinds that the method adds, one by one."""
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9])(?=([A-Z]{2})[0-9]{2})", text):
+        n, at, taken = pii.IBAN_LENGTHS.get(m.group(1), 0), m.start(), ""
+        while len(taken) < n and at < len(text):
+            one = re.match(r" ?([A-Z0-9])" if len(taken) >= 4 else r"([A-Z0-9])", text[at:])
+            if not one:
+                break
+            taken, at = taken + one.group(1), at + one.end()
+        if n and len(taken) == n and not re.match("[A-Za-z0-9]", text[at:]) and int("".join(str(int(c, 36)) for c in taken[4:] + taken[:4])) % 97 == 1:
+            out.append(f"iban:{m.start()}:{at}")
+    all_ = list(re.finditer(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])", text))
+    ends, starts = [0, *(m.end() for m in all_)], [*(m.start() for m in all_[1:]), len(text)]
+    for m, low, high in zip(all_, ends, starts, strict=False):
+        near = (text[max(low, m.start() - 40) : m.start()] + " " + text[m.end() : min(high, m.end() + 40)]).lower()
+        score = 0.3 + 0.4 * bool(re.search(r"(?<![a-z])(ssn|social security|tax id)(?![a-z])", near)) - 0.3 * bool(re.search(rf"(?<![a-z])({pii.DOUBTS})(?![a-z])", near))
+        if m.group(1) not in ("000", "666") and m.group(1)[0] != "9" and m.group(2) != "00" and m.group(3) != "0000" and round(score, 2) >= 0.5:
+            out.append(f"ssn:{m.start()}:{m.end()}")
+    return out
+
+
+def test_added_spans(make_docs, spark, tmp_path):
+    """Against a search one by one; context counts on both sides."""
+    r = random.Random(9)
+    parts = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "GB82", "DE", "ssn", " ", ". ", "123-45-6789", "000-45-6789", "SSN", "tax id", "sample", "A1", "x", "12", "-", "é", "FR14 2004 1010 0505 0001 3M02 606", "long words between them so that the context is far away"]
+    texts = ["123-45-6789 is my SSN", "SSN sample 123-45-6789", *(" ".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(400))]
+    make_docs(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    found = 0
+    for r in pii.op5_pii(spark, str(tmp_path)).collect():
+        got = [s for s in r.spans.split(",") if s.split(":")[0] in ("iban", "ssn")]
+        assert got == added(texts[r.doc_id]), texts[r.doc_id]
+        assert r.n_spans == len([s for s in r.spans.split(",") if s]) == len([s for s in r.scores.split(",") if s])
+        found += len(got)
+    assert found > 100

@@ -55,3 +55,38 @@ def test_query(spark, small):
     for r in rows:
         raw = texts[r.doc_id].encode()
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
+
+
+def whole(rows, key):
+    """The share of groups that stand in one shard, of those with several rows."""
+    at = {}
+    for r in rows:
+        at.setdefault(key(r), []).append(r.shard)
+    several = [set(x) for x in at.values() if len(x) > 1]
+    return sum(len(x) == 1 for x in several) / len(several)
+
+
+def test_groups_that_fit_stay_whole(make_docs):
+    """Also where every row has a copy, so that there is room only where others leave, and for groups near a shard's size."""
+    for texts, least in (([f"t{i // 2}" for i in range(2400)], 0.9), ([f"t{i // 6}" for i in range(1200)], 0.8), ([f"big{i // 180}" for i in range(1080)] + [f"s{i}" for i in range(120)], 1.0)):
+        docs = make_docs(texts, clash=False)
+        rows = S.shard(docs, links(docs), 6).collect()
+        check(rows, 6, len(texts))
+        assert whole([r for r in rows if not r.text.startswith("s")], lambda r: r.text) >= least
+
+
+def test_a_group_beyond_a_shard_is_cut_as_little_as_can_be(make_docs):
+    docs = make_docs(["hot"] * 500 + [f"s{i}" for i in range(700)], clash=False)
+    rows = S.shard(docs, links(docs), 6).collect()
+    check(rows, 6, 1200)
+    assert len({r.shard for r in rows if r.text == "hot"}) <= 5
+
+
+def test_names_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "x" * 3_000_000, 5, "a"), (2, "y", 6, "b"), (3, "y", 7, None)], "doc_id long, text string, shard int, _label string")
+    docs = docs.withColumns({n: F.col("_label") for n in ("slot", "_bucket", "label", "main", "bucket", "row", "doc", "id", "size", "number", "rank", "to", "left", "sub", "n")})
+    rows = S.shard(docs, links(docs), 2).collect()
+    check(rows, 2, 3)
+    assert sorted(rows[0].asDict()) == sorted(docs.columns)
+    assert {r.doc_id: (len(r.text), r._label, r.main, r.n) for r in rows} == {1: (3_000_000, "a", "a", "a"), 2: (1, "b", "b", "b"), 3: (1, None, None, None)}
+    assert {r.shard for r in rows} == {0, 1}

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stemma.llm import toxicity as X
 from stemma.llm.words import word_list
@@ -107,3 +108,59 @@ def test_query(spark, small):
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+
+
+def test_logits_as_plain_loops():
+    """The network's output, word by word and unit by unit, without numpy's products."""
+    import math
+
+    net = X.Network(3)
+    words, index, first = X.read([b"you are a very bad word", b"fine"])
+    ids, _ = X.windows(index, first)
+    got = net.logits(words, ids)
+    p, H, sigmoid = {k: v.astype(float).tolist() for k, v in net.p.items()}, X.HIDDEN, lambda x: 1 / (1 + math.exp(-x))
+    dot = lambda x, m: [sum(x[i] * m[i][j] for i in range(len(x))) for j in range(len(m[0]))]
+    for row, want in zip(ids, got, strict=True):
+        x = []
+        for w in row[row >= 0]:
+            rows = [c for c in words.chars[w] if c >= 0]
+            chars = [sum(p["char"][c][j] for c in rows) / max(1, len(rows)) for j in range(X.DIM)]
+            x.append([a + b for a, b in zip(dot(p["word"][words.word[w]] + chars, p["W"]), p["b"], strict=True)])
+        states = []
+        for k, U in enumerate((p["Uf"], p["Ub"])):
+            h, out = [0.0] * H, {}
+            for t in range(len(x))[:: -1 if k else 1]:
+                a, g = x[t][3 * H * k : 3 * H * (k + 1)], dot(h, U)
+                z, r = ([sigmoid(a[s + j] + g[s + j]) for j in range(H)] for s in (0, H))
+                new = [math.tanh(a[2 * H + j] + r[j] * g[2 * H + j]) for j in range(H)]
+                h = [h[j] + (1 - z[j]) * (new[j] - h[j]) for j in range(H)]
+                out[t] = h
+            states.append([out[t] for t in range(len(x))])
+        s = [f + b for f, b in zip(*states, strict=True)]
+        e = [math.exp(sum(math.tanh(a) * v for a, v in zip(dot(h, p["A"]), p["v"], strict=True))) for h in s]
+        pooled = [sum(e[t] * s[t][j] for t in range(len(s))) / sum(e) for j in range(2 * H)]
+        assert abs(sum(a * b for a, b in zip(pooled, p["o"], strict=True)) + p["c"][0] - want) < 1e-4
+
+
+def test_query_on_held_out_documents(spark):
+    """Accuracy on the given documents whose labels are never learnt."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = X.op9_toxicity(spark, d).where("held_out").join(labels, "doc_id").collect()
+    assert len(rows) > 900
+    assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.95
+    both = sum(r.predicted and r.toxic for r in rows)
+    assert 2 * both / sum(r.predicted + r.toxic for r in rows) > 0.85
+
+
+def test_the_sample_is_bounded_in_bytes(monkeypatch, make_docs, prose):
+    """Texts that take too much room are passed over, and the others learnt from."""
+    monkeypatch.setattr(X, "CLEAN_BYTES", 20_000)
+    monkeypatch.setattr(X, "TOXIC_BYTES", 20_000)
+    seen = []
+    monkeypatch.setattr(X, "train", lambda texts, labels: seen.append((texts, labels)))
+    docs = make_docs([(i, prose(20, i) if i % 5 else prose(600, i)) for i in range(200)])
+    labels = docs.selectExpr("doc_id", "doc_id % 2 as toxic")
+    X.fit(docs, labels)
+    texts, toxic = seen[0]
+    assert 10_000 < sum(map(len, texts)) <= 40_000 and max(map(len, texts)) <= 20_000 / 16 and set(toxic) == {0, 1}
