@@ -25,12 +25,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A doc_id on rows with different texts may stay with several.
     """
-    first = neardup.first_texts(docs).select(F.col("doc_id").alias("_id"), F.col("k1").alias("_f1"), F.col("k2").alias("_f2"))
+    # Which rows stay is decided on ids and hashes; whole texts are moved once, to meet that.
+    first = neardup.first_texts(docs).toDF("_id", "_f1", "_f2", "_repeated")
     k1, k2 = neardup.text_keys(F.col("text"))
     keyed = docs.withColumns({"_k1": k1, "_k2": k2})
     same = (F.col("doc_id") == F.col("_id")) & (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2"))
-    kept = keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", "_k1", "_k2"]).select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    kept = keyed.join(first, same)
+    if first.where("_repeated").limit(1).count():
+        kept = kept.where("not _repeated").unionByName(kept.where("_repeated").dropDuplicates(["doc_id", "_k1", "_k2"]))
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
