@@ -64,16 +64,19 @@ def comparable_value(text: str) -> str:
     return re.sub(r"[\s﻿]+", "", unicodedata.normalize("NFC", text).lower())
 
 
+#: Markdown that clean_inline() takes away, and what it leaves of it.
+IMAGE, LINK, TAG = r"!\[([^\]]*)\]\([^)]*\)", r"\[([^\]]+)\]\([^)]*\)", r"<[^>]+>"
+TITLE, ITEM, QUOTE = r"(?U)^\s{0,3}#{1,6}\s*", r"(?U)^\s*(?:[-+*]|\d+[.)])\s+", r"(?U)^\s*>\s?"
+STRONG, EMPHASIS = r"`|\*\*|__", r"(?U)(?<!\w)[*_~]+|[*_~]+(?!\w)"
+
+
 def clean_inline(text: Column) -> Column:
     """A line of Markdown as plain text: links and images by their words, no tags, entities, prefixes, emphasis."""
-    out = F.regexp_replace(text, r"!\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"\[([^\]]+)\]\([^)]*\)", "$1")
-    out = unescape(F.regexp_replace(out, r"<[^>]+>", " "))
-    out = F.regexp_replace(out, r"(?U)^\s{0,3}#{1,6}\s*", "")
-    out = F.regexp_replace(out, r"(?U)^\s*(?:[-+*]|\d+[.)])\s+", "")
-    out = F.regexp_replace(out, r"(?U)^\s*>\s?", "")
-    out = F.regexp_replace(out, r"`|\*\*|__", "")
-    return collapse(F.regexp_replace(out, r"(?U)(?<!\w)[*_~]+|[*_~]+(?!\w)", ""))
+    out = F.regexp_replace(F.regexp_replace(text, IMAGE, "$1"), LINK, "$1")
+    out = unescape(F.regexp_replace(out, TAG, " "))
+    for prefix in (TITLE, ITEM, QUOTE, STRONG):
+        out = F.regexp_replace(out, prefix, "")
+    return collapse(F.regexp_replace(out, EMPHASIS, ""))
 
 
 def sentences(text: Column) -> Column:
@@ -82,6 +85,17 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
+#: Marks after which a long sentence may be cut.
+CLAUSE = "、；;：:，,"
+
+
+def pieces(sentence: Column, longest: int = 190) -> Column:
+    """A sentence in pieces: whole if it fits, else up to the last clause mark near the limit, or up to the limit."""
+    near = max(80, longest - 55)
+    pattern = rf"(?s)(.{{1,{longest}}}\z|.{{{near},{longest}}}[{CLAUSE}]|.{{{longest}}})(?U:\s*)"
+    return F.filter(F.transform(F.regexp_extract_all(sentence, F.lit(pattern), F.lit(1)), strip), lambda p: p != "")
+
+
 #: Places that grams() cuts from one piece: long texts are cut to pieces first, as each cut counts characters from the start.
 PIECE = 64
 
@@ -108,14 +122,19 @@ def script_json(json: Column) -> Column:
     return json
 
 
-def _marked(source: str, expression: re.Pattern) -> str:
-    out, at = [], 0
-    for m in expression.finditer(source):
-        if m.group():
-            out += [html.escape(source[at : m.start()], False), "<mark>", html.escape(m.group(), False), "</mark>"]
-            at = m.end()
-    out.append(html.escape(source[at:], False))
-    return "".join(out).replace('"', "&quot;").replace("'", "&#039;")
+#: A character that no text has (and none is left of in one that has it): it stands for the marks while texts are escaped.
+_ON, _OFF = "\uE000", "\uE001"
+
+
+def _marked(text: Column, expression: str) -> Column:
+    """HTML of a text with all matches of an expression marked."""
+    plain = F.translate(text, _ON + _OFF, "")
+    html = escape_html(F.regexp_replace(plain, f"(?iu)({expression})", f"{_ON}$1{_OFF}"))
+    return F.replace(F.replace(html, F.lit(_ON), F.lit("<mark>")), F.lit(_OFF), F.lit("</mark>"))
+
+
+def _literal(text: str) -> str:
+    return re.sub(r"([^\w\s])", r"\\\1", text)
 
 
 def highlight(text: Column, query: str) -> Column:
@@ -123,13 +142,7 @@ def highlight(text: Column, query: str) -> Column:
     letters = [c for c in unicodedata.normalize("NFC", query) if not c.isspace()]
     if not letters:
         return escape_html(nfc(text))
-    expression = re.compile(r"\s*".join(map(re.escape, letters)), re.I)
-
-    @F.pandas_udf("string")
-    def mark(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else _marked(unicodedata.normalize("NFC", x), expression))
-
-    return mark(text)
+    return _marked(nfc(text), r"(?U:\s*)".join(map(_literal, letters)))
 
 
 BEFORE, AFTER = 54, 116
@@ -137,19 +150,13 @@ BEFORE, AFTER = 54, 116
 
 def excerpt(text: Column, tokens: list[str]) -> Column:
     """A window about the first token, all tokens in it marked, longer ones first; dots where the text goes on."""
-    expression = re.compile("|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) or r"(?!)", re.I)
-
-    def cut(x: str) -> str:
-        places = [p for p in (x.lower().find(t) for t in tokens) if p >= 0]
-        first = min(places, default=0)
-        start, end = max(0, first - BEFORE), min(len(x), first + AFTER)
-        return ("…" if start else "") + _marked(x[start:end], expression) + ("…" if end < len(x) else "")
-
-    @F.pandas_udf("string")
-    def window(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else cut(x))
-
-    return window(text)
+    tokens = [t for t in tokens if t]
+    places = [F.nullif(F.instr(F.lower(text), F.lit(t.lower())), F.lit(0)) for t in tokens]
+    first = F.coalesce(F.least(*places) if len(places) > 1 else places[0], F.lit(1)) if places else F.lit(1)
+    start, end = F.greatest(F.lit(1), first - BEFORE), F.least(F.length(text), first - 1 + AFTER)
+    window = F.substring(text, start, end - start + 1)
+    marked = _marked(window, "|".join(map(_literal, sorted(tokens, key=len, reverse=True)))) if tokens else escape_html(window)
+    return F.concat(F.when(start > 1, "…").otherwise(""), marked, F.when(end < F.length(text), "…").otherwise(""))
 
 
 def surface_words(text: Column) -> Column:

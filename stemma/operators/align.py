@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from stemma.functions import markers as M
 from stemma.functions import text as T
+from stemma.operators.ranking import last_so_far, sums_before
 
 METHODS = ("exact", "fingerprint", "fuzzy", "sourcePage", "inherited", "unmapped")
 VERIFIED = ("exact", "fingerprint", "fuzzy", "sourcePage")
 SEED, LONG, SHORT, FUZZY = 12, 18, 12, 0.24
 PROBE, NEAR_PAGES, MIN_RATE = 16, 2, 0.9
-#: Characters of the following pages that a page row carries, so that matches over a page end are seen.
-TAIL, TAIL_PAGES, BLOCK = 512, 16, 1024
+#: Characters of a block of a work, and of the next one that a block carries, so that matches over its end are seen.
+BLOCK, TAIL = 1024, 512
+#: Long pages are cut to pieces of this size first, as each cut counts characters from the start.
+PIECE = 65_536
 
 
 #: A side of a seed join is broadcast up to so many rows (short strings); how many there are is looked up first.
@@ -31,45 +34,84 @@ def _met(there: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def page_starts(pages: DataFrame) -> DataFrame:
-    """pages(slug, page_no, text) -> slug, page_no, txt (for matching), start (0-based), span (txt and what follows)."""
-    order = W.partitionBy("slug").orderBy("page_no")
+    """pages(slug, page_no, text) -> slug, page_no, txt (for matching), start (0-based place in the work)."""
     rows = pages.select("slug", "page_no", T.matchable(F.coalesce("text", F.lit(""))).alias("txt"))
-    start = F.coalesce(F.sum(F.length("txt")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    after = F.collect_list(F.left("txt", F.lit(TAIL))).over(order.rowsBetween(1, TAIL_PAGES))
-    return rows.withColumn("start", start).withColumn("span", F.concat("txt", F.left(F.array_join(after, ""), F.lit(TAIL))))
+    starts = sums_before(rows.select("slug", "page_no", F.length("txt").alias("n")), "slug", ["page_no"], F.col("n"), "start")
+    return rows.join(starts.select("slug", "page_no", "start"), ["slug", "page_no"])
 
 
-def occurrences(needles: DataFrame, pages: DataFrame, shortest: int) -> DataFrame:
-    """needles(slug, key, needle) in page_starts(): slug, key, at (0-based place in the work), page_no.
+def _cut(rows: DataFrame, size: int) -> DataFrame:
+    """rows(start, txt) cut at places that are multiples of `size`, with `b`, the number of the range."""
+    first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.length("txt") - 1) / size)
+    rows = rows.where(F.length("txt") > 0).withColumn("b", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.col("start"), F.col("b") * size)
+    part = F.substring("txt", (begin - F.col("start") + 1).cast("int"), ((F.col("b") + 1) * size - begin).cast("int"))
+    return rows.select("slug", "page_no", "b", begin.alias("start"), part.alias("txt"))
 
-    Needles without a slug are looked for in all works.
 
-    Seed and verify: pages give a seed at every k-th place, needles at their first k, so each occurrence of a
+def blocks(pages: DataFrame) -> DataFrame:
+    """page_starts() -> slug, b, text, marks: works in blocks of BLOCK characters, whatever their pages are.
+
+    A block carries the first TAIL characters of the next; marks are the pages (start, page_no) that are in it.
+    Texts are moved once, by block, so neither rows nor tasks grow with a work or a page.
+    """
+    parts = _cut(_cut(pages, PIECE), BLOCK)
+    reach = F.col("b") * BLOCK + TAIL - F.col("start")
+    row = lambda b, txt, page: F.struct(b.alias("b"), F.col("start"), txt.alias("txt"), page.alias("page_no"))
+    own = row(F.col("b"), F.col("txt"), F.col("page_no"))
+    tail = row(F.col("b") - 1, F.substring(F.col("txt"), F.lit(1), reach.cast("int")), F.lit(None).cast(pages.schema["page_no"].dataType))
+    rows = parts.select("slug", F.explode(F.when((reach > 0) & (F.col("b") > 0), F.array(own, tail)).otherwise(F.array(own))).alias("x")).select("slug", "x.*")
+    inside = F.array_sort(F.collect_list(F.struct("start", "txt", "page_no")))
+    made = rows.groupBy("slug", "b").agg(inside.alias("parts"))
+    marks = F.transform(F.filter("parts", lambda p: p.page_no.isNotNull()), lambda p: F.struct(p.start, p.page_no))
+    return made.select("slug", "b", F.array_join(F.transform("parts", lambda p: p.txt), "").alias("text"), marks.alias("marks")).where(F.size("marks") > 0)
+
+
+def occurrences(needles: DataFrame, hay: DataFrame, shortest: int) -> DataFrame:
+    """needles(slug, key, needle) in blocks(): slug, key, at (0-based place in the work), page_no.
+
+    Needles without a slug are looked for in all works. One longer than TAIL is looked for piece by piece; it is
+    where all its pieces are, at their distances. Occurrences may overlap and may run over page ends; they belong
+    to the page where they begin.
+    """
+    n = F.length("needle")
+    offsets = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(0), F.floor(n / TAIL).cast("int") - 1), lambda k: k * TAIL), F.array(n - TAIL)))
+    cut = needles.where(n > TAIL).withColumn("offsets", offsets).withColumn("o", F.explode("offsets"))
+    key = F.struct("key", F.col("o").alias("offset"), F.size("offsets").alias("pieces"))
+    cut = cut.select(*_slug(needles), key.alias("key"), F.substring("needle", F.col("o") + 1, F.lit(TAIL)).alias("needle"))
+    place = F.col("at") - F.col("key.offset")
+    met = _short(cut, hay, TAIL).groupBy("slug", F.col("key.key").alias("key"), place.alias("at")).agg(F.count("*").alias("n"), F.min("key.pieces").alias("pieces"), F.min_by("page_no", "key.offset").alias("page_no"))
+    return _short(needles.where(n <= TAIL), hay, shortest).unionByName(met.where("n = pieces").select("slug", "key", "at", "page_no"))
+
+
+def _short(needles: DataFrame, hay: DataFrame, shortest: int) -> DataFrame:
+    """occurrences() of needles up to TAIL characters.
+
+    Seed and verify: blocks give a seed at every k-th place, needles at their first k, so each occurrence of a
     needle of `shortest` characters or more meets in an equality join, and is then compared in full.
-    Occurrences may overlap and may run over a page end; they belong to the page where they begin.
     """
     stride = shortest - SEED + 1
-    begins = F.sequence(F.lit(0), F.length("txt") - 1, F.lit(BLOCK))  # long pages in blocks, so that no row is long
-    hay = pages.where(F.length("txt") > 0).select("slug", "page_no", "start", "span", F.length("txt").alias("n"), F.explode(begins).alias("b"))
-    hay = hay.select("slug", "page_no", (F.col("start") + F.col("b")).alias("start"), F.least(F.lit(BLOCK), F.col("n") - F.col("b")).alias("n"), F.substring("span", F.col("b") + 1, F.lit(BLOCK + TAIL)).alias("span"))
-    places = F.sequence(F.lit(1), F.col("n") + (stride - 1), F.lit(stride))
-    hay = hay.select("*", F.explode(places).alias("q")).withColumn("seed", F.substring("span", F.col("q"), F.lit(SEED))).where(F.length("seed") == SEED)
+    size = F.least(F.lit(BLOCK), F.length("text"))
+    hay = hay.select("slug", "b", "text", "marks", F.explode(F.sequence(F.lit(1), size + (stride - 1), F.lit(stride))).alias("q"))
+    hay = hay.withColumn("seed", F.substring("text", F.col("q"), F.lit(SEED))).where(F.length("seed") == SEED)
     seeds = needles.select("*", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("o"))
     seeds = seeds.withColumn("seed", F.substring("needle", F.col("o") + 1, F.lit(SEED)))
     met = _met(hay, seeds, [*_slug(needles), "seed"]).withColumn("s", F.col("q") - F.col("o"))
-    here = (F.col("s") >= 1) & (F.col("s") <= F.col("n")) & (F.substring("span", F.col("s"), F.length("needle")) == F.col("needle"))
-    return met.where(here).select("slug", "key", (F.col("start") + F.col("s") - 1).alias("at"), "page_no").distinct()
+    here = (F.col("s") >= 1) & (F.col("s") <= BLOCK) & (F.substring("text", F.col("s"), F.length("needle")) == F.col("needle"))
+    at = F.col("b") * BLOCK + F.col("s") - 1
+    page = F.element_at(F.filter("marks", lambda m: m.start <= at), -1).page_no
+    return met.where(here).select("slug", "key", at.alias("at"), page.alias("page_no")).distinct()
 
 
 def _slug(df: DataFrame) -> list[str]:
     return ["slug"] if "slug" in df.columns else []
 
 
-def exact(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """chunks(slug, ord, norm) -> slug, ord, hits, page_no: how often a chunk is in its work, and where first."""
+def exact(chunks: DataFrame, hay: DataFrame) -> DataFrame:
+    """chunks(slug, ord, norm) in blocks() -> slug, ord, hits, page_no: how often a chunk is in its work, and where first."""
     keyed = chunks.select(*_slug(chunks), F.col("ord").alias("key"), F.col("norm").alias("needle"))
-    long_ = occurrences(keyed.where(F.length("needle") >= LONG), pages, LONG)
-    short = occurrences(keyed.where(F.length("needle").between(SHORT, LONG - 1)), pages, SHORT)
+    long_ = occurrences(keyed.where(F.length("needle") >= LONG), hay, LONG)
+    short = occurrences(keyed.where(F.length("needle").between(SHORT, LONG - 1)), hay, SHORT)
     return long_.unionByName(short).groupBy("slug", F.col("key").alias("ord")).agg(F.count("*").alias("hits"), F.min_by("page_no", "at").alias("page_no"))
 
 
@@ -82,29 +124,26 @@ def probes(norm: Column) -> Column:
     return F.filter(pieces, lambda p: F.length(p.piece) >= PROBE)
 
 
-def fingerprints(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """chunks(slug, ord, norm) -> slug, ord, at, page_no: the least place that a probe's first occurrence implies."""
+def fingerprints(chunks: DataFrame, hay: DataFrame) -> DataFrame:
+    """chunks(slug, ord, norm) in blocks() -> slug, ord, at, page_no: the least place that a probe's first occurrence implies."""
     each = chunks.select(*_slug(chunks), "ord", F.explode(probes(F.col("norm"))).alias("p")).select(*_slug(chunks), F.struct("ord", "p.offset").alias("key"), F.col("p.piece").alias("needle"))
-    first = occurrences(each, pages, PROBE).groupBy("slug", "key").agg(F.min("at").alias("at"))
+    first = occurrences(each, hay, PROBE).groupBy("slug", "key").agg(F.min("at").alias("at"))
     place = first.groupBy("slug", F.col("key.ord").alias("ord")).agg(F.min(F.greatest(F.lit(0), F.col("at") - F.col("key.offset"))).alias("at"))
-    return at_page(place, pages)
+    return at_page(place, hay)
 
 
-def at_page(places: DataFrame, pages: DataFrame) -> DataFrame:
-    """As-of join: the last page that starts at or before a place. Both sides meet once, in one ordered pass."""
-    marks = pages.where(F.length("txt") > 0).select("slug", F.col("start").alias("at"), F.lit(None).cast("long").alias("ord"), "page_no", F.lit(0).alias("side"))
-    asked = places.select("slug", "at", F.col("ord").cast("long").alias("ord"), F.lit(None).cast("int").alias("page_no"), F.lit(1).alias("side"))
-    order = W.partitionBy("slug").orderBy("at", "side", "page_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = marks.unionByName(asked).withColumn("page_no", F.last("page_no", True).over(order))
-    return rows.where("side = 1").select("slug", "ord", "at", "page_no")
+def at_page(places: DataFrame, hay: DataFrame) -> DataFrame:
+    """As-of join: the last page that starts at or before a place(slug, ord, at). Both sides meet by block."""
+    asked = places.withColumn("b", F.floor(F.col("at") / BLOCK))
+    page = F.element_at(F.filter("marks", lambda m: m.start <= F.col("at")), -1).page_no
+    return asked.join(hay.select("slug", "b", "marks"), ["slug", "b"]).select("slug", "ord", "at", page.alias("page_no"))
 
 
 def neighbours(rows: DataFrame, anchor: Column, last_page: Column) -> DataFrame:
     """Add the anchors before and after each row (prev_*, next_*), the page in between (target), and the range to search."""
-    order = W.partitionBy("slug").orderBy("ord")
-    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
     keep = F.when(anchor, F.struct(F.col("ord").alias("ord"), F.col("page_no").alias("page"), F.col("original_page").alias("label")))
-    rows = rows.withColumn("prev", F.last(keep, True).over(before)).withColumn("next", F.first(keep, True).over(after))
+    rows = last_so_far(rows, "slug", ["ord"], keep, "prev", strictly=True)
+    rows = last_so_far(rows, "slug", ["ord"], keep, "next", strictly=True, backwards=True)
     p, n = F.col("prev.page"), F.col("next.page")
     between = p + (n - p) * (F.col("ord") - F.col("prev.ord")) / (F.col("next.ord") - F.col("prev.ord"))
     low, high = F.coalesce(p, F.lit(1)), F.coalesce(n, last_page)
@@ -121,13 +160,17 @@ def fuzzy(rows: DataFrame, pages: DataFrame, threshold: float = FUZZY) -> DataFr
     Ties go to the page nearest the target, then to the lower one.
     """
     mine = rows.select(*_slug(rows), "ord", "target", "from_page", "to_page", T.grams(F.col("norm")).alias("grams"))
-    # Counted before they are spread: above the explode it would be counted again for each of them.
-    mine = mine.select("*", F.size("grams").alias("total")).select(*_slug(rows), "ord", "target", "from_page", "to_page", "total", F.explode("grams").alias("gram"))
-    # Pages give a row a place, cut from short pieces; what is in no chunk falls before the distinct.
+    # Counted before they are spread: above the explode it would be counted again for each of them. A gram travels as a hash.
+    mine = mine.select("*", F.size("grams").alias("total")).select(*_slug(rows), "ord", "target", "from_page", "to_page", "total", F.explode("grams").alias("gram")).withColumn("gram", F.xxhash64("gram"))
+    if "slug" in rows.columns:  # only pages that some row of their work may lie on
+        reach = rows.groupBy("slug").agg(F.min("from_page").alias("low"), F.max("to_page").alias("high"))
+        pages = pages.join(reach, "slug").where(F.col("page_no").between(F.col("low"), F.col("high")))
+    # Pages give their grams piece by piece; what is in no chunk falls before the distinct.
     width, piece = 6, 64
     begins = F.sequence(F.lit(1), F.greatest(F.length("txt") - (width - 1), F.lit(1)), F.lit(piece))
     there = pages.where(F.length("txt") > 0).select("slug", "page_no", "txt", F.explode(begins).alias("b")).select("slug", "page_no", F.substring("txt", F.col("b"), F.lit(piece + width - 1)).alias("p"))
-    there = there.select("slug", "page_no", "p", F.explode(F.sequence(F.lit(1), F.greatest(F.length("p") - (width - 1), F.lit(1)))).alias("i")).select("slug", "page_no", F.substring("p", F.col("i"), F.lit(width)).alias("gram"))
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.substring("p", i, F.lit(width))))
+    there = there.select("slug", "page_no", F.explode(F.array_distinct(cut)).alias("gram"))
     keys = [*_slug(rows), "gram"]
     there = _met(there, mine.select(keys).distinct(), keys).select("slug", "page_no", "gram").distinct()
     met = _met(there, mine, keys).where(F.col("page_no").between(F.col("from_page"), F.col("to_page")))
@@ -151,34 +194,46 @@ def unique_labels(chunks: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.where("n = 1").select("slug", "ord", "page_no")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A table that several passes read, computed once: reliably checkpointed where there is a folder for that, else persisted."""
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+
+
 def align(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """chunks(slug, ord, original_page, text) x pages(slug, page_no, text) -> chunks with pdf_page, alignment.
 
     Each pass is one set-based step, for within a pass anchors are fixed: unique exact hits and fingerprints;
     fuzzy matches near the anchors; what is left, by a short hit nearby or from the nearest anchor, first one
     with the same label; and last, labels that name one page overrule all but the first two methods.
-    What a later pass reads again is persisted (memory and disk) until the session's cache is cleared.
+    What later passes read again is checkpointed to the session's shared folder, so a lost executor costs no pass.
     """
-    # Dealt by page, so that a work with very many pages is spread over tasks.
-    located = page_starts(pages).repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slug", "page_no").persist()
+    located = kept(page_starts(pages))
+    hay = kept(blocks(located))
     last = located.groupBy("slug").agg(F.max("page_no").alias("last_page"))
     rows = chunks.withColumn("norm", T.matchable(F.col("text"))).join(last, "slug", "left")
-    hits = exact(rows, located)
+    hits = exact(rows, hay)
     rows = rows.join(hits.select("slug", "ord", "hits", F.col("page_no").alias("hit_page")), ["slug", "ord"], "left")
     missing = rows.where((F.length("norm") >= LONG) & F.col("hits").isNull())
-    found = fingerprints(missing, located).select("slug", F.col("ord").cast("int").alias("ord"), F.col("page_no").alias("print_page"))
+    found = fingerprints(missing, hay).select("slug", F.col("ord").cast("int").alias("ord"), F.col("page_no").alias("print_page"))
     rows = rows.join(found, ["slug", "ord"], "left")
     rows = rows.withColumn("alignment", F.when(F.col("hits") == 1, "exact").when(F.col("print_page").isNotNull(), "fingerprint").otherwise("unmapped"))
-    rows = rows.withColumn("page_no", F.when(F.col("hits") == 1, F.col("hit_page")).otherwise(F.col("print_page"))).persist()
+    rows = kept(rows.withColumn("page_no", F.when(F.col("hits") == 1, F.col("hit_page")).otherwise(F.col("print_page"))))
 
     rows = neighbours(rows, F.col("alignment") != "unmapped", F.col("last_page"))
     near = fuzzy(rows.where((F.col("alignment") == "unmapped") & (F.length("norm") >= SHORT)), located).select("slug", "ord", F.col("page_no").alias("near_page"))
     rows = rows.drop("prev", "next", "target", "from_page", "to_page").join(near, ["slug", "ord"], "left")
-    rows = rows.withColumn("alignment", F.when(F.col("near_page").isNotNull(), "fuzzy").otherwise(F.col("alignment"))).withColumn("page_no", F.coalesce("near_page", "page_no")).persist()
+    rows = rows.withColumn("alignment", F.when(F.col("near_page").isNotNull(), "fuzzy").otherwise(F.col("alignment"))).withColumn("page_no", F.coalesce("near_page", "page_no"))
+    rows = kept(rows)
 
     rows = neighbours(rows, F.col("alignment") != "unmapped", F.col("last_page"))
     open_ = rows.where((F.col("alignment") == "unmapped") & (F.length("norm") > 0))
-    inside = open_.select("slug", "ord", "norm", "target", "from_page", "to_page").join(located.select("slug", F.col("page_no").alias("p"), "txt"), "slug").where(F.col("p").between(F.col("from_page"), F.col("to_page")) & F.contains("txt", "norm"))
+    # A row asks for the pages in its range, so the join is by page.
+    asked = open_.select("slug", "ord", "norm", "target", F.explode(F.sequence("from_page", "to_page")).alias("p"))
+    inside = asked.join(located.select("slug", F.col("page_no").alias("p"), "txt"), ["slug", "p"]).where(F.contains("txt", "norm"))
     inside = inside.groupBy("slug", "ord").agg(F.min_by("p", F.struct(F.abs(F.col("p") - F.col("target")), "p")).alias("inside_page"))
     rows = rows.join(inside, ["slug", "ord"], "left")
     p, n, label = F.col("prev"), F.col("next"), F.col("original_page")

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from stemma.functions import markers as M
 from stemma.functions import text as T
+from stemma.operators.ranking import last_so_far, numbered_within
 
 TARGET, LONGEST = 170, 190
-CLAUSE = "、；;：:，,"
 
 
 def trimmed(paragraphs: DataFrame, marker_fallback: bool = True) -> DataFrame:
@@ -53,27 +53,16 @@ def annotated(paragraphs: DataFrame) -> DataFrame:
     parts = parts.withColumn("clean", T.clean_inline(F.regexp_replace("said", M.FLAGS + r"\x{E000}", "")))
     emitted = F.when(F.col("alone"), F.array(row(0, alone, alone))).otherwise(F.array(row(0, none, F.nullif(F.col("clean"), F.lit(""))), row(1, M.label(F.col("marker")), F.concat(F.lit("訳注　"), note))))
     out = parts.select("slug", "para_no", "part", F.explode(emitted).alias("e")).select("slug", "para_no", "part", "e.*")
-    order = W.partitionBy("slug").orderBy("para_no", "part", "step")
-    place = F.last("place", True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    out = out.withColumn("original_page", F.coalesce(place, F.lit(M.DEFAULT_LOCATION))).where("text is not null")
-    return out.select("slug", F.row_number().over(order).alias("seq"), "original_page", "text")
+    order = ["para_no", "part", "step"]
+    out = last_so_far(out, "slug", order, F.col("place"), "place")
+    out = out.withColumn("original_page", F.coalesce("place", F.lit(M.DEFAULT_LOCATION))).where("text is not null")
+    return numbered_within(out, "slug", order, "seq").select("slug", "seq", "original_page", "text")
 
 
-def split_long(value: str, longest: int = LONGEST) -> list[str]:
-    """Cut after the last clause mark near the limit, or at the limit."""
-    out, low = [], max(80, longest - 55)
-    while len(value) > longest:
-        at = max(value.rfind(c, low, longest + 1) for c in CLAUSE)
-        at = longest if at < low else at + 1
-        out.append(value[:at].strip())
-        value = value[at:].strip()
-    return out + [value] if value or not out else out
-
-
-def packed(sentences: list[str], target: int = TARGET) -> list[str]:
-    """Sentences put together while they fit."""
+def packed(pieces: list[str], target: int = TARGET) -> list[str]:
+    """Pieces put together while they fit."""
     out: list[str] = []
-    for piece in (p for s in sentences for p in split_long(s)):
+    for piece in pieces:
         if out and len(out[-1]) + len(piece) <= target:
             out[-1] += piece
         else:
@@ -88,15 +77,15 @@ def chunks(rows: DataFrame, target: int = TARGET) -> DataFrame:
     def pack(s: pd.Series) -> pd.Series:
         return s.map(lambda x: packed(list(x), target))
 
-    out = rows.select("slug", "seq", "original_page", F.posexplode(pack(T.sentences(F.col("text")))).alias("i", "text"))
+    pieces = F.flatten(F.transform(T.sentences(F.col("text")), lambda s: T.pieces(s, LONGEST)))
+    out = rows.select("slug", "seq", "original_page", F.posexplode(pack(pieces)).alias("i", "text"))
     out = out.where(F.length(T.matchable(F.col("text"))) >= 2)
-    ord_ = F.row_number().over(W.partitionBy("slug").orderBy("seq", "i"))
-    return out.withColumn("ord", ord_).select("slug", "ord", T.block_id(F.col("ord")).alias("id"), "original_page", "text")
+    return numbered_within(out, "slug", ["seq", "i"], "ord").select("slug", "ord", T.block_id(F.col("ord")).alias("id"), "original_page", "text")
 
 
-def carried(events: DataFrame, value: Column, by: str, order: list[str], default: str) -> Column:
-    """The last non-null value at or before a row."""
-    return F.coalesce(F.last(value, True).over(W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(default))
+def carried(events: DataFrame, value: Column, by: str, order: list[str], default: str) -> DataFrame:
+    """Add `location`: the last non-null value at or before a row, else the default. order[0] is an integer."""
+    return last_so_far(events, by, order, value, "location").withColumn("location", F.coalesce("location", F.lit(default)))
 
 
 def footnote_places(notes: DataFrame, anchors: DataFrame) -> DataFrame:

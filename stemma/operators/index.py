@@ -41,7 +41,7 @@ def parts(chunks: DataFrame, most_chars: int = PART_CHARS, most_chunks: int = PA
                 chars, count = chars + r.chars, count + r.chunks
             yield pd.DataFrame(out, columns=["slug", "part", "first", "chunks", "chars"])
 
-    schema = "slug string, part int, first int, chunks long, chars long"
+    schema = "slug string, part int, first long, chunks long, chars long"
     return page_runs(chunks).groupBy("slug").applyInPandas(lambda rows: next(fold(iter([rows]))), schema)
 
 

@@ -1,4 +1,8 @@
-"""Ranks over a whole table without one task that sorts it."""
+"""Ranks, running sums and carried values without one task that holds a whole table or a whole work.
+
+Rows are dealt to buckets, ranges of the first order column; what a bucket needs to know of those before it follows
+from one small row a bucket.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +10,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Values of an integer order column that share a bucket.
+BUCKET = 65_536
+#: Ranges into which the keys of a ranking are cut, when there are many.
+RANGES = 128
+
+
+def numbered(df: DataFrame, key: Column, ties: str, descending: bool = False, name: str = "rank", bucket: int = BUCKET) -> DataFrame:
+    """Add the rank (from 1) by `key`, a number, nulls last either way, and then by `ties`, an integer column.
+
+    Keys are cut into at most RANGES ranges at approximate quantiles; equal keys, however many, are cut by ranges
+    of `ties` too. How many rows come before such a bucket follows from the buckets' counts.
+    """
+    sign = -1 if descending else 1
+    rows = df.withColumn("_key", key).withColumn("_by", sign * F.col("_key").cast("double"))
+    cuts = rows.agg(F.percentile_approx("_by", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("q")).first().q or []
+    cuts = sorted(set(cuts))
+    # An even number: between two cuts; an odd one: at a cut. What is at a cut may be many rows of one key.
+    at = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    place = 2 * F.size(F.filter(at, lambda c: c < F.col("_by"))) + F.array_contains(at, F.col("_by")).cast("int")
+    rows = rows.withColumn("_range", F.when(F.col("_by").isNull(), 2 * len(cuts) + 1).otherwise(place))
+    rows = rows.withColumn("_bucket", F.when(F.col("_range") % 2 == 1, F.floor(F.col(ties) / bucket)).otherwise(F.lit(0)))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range", "_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("_range", "_bucket").agg(F.count("*").alias("_n")).select("_range", "_bucket", before.alias("_before"))
+    rank = F.col("_before") + F.row_number().over(W.partitionBy("_range", "_bucket").orderBy(F.col("_by").asc_nulls_last(), ties))
+    return rows.join(sizes, ["_range", "_bucket"]).select(*df.columns, rank.alias(name))
+
+
+def _bucketed(rows: DataFrame, order: list[str]) -> DataFrame:
+    return rows.withColumn("_bucket", F.floor(F.col(order[0]) / BUCKET))
+
+
+def sums_before(rows: DataFrame, by: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """Add the sum of `value` over the rows of the same `by` that come before. order[0] is an integer column."""
+    rows = _bucketed(rows, order).withColumn("_value", value)
+    buckets = W.partitionBy(by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    total = rows.groupBy(by, "_bucket").agg(F.sum("_value").alias("_n")).select(by, "_bucket", F.coalesce(F.sum("_n").over(buckets), F.lit(0)).alias("_before"))
+    inside = F.sum("_value").over(W.partitionBy(by, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    joined = rows.join(total.withColumnsRenamed({by: "_by", "_bucket": "_b"}), F.col(by).eqNullSafe(F.col("_by")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    return joined.withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_by", "_b", "_bucket", "_before", "_inside", "_value")
+
+
+def numbered_within(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """Add the number (from 1) of each row among those of the same `by`."""
+    return sums_before(rows, by, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
+
 
-def numbered(df: DataFrame, key: Column, ties: str, descending: bool = False, name: str = "rank", bucket: int = 65_536) -> DataFrame:
-    """Add the rank (from 1) by `key`, nulls last either way, and then by `ties`, an integer column.
+def last_so_far(rows: DataFrame, by: str, order: list[str], value: Column, name: str, strictly: bool = False, backwards: bool = False) -> DataFrame:
+    """Add the last non-null `value` at or before each row, among those of the same `by`.
 
-    Rows are numbered within a key value and a range of `ties`; how many rows come before such a bucket
-    follows from the buckets' counts, which are few where the key has few values (a year, a score).
+    strictly: before it only. backwards: the first at or after it (strictly: after it).
     """
-    order = [F.col("_key").desc_nulls_last() if descending else F.col("_key").asc_nulls_last(), F.col("_bucket")]
-    rows = df.withColumn("_key", key).withColumn("_bucket", F.floor(F.col(ties) / bucket))
-    sizes = rows.groupBy("_key", "_bucket").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(F.col("_key").alias("_k"), F.col("_bucket").alias("_b"), before.alias("_before"))
-    rows = rows.join(sizes, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_bucket").eqNullSafe(F.col("_b")))
-    rank = F.col("_before") + F.row_number().over(W.partitionBy("_key", "_bucket").orderBy(ties))
-    return rows.withColumn(name, rank).drop("_key", "_bucket", "_k", "_b", "_before")
+    turned = [F.col(c).desc() if backwards else F.col(c).asc() for c in order]
+    rows = _bucketed(rows, order).withColumn("_value", value)
+    upto = W.partitionBy(by, "_bucket").orderBy(*turned).rowsBetween(W.unboundedPreceding, -1 if strictly else W.currentRow)
+    inside = rows.withColumn("_inside", F.last("_value", True).over(upto))
+    last = (F.min_by if backwards else F.max_by)("_value", F.struct(*order))
+    ends = rows.where(F.col("_value").isNotNull()).groupBy(by, "_bucket").agg(last.alias("_last"))
+    every = rows.select(by, "_bucket").distinct().join(ends.withColumnsRenamed({by: "_by", "_bucket": "_b"}), F.col(by).eqNullSafe(F.col("_by")) & F.col("_bucket").eqNullSafe(F.col("_b")), "left")
+    buckets = W.partitionBy(by).orderBy(F.col("_bucket").desc() if backwards else F.col("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    before = every.select(by, "_bucket", F.last("_last", True).over(buckets).alias("_carried"))
+    joined = inside.join(before.withColumnsRenamed({by: "_by", "_bucket": "_b"}), F.col(by).eqNullSafe(F.col("_by")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    return joined.withColumn(name, F.coalesce("_inside", "_carried")).drop("_by", "_b", "_bucket", "_inside", "_carried", "_value")

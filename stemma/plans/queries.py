@@ -203,7 +203,7 @@ def carry_forward(spark: SparkSession, d: str) -> DataFrame:
     """The last marker at or before each row."""
     rows = read(spark, d, "conversations")
     mark = F.when(F.col("role") != "assistant", F.concat_ws(" ", "role", F.col("turn").cast("string")))
-    return rows.select("conv_id", "turn", annotate.carried(rows, mark, "conv_id", ["turn"], "none").alias("location"))
+    return annotate.carried(rows, mark, "conv_id", ["turn"], "none").select("conv_id", "turn", "location")
 
 
 @query("SELECT doc_id, len(s) AS sentences, sha256(array_to_string(s, '|')) AS sha256 FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(text, '.', '!'), '([。！？!?])', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)")
@@ -277,7 +277,7 @@ def _needles(spark: SparkSession, d: str) -> DataFrame:
 )
 def align_exact_unique(spark: SparkSession, d: str) -> DataFrame:
     """Once, or several times, and on which page first."""
-    out = align.exact(_needles(spark, d), align.page_starts(tables.pages(spark, d)))
+    out = align.exact(_needles(spark, d), align.blocks(align.page_starts(tables.pages(spark, d))))
     return out.select("slug", F.col("ord").alias("item_id"), F.least("hits", F.lit(2)).alias("hits"), "page_no")
 
 
@@ -290,7 +290,7 @@ def align_exact_unique(spark: SparkSession, d: str) -> DataFrame:
 )
 def align_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """Where a needle's parts say it begins."""
-    out = align.fingerprints(_needles(spark, d), align.page_starts(tables.pages(spark, d)))
+    out = align.fingerprints(_needles(spark, d), align.blocks(align.page_starts(tables.pages(spark, d))))
     return out.select("slug", F.col("ord").alias("item_id"), F.col("at").cast("long").alias("at"), "page_no")
 
 

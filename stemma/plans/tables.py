@@ -73,7 +73,7 @@ chunk AS (
   FROM line WHERE text <> '')
 """
 PAGES = """WITH page AS (SELECT source AS slug, doc_id::INT AS page_no, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS txt FROM documents),
-starts AS (SELECT slug, page_no, txt, coalesce(sum(length(txt)) OVER (PARTITION BY slug ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM page),
+starts AS (SELECT slug, page_no, txt, coalesce(sum(length(txt)) OVER (PARTITION BY slug ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM page),
 work AS (SELECT slug, string_agg(txt, '' ORDER BY page_no) AS hay FROM page GROUP BY slug),
 item AS (SELECT item_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS needle FROM benchmark)
 """

@@ -207,17 +207,27 @@ def test_no_anchor_is_unmapped(spark):
 
 
 def test_occurrences_everywhere(spark):
+    """Also needles over many pages, of which some are short or empty, and beyond what a block carries."""
     import random
 
     rnd = random.Random(3)
-    texts = ["".join(rnd.choice("ab") for _ in range(rnd.choice((0, 5, 300, 2500)))) for _ in range(8)]
+    texts = ["".join(rnd.choice("ab") for _ in range(rnd.choice((0, 1, 5, 300, 2500)))) for _ in range(14)] + ["a"] * 40 + [""] * 40 + ["b" * 30, "ab" * 2000]
     located = align.page_starts(page_table(spark, *texts))
     hay = "".join(texts)
-    needles = [hay[i : i + n] for n in (12, 16, 18, 40) for i in range(0, len(hay) - n, 211)]
-    for shortest in (12, 16, 18):
+    begins = {r.page_no: r.start for r in located.collect()}
+    assert [begins[i + 1] for i in range(len(texts))] == [sum(map(len, texts[:i])) for i in range(len(texts))]
+    page = lambda at: max(i + 1 for i, t in enumerate(texts) if t and begins[i + 1] <= at)
+    needles = [hay[i : i + n] for n in (12, 16, 18, 40, 511, 512, 513, 600, 1025, 1537, 5000) for i in range(0, len(hay) - n, 811)] + ["a" * 600, "ab" * 300, "b" * 513]
+    for shortest in (12, 18):
         keyed = [("w", i, n) for i, n in enumerate(needles) if len(n) >= shortest]
-        got = {(r.key, r.at) for r in align.occurrences(spark.createDataFrame(keyed, "slug string, key int, needle string"), located, shortest).collect()}
-        assert got == {(i, p) for _, i, n in keyed for p in range(len(hay)) if hay.startswith(n, p)}
+        rows = align.occurrences(spark.createDataFrame(keyed, "slug string, key int, needle string"), align.blocks(located), shortest).collect()
+        assert {(r.key, r.at) for r in rows} == {(i, p) for _, i, n in keyed for p in range(len(hay)) if hay.startswith(n, p)}
+        assert all(r.page_no == page(r.at) for r in rows)
+
+
+def test_offsets_beyond_32_bits(spark):
+    chunks = spark.createDataFrame([("w", 3_000_000_000 + i, 1, "x") for i in range(3)], "slug string, ord long, pdf_page int, text string")
+    assert [(r["first"], r.chunks) for r in index.parts(chunks).collect()] == [(3_000_000_000, 3)]
 
 
 def test_parts(spark):
