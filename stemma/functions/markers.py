@@ -32,6 +32,7 @@ PLACE_IN_BOOK = FLAGS + (
 )
 PLACEHOLDER = FLAGS + r"^(?:(?:原刊(?:旧付番)?|原書|原写本|原稿|底本|原誌)\s+p\.?\s*(?:X|fX)|原資料\s*[:：]\s*(?:X|○+)|出所\s+(?:X|○+))$"
 SERIES = FLAGS + r"^PMM\s*\d+\s*,"
+BRACES = FLAGS + r"^\{\{\s*SOURCE\s*:\s*|\s*\}\}$"
 
 
 def _inside(marker: Column) -> Column:
@@ -42,7 +43,7 @@ def _inside(marker: Column) -> Column:
 def label(marker: Column) -> Column:
     """The name of a marker: what stands inside; for a series, up to its first stop."""
     text = strip(marker)
-    source = F.concat(F.lit("出所 "), collapse(F.regexp_replace(text, FLAGS + r"^\{\{\s*SOURCE\s*:\s*|\s*\}\}$", "")))
+    source = F.concat(F.lit("出所 "), collapse(F.regexp_replace(text, BRACES, "")))
     inside = _inside(marker)
     short = F.trim(F.regexp_extract(inside, "^([^。：、]*)", 1))
     return F.when(F.startswith(text, F.lit("{{")), source).when(inside.rlike(SERIES), short).otherwise(inside)

@@ -195,6 +195,12 @@ def file_size(size: Column) -> Column:
     return F.when(size >= mb, F.concat(F.format_string("%.1f", size / mb), F.lit(" MB"))).otherwise(F.concat(F.format_string("%.1f", size / 1024.0), F.lit(" KB")))
 
 
+def download_size(size: Column) -> Column:
+    """Megabytes with one decimal, or whole kilobytes."""
+    mb = 1024.0 * 1024
+    return F.when(size >= mb, F.concat(F.format_string("%.1f", size / mb), F.lit(" MB"))).otherwise(F.concat(F.floor(size / 1024.0 + 0.5).cast("string"), F.lit(" KB")))
+
+
 def japanese_date(day: Column) -> Column:
     return F.concat(F.year(day).cast("string"), F.lit("年"), F.month(day).cast("string"), F.lit("月"), F.dayofmonth(day).cast("string"), F.lit("日"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemma.functions import catalogue as C
-from stemma.operators.ranking import numbered
+from stemma.operators.ranking import numbered, numbered_by
 
 STRINGS = ["title", "original_title", "subtitle", "author", "description", "original_publication"]
 ARRAYS = ["types", "regions", "languages", "tags"]
@@ -183,3 +183,14 @@ def upsert_keep(required: DataFrame, current: DataFrame, previous: DataFrame, ke
     best = F.coalesce("now", "before")
     origin = F.when(F.col("now").isNotNull(), "current").when(F.col("before").isNotNull(), "previous").otherwise("missing")
     return out.select(key, *[best[v].alias(v) for v in values], origin.alias("origin"))
+
+
+def required_paths(publications: DataFrame, columns: tuple[str, ...] = ("cover", "pdf", "epub")) -> DataFrame:
+    """path, n: the files that publications need, each once, numbered in the order of their UTF-16 code units."""
+    paths = publications.select(F.explode(F.array(*columns)).alias("path")).where("path is not null").distinct()
+    return numbered_by(paths, F.encode("path", "UTF-16BE"), "n")
+
+
+def by_name(groups: DataFrame, locale: str = "ja") -> DataFrame:
+    """Author groups in the order of their names, as a reader's language has it."""
+    return groups.orderBy(F.collate("name", locale), "author_key")

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 SLUG, COMMIT, SHA, FRAGMENT, BLOCK = "^[a-z0-9-]+$", "^[a-f0-9]{40}$", "^[a-f0-9]{64}$", "^ja_[a-f0-9]+$", "^b[0-9]{5}$"
 LOCATION_PREFIX = r"^(?:原刊|原冊|原資料|原書|原写本|写本|自筆稿|原稿|底本|原誌|原報告|クラウス|出所|PMM|主底本|補完底本|合成底本|デジタル画像|未丁付|第)"
 FRAGMENT_BYTES = 750_000
+#: What page maps and ledgers may say.
+SOURCE_MODES, TEXT_MODES, PENDING = ("canonical-master", "approved-epub-mirror"), ("embedded", "japanese-ocr"), "pending_lfs"
+MASTER_FILE, TAG = r"^[A-Za-z0-9_.-]+\.(?:docx|md)$", "^[A-Za-z0-9._-]+$"
 
 
 def violations(df: DataFrame, check: str, key: str | Column, bad: Column, detail: Column | None = None) -> DataFrame:
@@ -144,3 +147,45 @@ def toc_order(entries: DataFrame) -> DataFrame:
 def unresolved_links(links: DataFrame, members: DataFrame) -> DataFrame:
     """links(slug, target) whose member of the archive is not there."""
     return violations(links.join(members.select("slug", F.col("member").alias("target")), ["slug", "target"], "left_anti"), "link", F.concat_ws("/", "slug", "target"), F.lit(True))
+
+
+def page_map_files(maps: DataFrame, works: DataFrame) -> DataFrame:
+    """Heads of page maps against works(slug, pdf_url, pdf_sha256, epub_sha256, master_path): addresses, checksums, modes."""
+    now = works.select("slug", *[F.col(c).alias(f"{c}_now") for c in ("pdf_url", "pdf_sha256", "epub_sha256", "master_path")])
+    rows = maps.join(now, "slug", "left")
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"{c}_now"))
+    mirror = (F.col("source_mode") == SOURCE_MODES[1]) & ~F.col("source_sha256").eqNullSafe(F.col("epub_sha256_now"))
+    shape_ = F.coalesce(F.col("source_sha256"), F.lit("")).rlike(SHA)
+    return all_of(
+        violations(rows, "map-url", "slug", F.col("canonical_url") != F.concat(F.lit("/publications/"), "slug", F.lit("/"))),
+        violations(rows, "map-pdf", "slug", ~same("pdf_url")),
+        violations(rows, "map-sha", "slug", ~same("pdf_sha256")),
+        violations(rows, "map-master", "slug", F.col("master_path").isNull() | ~same("master_path")),
+        violations(rows, "map-mode", "slug", ~F.col("source_mode").isin(*SOURCE_MODES)),
+        violations(rows, "map-source", "slug", mirror | ~shape_),
+        violations(rows, "map-text", "slug", ~F.col("pdf_text_mode").isin(*TEXT_MODES)),
+    )
+
+
+def canonical_paths(rows: DataFrame, archived: DataFrame, fallbacks: DataFrame) -> DataFrame:
+    """publications(slug) -> slug, path: the archived one, else that of the fallback, else null."""
+    out = rows.select("slug").join(archived.select("slug", "path"), "slug", "left").join(fallbacks.select("slug", "canonical_path"), "slug", "left")
+    return out.select("slug", F.coalesce("path", "canonical_path").alias("path"))
+
+
+def ledger_shapes(ledger: DataFrame, fallbacks: DataFrame) -> DataFrame:
+    """One row of ledger(schema_version, archive_commit), and its fallbacks: versions, states, commits, checksums, names."""
+    key = F.lit("ledger")
+    some = ledger.crossJoin(fallbacks.agg(F.count("*").alias("n")))
+    rows = fallbacks.crossJoin(F.broadcast(ledger.select("archive_commit")))  # one row
+    return all_of(
+        violations(ledger, "ledger-version", key, ~F.col("schema_version").isin(1, 2)),
+        violations(ledger, "ledger-commit", key, ~F.col("archive_commit").rlike(COMMIT)),
+        violations(some, "ledger-fallbacks", key, (F.col("schema_version") == 1) & (F.col("n") > 0)),
+        violations(rows, "fallback-status", "slug", F.col("status") != PENDING),
+        violations(rows, "fallback-commit", "slug", ~F.col("ledger_commit").rlike(COMMIT) | (F.col("ledger_commit") != F.col("archive_commit"))),
+        violations(rows, "fallback-sha", "slug", ~F.col("master_sha256").rlike(SHA)),
+        violations(rows, "fallback-size", "slug", F.col("master_size") < 1),
+        violations(rows, "fallback-file", "slug", ~F.col("master_filename").rlike(MASTER_FILE)),
+        violations(rows, "fallback-tag", "slug", ~F.col("release_tag").rlike(TAG)),
+    )

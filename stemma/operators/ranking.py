@@ -37,6 +37,22 @@ def numbered(df: DataFrame, key: Column, ties: str, descending: bool = False, na
     return rows.join(sizes, ["_range", "_bucket"]).select(*df.columns, rank.alias(name))
 
 
+def numbered_by(df: DataFrame, key: Column, name: str) -> DataFrame:
+    """Add the number (from 1) of each row in the order of `key`, which may be a string or bytes and is different in all rows.
+
+    About RANGES keys, chosen by their hash, cut the order into ranges; they are all that the driver sees.
+    """
+    rows = df.withColumn("_key", key)
+    some = -(-rows.count() // RANGES)
+    cuts = sorted(r[0] for r in rows.where(F.pmod(F.xxhash64("_key"), F.lit(max(some, 1))) == 0).select("_key").limit(8 * RANGES).collect())
+    at = F.array(*map(F.lit, cuts)) if cuts else None
+    rows = rows.withColumn("_range", F.size(F.filter(at, lambda c: c <= F.col("_key"))) if cuts else F.lit(0))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
+    rank = F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy("_key"))
+    return rows.join(sizes, "_range").select(*df.columns, rank.alias(name))
+
+
 def _bucketed(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.withColumn("_bucket", F.floor(F.col(order[0]) / BUCKET))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,18 +25,35 @@ def literal_chunks(chunks: DataFrame, query: str) -> DataFrame:
     return rows.where(F.contains("cmp", F.lit(needle)) if needle else F.lit(False))
 
 
+#: Files of an index are kept by ranges of gram hashes.
+BUCKETS = 64
+
+
 def postings(chunks: DataFrame, width: int = 3) -> DataFrame:
-    """An optional index: gram, slug, ord."""
-    return chunks.select("slug", "ord", F.explode(T.grams(F.col("cmp"), width)).alias("gram"))
+    """An optional index: gram (a hash), bucket, slug, ord."""
+    gram = F.explode(T.grams(F.col("cmp"), width))
+    rows = chunks.select("slug", "ord", gram.alias("gram")).withColumn("gram", F.xxhash64("gram"))
+    return rows.withColumn("bucket", F.pmod("gram", F.lit(BUCKETS)).cast("int"))
+
+
+def write_postings(chunks: DataFrame, path: str, width: int = 3) -> None:
+    """Store postings by bucket, sorted by gram in each file, so that a query reads few files and few row groups of them.
+
+    Buckets are dealt evenly, so that a gram that many chunks have is spread over several files.
+    """
+    rows = postings(chunks, width).hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def literal_chunks_by_index(chunks: DataFrame, index: DataFrame, query: str, width: int = 3) -> DataFrame:
-    """As literal_chunks(): only chunks that have all the query's grams are read and compared."""
+    """As literal_chunks(): only chunks that have all the query's grams are compared. Of the index, only their buckets are read."""
     needle = T.comparable_value(query)
     grams = sorted({needle[i : i + width] for i in range(len(needle) - width + 1)})
     if not grams:
         return literal_chunks(chunks, query)
-    ids = index.where(F.col("gram").isin(grams)).groupBy("slug", "ord").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+    hashes = [F.xxhash64(F.lit(g)) for g in grams]
+    here = F.col("bucket").isin(*[F.pmod(h, F.lit(BUCKETS)).cast("int") for h in hashes]) & F.col("gram").isin(*hashes)
+    ids = index.where(here).groupBy("slug", "ord").agg(F.count_distinct("gram").alias("n")).where(F.col("n") >= F.array_size(F.array_distinct(F.array(*hashes))))
     return literal_chunks(chunks.join(ids.select("slug", "ord"), ["slug", "ord"], "left_semi"), query)
 
 
@@ -114,3 +131,27 @@ def located(results: DataFrame, page_map: DataFrame) -> DataFrame:
     """results(slug, anchor, url, ...) with the location, page and order of their block; others are dropped."""
     keyed = results.withColumn("id", T.block_of(F.col("anchor"), F.col("url")))
     return keyed.join(page_map.select("slug", "id", "original_page", "pdf_page", "order"), ["slug", "id"])
+
+
+def result_label(books: Column, papers: Column) -> Column:
+    """What a reader is told of the works that were found."""
+    return F.concat(F.lit("書籍 "), books.cast("string"), F.lit("冊・論文 "), papers.cast("string"), F.lit("篇が該当"))
+
+
+#: Fixed value: the parameter of an address that holds the query.
+PARAMETER = "fulltext"
+
+
+def with_query(url: Column, query: Column) -> Column:
+    """The address with this query instead of another; without the parameter if it is empty."""
+    bare = F.regexp_replace(url, rf"([?&]){PARAMETER}=[^&#]*(&?)", "$1$2")
+    bare = F.regexp_replace(F.regexp_replace(bare, "([?&])&+", "$1"), "[?&]+(#|$)", "$1")
+    page, fragment = F.regexp_extract(bare, "^([^#]*)", 1), F.regexp_extract(bare, "(#.*)$", 1)
+    joint = F.when(F.contains(page, F.lit("?")), "&").otherwise("?")
+    asked = F.coalesce(query, F.lit(""))
+    return F.concat(page, F.when(asked == "", "").otherwise(F.concat(joint, F.lit(f"{PARAMETER}="), F.url_encode(asked))), fragment)
+
+
+def query_of(url: Column) -> Column:
+    """The query in an address; empty if there is none."""
+    return F.coalesce(F.url_decode(F.regexp_extract(url, rf"[?&]{PARAMETER}=([^&#]*)", 1)), F.lit(""))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,23 +9,15 @@ from pyspark.sql import functions as F
 from stemma.functions import catalogue as C
 from stemma.functions import text as T
 from stemma.operators import align, annotate, catalogue, index, integrity, outline, search
-from stemma.plans import tables
+from stemma.plans import documents, tables
+from stemma.plans.registry import ORACLES, QUERIES, query
 from stemma.plans.tables import CHUNKS, PAGES, PUBLICATIONS, read
 from stemma.sources import formats, sinks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-QUERY = "the that"
-
+__all__ = ["ORACLES", "QUERIES", "documents"]
 
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+QUERY = "the that"
+_INDEXES: dict[tuple[str, str], str] = {}
 
 
 # ---------------------------------------------------------------- catalogue
@@ -80,30 +70,6 @@ def author_groups(spark: SparkSession, d: str) -> DataFrame:
     return out.select("author_key", "name", "n_works", F.sha2(F.array_join("works", ","), 256).alias("works_sha256"))
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
-    """One record a brand and type: a catalogue of fixed size, with arrays of several values. related_publications has the whole catalogue."""
-    part = read(spark, d, "part")
-    words = F.split("p_name", " ")
-    small = lambda i, m: F.array_sort(F.collect_set(F.when(F.col("p_size") <= m, F.element_at(words, i))))
-    out = part.groupBy("p_brand", "p_type").agg(small(1, 2).alias("regions"), small(2, 4).alias("tags"), F.min("p_partkey").alias("ord"))
-    k = F.col("ord")
-    return out.select(F.concat_ws("/", "p_brand", "p_type").alias("slug"), F.array("p_type").alias("types"), "regions", F.array("p_brand").alias("languages"), "tags", F.when(k % 5 == 0, "刊年不詳").otherwise((1600 + k % 300).cast("string")).alias("year"), "ord")
-
-
-@query(
-    """WITH rec AS (SELECT p_brand || '/' || p_type AS slug, [p_type] AS types, list(DISTINCT split_part(p_name, ' ', 1)) FILTER (p_size <= 2) AS regions, [p_brand] AS languages,
-      list(DISTINCT split_part(p_name, ' ', 2)) FILTER (p_size <= 4) AS tags, min(p_partkey) AS ord FROM part GROUP BY p_brand, p_type),
-    keyed AS (SELECT *, CASE WHEN ord % 5 = 0 THEN NULL ELSE 1600 + ord % 300 END AS y FROM rec),
-    pair AS (SELECT a.slug, b.slug AS related, b.y, b.ord,
-      4 * coalesce(len(list_intersect(a.regions, b.regions)), 0) + 3 * len(list_intersect(a.types, b.types)) + 2 * coalesce(len(list_intersect(a.tags, b.tags)), 0) + len(list_intersect(a.languages, b.languages)) AS score
-      FROM keyed a JOIN keyed b ON a.slug <> b.slug)
-    SELECT slug, rank, related, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY score DESC, y ASC NULLS LAST, ord) AS rank FROM pair) WHERE rank <= 3"""
-)
-def related_top3(spark: SparkSession, d: str) -> DataFrame:
-    """The three closest records. A top-k is what this operator is for."""
-    return catalogue.related(_records(spark, d)).select("slug", F.col("rank").cast("long").alias("rank"), "related", "score")
-
-
 @query(
     PUBLICATIONS
     + """, pair AS (SELECT a.slug, b.slug AS related, b.y, b.ord,
@@ -112,8 +78,8 @@ def related_top3(spark: SparkSession, d: str) -> DataFrame:
       FROM pub a JOIN pub b ON a.slug <> b.slug)
     SELECT slug, rank, related, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY score DESC, y ASC NULLS LAST, ord) AS rank FROM pair) WHERE rank <= 3"""
 )
-def related_publications(spark: SparkSession, d: str) -> DataFrame:
-    """The three closest records of the whole catalogue, one record a part."""
+def related_top3(spark: SparkSession, d: str) -> DataFrame:
+    """The three closest records of each, in the whole catalogue, one record a part. A top-k is what this operator is for."""
     return catalogue.related(tables.publications(spark, d)).select("slug", F.col("rank").cast("long").alias("rank"), "related", "score")
 
 
@@ -213,9 +179,18 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("sentences"), F.sha2(F.array_join(s, "|"), 256).alias("sha256"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE sentence AS (SELECT doc_id, lang, list_filter(list_transform(string_split(regexp_replace(replace(text, '.', '!'), '([。！？!?])', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+    cut AS (SELECT doc_id, lang, list_filter(list_transform(flatten(list_transform(s, lambda x: regexp_extract_all(x, '(?s)(.{1,190}\\z|.{135,190}[、；;：:，,]|.{190})\\s*', 1))), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM sentence),
+    piece AS (SELECT doc_id, lang, unnest(p) AS t, unnest(range(1, len(p) + 1)) AS i FROM cut),
+    fold AS (SELECT doc_id, i, 0 AS g, length(t) AS held FROM piece WHERE i = 1
+      UNION ALL SELECT p.doc_id, p.i, f.g + (f.held + length(p.t) > 170)::INT, CASE WHEN f.held + length(p.t) > 170 THEN length(p.t) ELSE f.held + length(p.t) END FROM fold f JOIN piece p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
+    chunk AS (SELECT doc_id, lang, g, trim(regexp_replace(string_agg(t, '' ORDER BY i), '\\s+', ' ', 'g')) AS text FROM fold JOIN piece USING (doc_id, i) GROUP BY doc_id, lang, g),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS ord FROM chunk WHERE length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) >= 2)
+    SELECT doc_id::VARCHAR AS slug, ord, 'b' || lpad(ord::VARCHAR, greatest(5, length(ord::VARCHAR))::INT, '0') AS id, lang AS original_page, text FROM numbered"""
+)
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of all documents; a fold, compared with brute force in tests."""
+    """Chunks of all documents, a greedy fold."""
     docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("slug"), F.lit(1).alias("seq"), F.col("lang").alias("original_page"), F.replace("text", F.lit("."), F.lit("!")).alias("text"))
     return annotate.chunks(docs)
 
@@ -234,10 +209,14 @@ def char_class_count(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.regexp_count(text, F.lit(r"[\x{C0}-\x{24F}]")).cast("long").alias("letters"), T.japanese_count(text).cast("long").alias("japanese"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS size FROM documents")
+@query("SELECT 'checksum' AS \"check\", doc_id::VARCHAR AS key FROM documents WHERE doc_id % 50 < 3")
 def text_digest(spark: SparkSession, d: str) -> DataFrame:
-    """Checksums and sizes."""
-    return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
+    """G4, m5: checksums and sizes of all documents against a copy that lacks files or has other texts."""
+    digests = lambda df: df.select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
+    docs = read(spark, d, "documents")
+    k = F.col("doc_id") % 50
+    copy = docs.where(k != 0).withColumn("text", F.when(k == 1, F.concat("text", F.lit("x"))).when(k == 2, F.concat(F.lit("x"), "text")).otherwise(F.col("text")))
+    return integrity.checksums(digests(docs), digests(copy), "doc_id").select("check", "key")
 
 
 @query("SELECT item_id, len(g) AS grams, sha256(array_to_string(list_sort(g), '|')) AS sha256 FROM (SELECT item_id, list_distinct(list_transform(range(1, length(n) - 4), lambda i: substring(n, i, 6))) AS g FROM (SELECT item_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS n FROM benchmark))")
@@ -247,16 +226,10 @@ def gram_sets(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select("item_id", T.matchable(F.col("text")).alias("n")).select("item_id", F.size(g).cast("long").alias("grams"), F.sha2(F.array_join(F.array_sort(g), "|"), 256).alias("sha256"))
 
 
-@query("SELECT doc_id, replace(replace(replace(replace(replace(substring(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') AS html FROM documents")
-def escaped_html(spark: SparkSession, d: str) -> DataFrame:
-    """C13, on the first 200 characters, as an excerpt has them; escaped_html_whole has whole texts."""
-    return read(spark, d, "documents").select("doc_id", T.escape_html(F.substring("text", 1, 200)).alias("html"))
-
-
 @query(
     "SELECT doc_id, length(html)::BIGINT AS chars, sha256(html) AS sha256 FROM (SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') AS html FROM documents)"
 )
-def escaped_html_whole(spark: SparkSession, d: str) -> DataFrame:
+def escaped_html(spark: SparkSession, d: str) -> DataFrame:
     """C13, on whole texts: length and digest."""
     html = read(spark, d, "documents").select("doc_id", T.escape_html(F.col("text")).alias("html"))
     return html.select("doc_id", F.length("html").cast("long").alias("chars"), F.sha2("html", 256).alias("sha256"))
@@ -361,9 +334,16 @@ def alignment_summary(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- index and search
 
 
-@query()
+@query(
+    CHUNKS.replace("WITH line", "WITH RECURSIVE line")
+    + """, run AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY "first") AS run FROM (SELECT slug, min(ord) AS "first", count(*) AS n, sum(length(text))::BIGINT AS size, arg_min(length(text), ord) AS head FROM chunk GROUP BY slug, pdf_page)),
+    fold AS (SELECT slug, run, "first", n, size, 0 AS part, n AS held, size AS chars FROM run WHERE run = 1
+      UNION ALL SELECT r.slug, r.run, r."first", r.n, r.size, f.part + (f.chars + r.head > 20000 OR f.held >= 200)::INT, CASE WHEN f.chars + r.head > 20000 OR f.held >= 200 THEN r.n ELSE f.held + r.n END,
+        CASE WHEN f.chars + r.head > 20000 OR f.held >= 200 THEN r.size ELSE f.chars + r.size END FROM fold f JOIN run r ON r.slug = f.slug AND r.run = f.run + 1)
+    SELECT slug, part, min("first") AS "first", sum(n)::BIGINT AS chunks, sum(size)::BIGINT AS chars FROM fold GROUP BY slug, part"""
+)
 def part_pack(spark: SparkSession, d: str) -> DataFrame:
-    """A greedy fold, compared with brute force in tests."""
+    """A greedy fold."""
     return index.parts(tables.chunks(spark, d), 20_000, 200)
 
 
@@ -409,9 +389,15 @@ def highlight(spark: SparkSession, d: str) -> DataFrame:
     return search.literal_chunks(tables.chunks(spark, d), QUERY).select("slug", "ord", T.highlight(F.col("text"), QUERY).alias("html"))
 
 
-@query()
+@query(
+    CHUNKS
+    + """, hit AS (SELECT slug, ord, text, least(instr(lower(text), 'idiot'), instr(lower(text), 'the')) AS pos FROM chunk WHERE contains(lower(text), 'idiot') AND contains(lower(text), 'the')),
+    cut AS (SELECT *, greatest(1, pos - 54) AS a, least(length(text), pos - 1 + 116) AS z FROM hit)
+    SELECT slug, ord, CASE WHEN a > 1 THEN '…' ELSE '' END || regexp_replace(replace(replace(replace(replace(replace(substring(text, a, z - a + 1), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;'), '(idiot|the)', '<mark>\\1</mark>', 'gi')
+      || CASE WHEN z < length(text) THEN '…' ELSE '' END AS html FROM cut"""
+)
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
-    """C12; compared with fixtures in tests."""
+    """C12."""
     return search.conjunctive_chunks(tables.chunks(spark, d), "idiot the").select("slug", "ord", T.excerpt(F.col("text"), ["idiot", "the"]).alias("html"))
 
 
@@ -428,8 +414,7 @@ def first_wins_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """The first of equal results."""
     docs = read(spark, d, "documents")
     results = docs.select(F.lit("all").alias("part_id"), F.lit(0).alias("variant"), F.col("doc_id").alias("position"), F.lit(None).cast("string").alias("anchor"), F.lit("").alias("url"), F.md5("text").alias("excerpt"), "source")
-    key = results.groupBy("part_id", F.col("excerpt").alias("key")).agg(F.min_by(F.struct("position", "source"), F.struct("variant", "position")).alias("f"))
-    return key.select("key", F.col("f.position").alias("doc_id"), "f.source")
+    return search.first_results(results).select("key", F.col("position").alias("doc_id"), "source")
 
 
 @query(
@@ -517,21 +502,25 @@ def outline_parents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT user_id AS slug, event_id AS n, spine FROM (SELECT user_id, event_id, (value * 100)::BIGINT % 50 AS spine, lag((value * 100)::BIGINT % 50) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE spine < before"
+    "SELECT 'toc' AS \"check\", user_id || '/' || event_id AS key FROM (SELECT user_id, event_id, (value * 100)::BIGINT % 50 AS spine, lag((value * 100)::BIGINT % 50) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE spine < before"
 )
 def toc_monotone(spark: SparkSession, d: str) -> DataFrame:
     """Entries that go back."""
     spine = F.round(F.col("value") * 100).cast("long") % 50
     rows = read(spark, d, "events").select(F.col("user_id").alias("slug"), F.col("event_id").alias("n"), spine.alias("spine"))
-    before = F.lag("spine").over(W.partitionBy("slug").orderBy("n"))
-    return rows.withColumn("before", before).where("spine < before").select("slug", "n", "spine")
+    return integrity.toc_order(rows).select("check", "key")
 
 
 @query(_LITERAL + "SELECT slug, ord, text FROM hit")
 def indexed_search(spark: SparkSession, d: str) -> DataFrame:
-    """The same chunks by way of a gram index."""
+    """The same chunks by way of a stored gram index, which is built once for a session and its tables."""
     chunks = search.with_search_text(tables.chunks(spark, d))
-    return search.literal_chunks_by_index(chunks, search.postings(chunks), QUERY).select("slug", "ord", "text")
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = f"{sinks.working_folder(spark)}/postings-{len(_INDEXES)}"
+        search.write_postings(chunks, path)
+        _INDEXES[key] = path
+    return search.literal_chunks_by_index(chunks, spark.read.parquet(_INDEXES[key]), QUERY).select("slug", "ord", "text")
 
 
 @query(_LITERAL + "SELECT slug, pdf_page, rank FROM (SELECT slug, pdf_page, row_number() OVER (PARTITION BY slug ORDER BY pdf_page) AS rank FROM (SELECT DISTINCT slug, pdf_page FROM hit)) WHERE rank BETWEEN 4 AND 8")
@@ -541,23 +530,12 @@ def snippet_batch(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("slug", "pdf_page", F.col("n").cast("long").alias("rank"))
 
 
-@query(
-    CHUNKS
-    + "SELECT slug, ord, 'b' || lpad(ord::VARCHAR, greatest(5, length(ord::VARCHAR))::INT, '0') AS id, original_page, pdf_page FROM chunk WHERE length(ord::VARCHAR) <= 5"
-)
-def located_results(spark: SparkSession, d: str) -> DataFrame:
-    """Block ids of five digits meet the page map; longer ones are no block ids. These are a few lines of document 0; located_chunks has all."""
-    chunks = tables.chunks(spark, d)
-    results = chunks.select("slug", "ord", F.lit(None).cast("string").alias("anchor"), F.concat(F.lit("/x/#"), T.block_id(F.col("ord"))).alias("url"))
-    return search.located(results, index.page_map(chunks)).select("slug", "ord", "id", "original_page", "pdf_page")
-
-
 @query(
     CHUNKS
     + """, numbered AS (SELECT slug || '/' || pdf_page || '/' || (ord - pdf_page * 100000) // 99999 AS slug, (ord - pdf_page * 100000) % 99999 + 1 AS ord, original_page, pdf_page FROM chunk)
     SELECT slug, ord, 'b' || lpad(ord::VARCHAR, 5, '0') AS id, original_page, pdf_page FROM numbered"""
 )
-def located_chunks(spark: SparkSession, d: str) -> DataFrame:
+def located_results(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk meets the page map. Block ids count from 1 in each document, or in each 99,999 lines of it, so that all have five digits."""
     line = F.col("ord") - F.col("pdf_page") * 100_000
     work = F.concat_ws("/", "slug", F.col("pdf_page").cast("string"), F.floor(line / 99_999).cast("string"))
@@ -579,8 +557,9 @@ def nearest_caption(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def align_items(spark: SparkSession, d: str) -> DataFrame:
-    """All alignment passes: every item as a chunk of every source (tests compare the passes with fixtures)."""
+    """All alignment passes: items as chunks of works, each of three (tests compare the passes with fixtures)."""
     pages = tables.pages(spark, d)
-    items = read(spark, d, "benchmark").select((F.col("item_id") + 1).cast("int").alias("ord"), F.lit("").alias("original_page"), "text")
-    sources = pages.groupBy("slug").agg(F.lit(1).alias("one"))
-    return align.align(sources.join(items.withColumn("one", F.lit(1)), "one").select("slug", "ord", "original_page", "text"), pages)
+    number = (F.col("item_id") + 1).cast("int").alias("ord")
+    works = F.transform(F.array(*map(F.lit, (0, 7, 13))), lambda k: F.concat(F.lit("src"), ((F.col("item_id") + k) % 20).cast("string")))
+    items = read(spark, d, "benchmark").select(F.explode(works).alias("slug"), number, F.lit("").alias("original_page"), "text")
+    return align.align(items, pages)

@@ -60,6 +60,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- Markdown
 
+#: Lines that end a paragraph.
 FENCE = r"^\s*```"
 RULE = r"^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*$"
 
@@ -135,6 +136,7 @@ def _word_paragraphs(xml: bytes, styles: dict[str, str], sensitive: re.Pattern)
     return out
 
 
+#: Fixed value: markers that count only in paragraphs of certain styles.
 SENSITIVE = re.compile(r"^\s*〔\s*(?:PMM\s*\d+\s*,|出所|主底本|補完底本|合成底本)")
 
 

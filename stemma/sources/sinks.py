@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.functions.text import script_json
 
 
+def working_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share, from the session; only on one machine a folder of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/stemma-{spark.sparkContext.applicationId}"
+
+
 def write_table(df: DataFrame, path: str, *partitions: str, rows_per_file: int = 0) -> None:
     writer = df.write.mode("overwrite").partitionBy(*partitions)
     (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).parquet(path)

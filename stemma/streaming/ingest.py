@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+KNOWN = "path string, sha256 string, batch long"
 
 
 def changed(files: DataFrame, stored: DataFrame) -> DataFrame:
@@ -21,20 +22,30 @@ def stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "content", F.sha2("content", 256).alias("sha256"))
 
 
-def ingest(files: DataFrame, checkpoint: str, output: str, read: Callable[[DataFrame], DataFrame]):
-    """Start a query that turns each batch into rows and appends them to a table; contents seen before are left out."""
-
-    def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        rows = rows.dropDuplicates(["path", "sha256"])
-        try:
-            rows = changed(rows, spark.read.parquet(f"{output}/files"))
-        except Exception as error:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        rows = rows.persist()
-        read(rows).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{output}/rows")
-        rows.select("path", "sha256").write.mode("append").parquet(f"{output}/files")
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def ingest_batch(rows: DataFrame, number: int, output: str, read: Callable[[DataFrame], DataFrame]) -> None:
+    """Write the rows of one batch, and which files it read, to folders of its own; contents of other batches are left out.
+
+    A batch that is run again overwrites what it wrote before, wherever it stopped, so each row is there once.
+    """
+    spark = rows.sparkSession
+    rows = rows.dropDuplicates(["path", "sha256"])
+    if _exists(spark, f"{output}/files"):
+        stored = spark.read.schema(KNOWN).parquet(f"{output}/files")
+        rows = changed(rows, stored.where(F.col("batch") != number))
+    rows = rows.persist()
+    try:
+        read(rows).write.mode("overwrite").parquet(f"{output}/rows/batch={number}")
+        rows.select("path", "sha256").write.mode("overwrite").parquet(f"{output}/files/batch={number}")
+    finally:
         rows.unpersist()
 
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def ingest(files: DataFrame, checkpoint: str, output: str, read: Callable[[DataFrame], DataFrame]):
+    """Start a query that turns each batch into rows of a table, each content once; see ingest_batch()."""
+    run = lambda rows, number: ingest_batch(rows, number, output, read)
+    return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
