@@ -210,6 +210,19 @@ def japanese_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"))
 
 
+IMAGES, DESCRIBED = r"(?i)<img\b[^>]*>", r"(?i)<img\b[^>]*\salt\s*=\s*(?:\"[^\"]*[^\"\s][^\"]*\"|'[^']*[^'\s][^']*')[^>]*>"
+
+
+def images(markup: Column) -> Column:
+    """How many images a document refers to."""
+    return F.regexp_count(markup, F.lit(IMAGES))
+
+
+def images_without_text(markup: Column) -> Column:
+    """How many of them have no words to stand for them."""
+    return images(markup) - F.regexp_count(markup, F.lit(DESCRIBED))
+
+
 def join_lines(left: Column, right: Column) -> Column:
     """Two printed lines as one: a hyphen keeps the joint, Latin words get a space, other scripts none."""
     last = F.regexp_extract(left, r"(\S+)\s*$", 1)

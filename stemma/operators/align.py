@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions import markers as M
 from stemma.functions import text as T
-from stemma.operators.ranking import last_so_far, sums_before
+from stemma.operators.ranking import kept, last_so_far, sums_before
 
 METHODS = ("exact", "fingerprint", "fuzzy", "sourcePage", "inherited", "unmapped")
 VERIFIED = ("exact", "fingerprint", "fuzzy", "sourcePage")
@@ -35,7 +35,7 @@ def _met(there: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
 
 def page_starts(pages: DataFrame) -> DataFrame:
     """pages(slug, page_no, text) -> slug, page_no, txt (for matching), start (0-based place in the work)."""
-    rows = pages.select("slug", "page_no", T.matchable(F.coalesce("text", F.lit(""))).alias("txt"))
+    rows = kept(pages.select("slug", "page_no", T.matchable(F.coalesce("text", F.lit(""))).alias("txt")))
     starts = sums_before(rows.select("slug", "page_no", F.length("txt").alias("n")), "slug", ["page_no"], F.col("n"), "start")
     return rows.join(starts.select("slug", "page_no", "start"), ["slug", "page_no"])
 
@@ -194,15 +194,6 @@ def unique_labels(chunks: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.where("n = 1").select("slug", "ord", "page_no")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A table that several passes read, computed once: reliably checkpointed where there is a folder for that, else persisted."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
-
-
 def align(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """chunks(slug, ord, original_page, text) x pages(slug, page_no, text) -> chunks with pdf_page, alignment.
 
@@ -214,7 +205,7 @@ def align(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     located = kept(page_starts(pages))
     hay = kept(blocks(located))
     last = located.groupBy("slug").agg(F.max("page_no").alias("last_page"))
-    rows = chunks.withColumn("norm", T.matchable(F.col("text"))).join(last, "slug", "left")
+    rows = kept(chunks.withColumn("norm", T.matchable(F.col("text")))).join(last, "slug", "left")
     hits = exact(rows, hay)
     rows = rows.join(hits.select("slug", "ord", "hits", F.col("page_no").alias("hit_page")), ["slug", "ord"], "left")
     missing = rows.where((F.length("norm") >= LONG) & F.col("hits").isNull())

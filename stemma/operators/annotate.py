@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions import markers as M
 from stemma.functions import text as T
-from stemma.operators.ranking import last_so_far, numbered_within
+from stemma.operators.ranking import kept, last_so_far, numbered_within
 
 TARGET, LONGEST = 170, 190
 
@@ -54,8 +54,8 @@ def annotated(paragraphs: DataFrame) -> DataFrame:
     emitted = F.when(F.col("alone"), F.array(row(0, alone, alone))).otherwise(F.array(row(0, none, F.nullif(F.col("clean"), F.lit(""))), row(1, M.label(F.col("marker")), F.concat(F.lit("訳注　"), note))))
     out = parts.select("slug", "para_no", "part", F.explode(emitted).alias("e")).select("slug", "para_no", "part", "e.*")
     order = ["para_no", "part", "step"]
-    out = last_so_far(out, "slug", order, F.col("place"), "place")
-    out = out.withColumn("original_page", F.coalesce("place", F.lit(M.DEFAULT_LOCATION))).where("text is not null")
+    out = last_so_far(kept(out), "slug", order, F.col("place"), "place")
+    out = kept(out.withColumn("original_page", F.coalesce("place", F.lit(M.DEFAULT_LOCATION))).where("text is not null"))
     return numbered_within(out, "slug", order, "seq").select("slug", "seq", "original_page", "text")
 
 
@@ -79,7 +79,7 @@ def chunks(rows: DataFrame, target: int = TARGET) -> DataFrame:
 
     pieces = F.flatten(F.transform(T.sentences(F.col("text")), lambda s: T.pieces(s, LONGEST)))
     out = rows.select("slug", "seq", "original_page", F.posexplode(pack(pieces)).alias("i", "text"))
-    out = out.where(F.length(T.matchable(F.col("text"))) >= 2)
+    out = kept(out.where(F.length(T.matchable(F.col("text"))) >= 2))
     return numbered_within(out, "slug", ["seq", "i"], "ord").select("slug", "ord", T.block_id(F.col("ord")).alias("id"), "original_page", "text")
 
 

@@ -16,6 +16,15 @@ BUCKET = 65_536
 RANGES = 128
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A table that several passes read, computed once: reliably checkpointed where there is a folder for that, else persisted."""
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+
+
 def numbered(df: DataFrame, key: Column, ties: str, descending: bool = False, name: str = "rank", bucket: int = BUCKET) -> DataFrame:
     """Add the rank (from 1) by `key`, a number, nulls last either way, and then by `ties`, an integer column.
 
@@ -82,9 +91,8 @@ def last_so_far(rows: DataFrame, by: str, order: list[str], value: Column, name:
     rows = _bucketed(rows, order).withColumn("_value", value)
     upto = W.partitionBy(by, "_bucket").orderBy(*turned).rowsBetween(W.unboundedPreceding, -1 if strictly else W.currentRow)
     inside = rows.withColumn("_inside", F.last("_value", True).over(upto))
-    last = (F.min_by if backwards else F.max_by)("_value", F.struct(*order))
-    ends = rows.where(F.col("_value").isNotNull()).groupBy(by, "_bucket").agg(last.alias("_last"))
-    every = rows.select(by, "_bucket").distinct().join(ends.withColumnsRenamed({by: "_by", "_bucket": "_b"}), F.col(by).eqNullSafe(F.col("_by")) & F.col("_bucket").eqNullSafe(F.col("_b")), "left")
+    last = (F.min_by if backwards else F.max_by)("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))
+    every = rows.groupBy(by, "_bucket").agg(last.alias("_last"))
     buckets = W.partitionBy(by).orderBy(F.col("_bucket").desc() if backwards else F.col("_bucket")).rowsBetween(W.unboundedPreceding, -1)
     before = every.select(by, "_bucket", F.last("_last", True).over(buckets).alias("_carried"))
     joined = inside.join(before.withColumnsRenamed({by: "_by", "_bucket": "_b"}), F.col(by).eqNullSafe(F.col("_by")) & F.col("_bucket").eqNullSafe(F.col("_b")))

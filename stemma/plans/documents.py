@@ -164,6 +164,15 @@ def page_texts(spark: SparkSession, d: str) -> DataFrame:
     return _orders(spark, d).select(_k().alias("id"), T.page_text(T.repaired(raw, {"~": "?", "~~": "-", "  \u0000": "•"})).alias("text"))
 
 
+@query("SELECT page_id, (page_id % 5 + 2)::BIGINT AS images, 2::BIGINT AS without_text FROM pages")
+def image_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Images of a page, and those without words."""
+    k = F.col("page_id")
+    added = F.concat(F.repeat(F.lit("<p><img src='a.png' alt='a map'></p>"), (k % 5).cast("int")), F.lit('<IMG src="b.png"><img alt=" " src="c.png"/>'))
+    html = F.concat(F.regexp_replace("html", "(?i)<img", "<i-m-g"), added)
+    return read(spark, d, "pages").select("page_id", T.images(html).cast("long").alias("images"), T.images_without_text(html).cast("long").alias("without_text"))
+
+
 # ---------------------------------------------------------------- index and sinks
 
 

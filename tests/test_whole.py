@@ -106,3 +106,21 @@ def test_tables_and_links(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("https://h/?fulltext=x+y", "x y"), ("https://h/", ""), ("https://h/?a=1&b=2&fulltext=q#t", "q"), ("https://h/?fulltext=%C3%A9#t", "é")]
     groups = spark.createDataFrame([("k1", "b"), ("k2", "A"), ("k3", "a")], "author_key string, name string")
     assert [r.author_key for r in catalogue.by_name(groups).collect()] == ["k3", "k2", "k1"]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from stemma.__main__ import main
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "w1.md").write_text("〔原刊 p. 1〕\n\nThe river Usumacinta runs here. It runs on!\n\n〔原刊 p. 2〕 The end of the river.\n")
+    (tmp_path / "src" / "w2.md").write_text("Nothing here but hills.\n")
+    spark.createDataFrame([("w1", 1, "The river Usumacinta runs here. It runs on!"), ("w1", 2, "The end of the river.")], "slug string, page_no int, text string").write.parquet(f"{tmp_path}/pages")
+    chunks, made = f"{tmp_path}/chunks", f"{tmp_path}/index"
+    assert main(["extract", f"{tmp_path}/src", chunks, "--pages", f"{tmp_path}/pages"], spark) == 0
+    assert main(["index", chunks, made], spark) == 0
+    assert main(["verify", chunks], spark) == 0
+    capsys.readouterr()
+    assert main(["search", chunks, "THE RIVER"], spark) == main(["search", chunks, "the river", "--index", made], spark) == 0
+    assert capsys.readouterr().out.split("\n") == ["1 w1 2", "1 w1 2", ""]
+    spark.read.parquet(chunks).where("ord <> 1").write.parquet(f"{tmp_path}/less")
+    assert main(["verify", f"{tmp_path}/less"], spark) == 1
