@@ -194,7 +194,12 @@ def _open_pairs(members: DataFrame, threshold: float) -> DataFrame:
 
     beyond = prefixes(rest, "beyond", F.greatest(F.lit(1), F.ceil(threshold * F.col("n") - F.col("shared") - 1e-6)))
     met = name(beyond.where("stray"), "1").join(name(beyond, "2"), ["c", "h"]).where(apart).select("c", "id1", "id2")
-    inside = prefixes(rest.where(F.col("shared") >= threshold * F.col("n")), "inside", F.ceil(threshold * F.col("n") - 1e-6))
+    # With nothing beyond c, a member's partners have at most `reach` shingles; those out of all strays' reach are not spread.
+    reach = F.col("shared") / share - F.col("n")
+    able = rest.where(F.col("shared") >= threshold * F.col("n"))
+    wanted = able.where("stray").groupBy("c").agg(F.max(reach).alias("most"), F.min("n").alias("least"))
+    able = able.join(wanted, "c").where(F.col("stray") | ((F.col("n") <= F.col("most")) & (reach >= F.col("least")))).drop("most", "least")
+    inside = prefixes(able, "inside", F.ceil(threshold * F.col("n") - 1e-6))
     size = lambda n: F.floor(F.log(n) / math.log(1.02))
     other = F.least(F.col("n") / threshold, F.col("shared") / share - F.col("n"))
     ranges = F.explode(F.sequence(size(threshold * F.col("n")) - 1, size(F.greatest(other, threshold * F.col("n"))) + 1))
