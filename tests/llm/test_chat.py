@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stemma.llm import chat as C
@@ -36,19 +36,36 @@ def test_round_trip(spark):
         (None, 0, "assistant", "null id"), (3, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, "assistant", "w " * 30_000),
     ]
     table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, ids string")
-    out = C.format_chats(table, C.default_tokenizer())
+    out = C.format_chats(table, C.default_vocabulary())
     by = defaultdict(list)
     for c, t, r, x in rows:
         by[c].append((-1 if t is None else t, r or "", x or ""))
-    got = {r.conv_id: tuple(r)[1:5] for r in C.digests(out, C.default_tokenizer()).collect()}
+    got = {r.conv_id: tuple(r)[1:5] for r in C.digests(out, C.default_vocabulary()).collect()}
     assert got == {c: want([(r, x) for _, r, x in sorted(ts)]) for c, ts in by.items()}
     for r in out.collect():
         assert len(r.ids) == len(r.loss_mask) and set(r.loss_mask) <= {0, 1}
 
 
+@settings(deadline=None)
+@given(pieces)
+def test_both_encoders_agree(text):
+    c = C.coder(C.default_vocabulary())
+    made = C.render([("user", text), ("assistant", text + "é x")])[0]
+    ids = c.ids(made)
+    assert ids.tolist() == c.ids_of_any(made).tolist() and c.text(ids) == made
+
+
+def test_endless_white_space():
+    c = C.coder(C.default_vocabulary())
+    made, spans = C.render([("user", "a"), ("assistant", " " * 1_000_000 + "é"), ("user", "b")])
+    ids = c.ids(made)
+    loss = C.mask(spans, c.starts(ids))
+    assert C.learnt_text(C.default_vocabulary(), ids, loss) == " " * 1_000_000 + "é"
+
+
 def test_no_rows(spark):
     table = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert C.format_chats(table, C.default_tokenizer()).count() == 0
+    assert C.format_chats(table, C.default_vocabulary()).count() == 0
 
 
 @pytest.mark.parametrize("conv", [-1, 0])
