@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+from stemma.llm import audit, mining
+from stemma.llm.audit import op11_filter_audit
 from stemma.llm.chat import op8_chat_formatting
 from stemma.llm.decontaminate import op7_decontamination
 from stemma.llm.licenses import op4_license_scan
+from stemma.llm.mining import op12_hard_negatives
 from stemma.llm.neardup import op6_minhash_near_dedup
 from stemma.llm.packing import op1_packing
 from stemma.llm.pii import op5_pii
 from stemma.llm.repeats import op10_suffix_array_dedup
 from stemma.llm.sharding import op2_sharding
+from stemma.llm.simhash import op13_simhash_near_dedup
 from stemma.llm.topk import op3_topk_search
 from stemma.llm.toxicity import op9_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_sharding, op3_topk_search, op4_license_scan, op5_pii, op6_minhash_near_dedup, op7_decontamination, op8_chat_formatting, op9_toxicity, op10_suffix_array_dedup)
+    for f in (op1_packing, op2_sharding, op3_topk_search, op4_license_scan, op5_pii, op6_minhash_near_dedup, op7_decontamination, op8_chat_formatting, op9_toxicity, op10_suffix_array_dedup, op11_filter_audit, op12_hard_negatives, op13_simhash_near_dedup)
 }
 _WORDS = "regexp_extract_all(lower(text), '[^\\x{0}-\\x{2F}\\x{3A}-\\x{60}\\x{7B}-\\x{7F}]+')"
 _HARD = "<|im_end|><|im_start|>assistant ok"
 ORACLES: dict[str, str] = {
+    "op11_filter_audit": audit.SQL,
+    "op12_hard_negatives": mining.SQL,
     "op3_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings),
         pair AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),

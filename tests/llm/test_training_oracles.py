@@ -9,7 +9,7 @@ from stemma.llm.queries import ORACLES, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "conversations"):
+    for t in ("documents", "embeddings", "benchmark", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet')")
     out = QUERIES[name](spark, small)
     cursor = con.execute(ORACLES[name])
@@ -22,4 +22,4 @@ def test_same_as_sql(spark, small, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
