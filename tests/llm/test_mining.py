@@ -76,7 +76,7 @@ def test_unusual_rows(spark):
 
 def test_large_components(spark):
     """Products beyond 2**53 are exact."""
-    rows = [(i, np.array([x * 1e6 for x in e], np.float32).tolist(), k) for i, e, k in rows]
+    rows = [(i, np.array([x * 1e6 for x in e], np.float32).tolist(), k) for i, e, k in make(60, 4, 2)]
     want = brute(rows)
     assert 2**53 < max(abs(s) for *_, s in want) < 2**63
     assert got(spark.createDataFrame(rows, SCHEMA)) == want
