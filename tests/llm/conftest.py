@@ -13,7 +13,7 @@ def make_docs(spark):
     def make(rows, clash=True):
         rows = [r if isinstance(r, tuple) else (i, r) for i, r in enumerate(rows)]
         out = spark.createDataFrame([(i, t, "en", "src0", len(t) if t is not None else None) for i, t in rows], SCHEMA)
-        names = ("size", "shard", "score", "bands", "class_id", "key", "spans", "start", "first", "core", "label") if clash else ()
+        names = ("size", "shard", "score", "bands", "class_id", "key", "spans", "start", "first", "core", "label", "pii", "row", "id", "k1", "k2", "f1", "f2", "repeated", "_id", "_k1", "_k2", "_f1", "_f2", "_repeated", "fp", "part", "fails", "salt") if clash else ()
         return out.withColumns({n: F.lit("clash") for n in names})
 
     return make

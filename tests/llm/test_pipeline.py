@@ -15,11 +15,14 @@ def test_stages(spark, small, make_docs, prose, tmp_path):
     out = P.drop_near_duplicates(spark, docs, small)
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == {0, 3, 4, 5, *range(10, 16), None}
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    values = lambda df: {r.doc_id: [r[c] for c in own] for r in df.collect()}
+    assert values(out) == {i: v for i, v in values(docs).items() if i in (0, 3, 4, 5, *range(10, 16), None)}
     out = P.drop_contaminated(spark, docs, small)
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == {0, 1, 2, 4, 5, 6, *range(10, 16), None}
     out = P.redact(spark, docs, small)
-    assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.columns == docs.columns and out.count() == docs.count() and values(out) == values(docs)
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()}[4] == ("write to [EMAIL] now", 20)
     out = P.drop_toxic(spark, docs, small)
     assert out.columns == docs.columns
