@@ -25,15 +25,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A doc_id on rows with different texts may stay with several.
     """
-    # Which rows stay is decided on ids and hashes; whole texts are moved once, to meet that.
-    first = neardup.first_texts(docs).toDF("_id", "_f1", "_f2", "_repeated")
+    # Which rows stay is decided on ids and hashes; whole rows are moved once, to meet that, as one value each.
+    first = neardup.first_texts(docs).toDF("first_id", "f1", "f2", "repeated")
     k1, k2 = neardup.text_keys(F.col("text"))
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    same = (F.col("doc_id") == F.col("_id")) & (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2"))
-    kept = keyed.join(first, same)
-    if first.where("_repeated").limit(1).count():
-        kept = kept.where("not _repeated").unionByName(kept.where("_repeated").dropDuplicates(["doc_id", "_k1", "_k2"]))
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), k1.alias("k1"), k2.alias("k2"))
+    kept = keyed.join(first, (F.col("id") == F.col("first_id")) & (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")))
+    if first.where("repeated").limit(1).count():
+        kept = kept.where("not repeated").unionByName(kept.where("repeated").dropDuplicates(["id", "k1", "k2"]))
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +42,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; all documents stay, and n_chars follows."""
-    out = pii.redact(pii.find(docs))
+    out = pii.redact(pii.find(docs.select(F.struct("*").alias("row"), "text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
