@@ -179,6 +179,10 @@ def candidate_queries(words: Column) -> Column:
     return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(variants, lambda v: v != "")))
 
 
+#: Block ids have five digits, and as many more as they need.
+BLOCK_ID = "^b(?:[0-9]{5}|[1-9][0-9]{5,})$"
+
+
 def block_id(ordinal: Column) -> Column:
     return F.format_string("b%05d", ordinal)
 
@@ -186,7 +190,7 @@ def block_id(ordinal: Column) -> Column:
 def block_of(anchor: Column, url: Column) -> Column:
     """The block id of a search hit: its anchor, or the fragment of its address."""
     fragment = F.try_element_at(F.split(F.coalesce(url, F.lit("")), "#", -1), F.lit(2))
-    return F.when(anchor.rlike("^b[0-9]{5}$"), anchor).when(fragment.rlike("^b[0-9]{5}$"), fragment)
+    return F.when(anchor.rlike(BLOCK_ID), anchor).when(fragment.rlike(BLOCK_ID), fragment)
 
 
 def file_size(size: Column) -> Column:

@@ -209,7 +209,7 @@ def align(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     hits = exact(rows, hay)
     rows = rows.join(hits.select("slug", "ord", "hits", F.col("page_no").alias("hit_page")), ["slug", "ord"], "left")
     missing = rows.where((F.length("norm") >= LONG) & F.col("hits").isNull())
-    found = fingerprints(missing, hay).select("slug", F.col("ord").cast("int").alias("ord"), F.col("page_no").alias("print_page"))
+    found = fingerprints(missing, hay).select("slug", F.col("ord").cast("long").alias("ord"), F.col("page_no").alias("print_page"))
     rows = rows.join(found, ["slug", "ord"], "left")
     rows = rows.withColumn("alignment", F.when(F.col("hits") == 1, "exact").when(F.col("print_page").isNotNull(), "fingerprint").otherwise("unmapped"))
     rows = kept(rows.withColumn("page_no", F.when(F.col("hits") == 1, F.col("hit_page")).otherwise(F.col("print_page"))))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemma.functions import catalogue as C
-from stemma.operators.ranking import numbered, numbered_by
+from stemma.operators import ranking
 
 STRINGS = ["title", "original_title", "subtitle", "author", "description", "original_publication"]
 ARRAYS = ["types", "regions", "languages", "tags"]
@@ -61,25 +61,26 @@ def sort_order(sort: str, locale: str | None = "ja") -> list:
 
 
 def ranked(publications: DataFrame, sort: str = "year-asc", locale: str | None = "ja") -> DataFrame:
-    """Add `rank` (from 1). This numbers all rows in one order; see page() for one page of them."""
-    return publications.withColumn("rank", F.row_number().over(W.orderBy(*sort_order(sort, locale))))
+    """Add `rank` (from 1), of all rows in one order; see page() for one page of them."""
+    return ranking.ranked(publications, *sort_order(sort, locale))
 
 
 def ranked_by_year(publications: DataFrame, descending: bool = False) -> DataFrame:
-    """ranked() by year for catalogues too large to sort in one task."""
-    return numbered(publications, C.sort_year(F.col("year")), "ord", descending)
+    """ranked() by year."""
+    return ranked(publications, "year-desc" if descending else "year-asc")
 
 
 def page(publications: DataFrame, s: State, locale: str | None = "ja") -> DataFrame:
     """One page of the sorted rows, with `rank`. The page asked for is cut to the last there is.
 
-    A limit with an offset keeps only the leading rows of each task, so no task sorts all.
+    A limit with an offset keeps only the leading rows of each task, so no task sorts all. A page of all rows is ranked().
     """
-    total = publications.count()
-    size = s.per_page or max(total, 1)
+    if not s.per_page:
+        return ranked(publications, s.sort, locale)
+    total, size = publications.count(), s.per_page
     number = min(max(1, s.page), max(1, -(-total // size)))
     rows = publications.orderBy(*sort_order(s.sort, locale)).limit(number * size)
-    return ranked(rows, s.sort, locale).where(F.col("rank") > (number - 1) * size)
+    return rows.withColumn("rank", F.row_number().over(W.orderBy(*sort_order(s.sort, locale)))).where(F.col("rank") > (number - 1) * size)
 
 
 def page_label(total: int, s: State) -> tuple[int, int]:
@@ -90,17 +91,14 @@ def page_label(total: int, s: State) -> tuple[int, int]:
 
 
 def page_strip(pages: int, current: int, narrow: bool = False) -> list[int | str]:
-    """Page numbers to show: ends, the current one and its neighbours; single gaps are filled, larger ones dotted."""
-    shown = {1, pages, current}
-    if narrow:
-        shown |= ({2} if current == 1 else {pages - 1} if current == pages else set()) if pages > 1 else set()
-    else:
-        shown |= {current - 1, current + 1}
-    out: list[int | str] = []
-    for n in sorted(p for p in shown if 1 <= p <= pages):
-        gap = n - last if (last := next((x for x in reversed(out) if isinstance(x, int)), None)) is not None else 1
-        out += ([n - 1] if gap == 2 else ["ellipsis"] if gap > 2 else []) + [n]
-    return out
+    """Page numbers to show: both ends, and the current page with its neighbours (narrow: with none, or one at an end).
+
+    A gap of one number is filled with it, a longer one is an "ellipsis".
+    """
+    reach = 0 if narrow and 1 < current < pages else 1
+    shown = [n for n in range(1, pages + 1) if n in (1, pages) or abs(n - current) <= reach]
+    gaps = [[*range(a + 1, b)] for a, b in zip(shown, [*shown[1:], pages + 1], strict=True)]
+    return [x for n, gap in zip(shown, gaps, strict=True) for x in (n, *(gap if len(gap) < 2 else ["ellipsis"]))]
 
 
 def _pairs(name: str, values: Column) -> Column:
@@ -188,7 +186,7 @@ def upsert_keep(required: DataFrame, current: DataFrame, previous: DataFrame, ke
 def required_paths(publications: DataFrame, columns: tuple[str, ...] = ("cover", "pdf", "epub")) -> DataFrame:
     """path, n: the files that publications need, each once, numbered in the order of their UTF-16 code units."""
     paths = publications.select(F.explode(F.array(*columns)).alias("path")).where("path is not null").distinct()
-    return numbered_by(paths, F.encode("path", "UTF-16BE"), "n")
+    return ranking.ranked(paths, F.encode("path", "UTF-16BE").asc(), name="n")
 
 
 def by_name(groups: DataFrame, locale: str = "ja") -> DataFrame:

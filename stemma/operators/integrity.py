@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stemma.functions.text import BLOCK_ID
+
 #: Shapes of keys.
-SLUG, COMMIT, SHA, FRAGMENT, BLOCK = "^[a-z0-9-]+$", "^[a-f0-9]{40}$", "^[a-f0-9]{64}$", "^ja_[a-f0-9]+$", "^b[0-9]{5}$"
+SLUG, COMMIT, SHA, FRAGMENT, BLOCK = "^[a-z0-9-]+$", "^[a-f0-9]{40}$", "^[a-f0-9]{64}$", "^ja_[a-f0-9]+$", BLOCK_ID
 LOCATION_PREFIX = r"^(?:原刊|原冊|原資料|原書|原写本|写本|自筆稿|原稿|底本|原誌|原報告|クラウス|出所|PMM|主底本|補完底本|合成底本|デジタル画像|未丁付|第)"
 FRAGMENT_BYTES = 750_000
 #: What page maps and ledgers may say.

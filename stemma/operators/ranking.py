@@ -1,7 +1,6 @@
 """Ranks, running sums and carried values without one task that holds a whole table or a whole work.
 
-Rows are dealt to buckets, ranges of the first order column; what a bucket needs to know of those before it follows
-from one small row a bucket.
+Rows are dealt to ranges of the order; what a range needs to know of those before it follows from one small row a range.
 """
 
 from __future__ import annotations
@@ -12,54 +11,50 @@ from pyspark.sql import functions as F
 
 #: Values of an integer order column that share a bucket.
 BUCKET = 65_536
-#: Ranges into which the keys of a ranking are cut, when there are many.
-RANGES = 128
+_KEPT: list[DataFrame] = []
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A table that several passes read, computed once: reliably checkpointed where there is a folder for that, else persisted."""
+    """A table that several passes read, computed once: reliably checkpointed where there is a folder for that, else persisted.
+
+    release() lets go of what was persisted; Spark deletes checkpoints with the tables that read them where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     context = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if folder and not context.getCheckpointDir():
         context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+    if context.getCheckpointDir():
+        return df.checkpoint()
+    _KEPT.append(df.persist())
+    return _KEPT[-1]
 
 
-def numbered(df: DataFrame, key: Column, ties: str, descending: bool = False, name: str = "rank", bucket: int = BUCKET) -> DataFrame:
-    """Add the rank (from 1) by `key`, a number, nulls last either way, and then by `ties`, an integer column.
+def release() -> None:
+    """Let go of all that kept() has persisted; what is still read of it is computed again."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
 
-    Keys are cut into at most RANGES ranges at approximate quantiles; equal keys, however many, are cut by ranges
-    of `ties` too. How many rows come before such a bucket follows from the buckets' counts.
-    """
-    sign = -1 if descending else 1
-    rows = df.withColumn("_key", key).withColumn("_by", sign * F.col("_key").cast("double"))
-    cuts = rows.agg(F.percentile_approx("_by", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("q")).first().q or []
-    cuts = sorted(set(cuts))
-    # An even number: between two cuts; an odd one: at a cut. What is at a cut may be many rows of one key.
-    at = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    place = 2 * F.size(F.filter(at, lambda c: c < F.col("_by"))) + F.array_contains(at, F.col("_by")).cast("int")
-    rows = rows.withColumn("_range", F.when(F.col("_by").isNull(), 2 * len(cuts) + 1).otherwise(place))
-    rows = rows.withColumn("_bucket", F.when(F.col("_range") % 2 == 1, F.floor(F.col(ties) / bucket)).otherwise(F.lit(0)))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_range", "_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = rows.groupBy("_range", "_bucket").agg(F.count("*").alias("_n")).select("_range", "_bucket", before.alias("_before"))
-    rank = F.col("_before") + F.row_number().over(W.partitionBy("_range", "_bucket").orderBy(F.col("_by").asc_nulls_last(), ties))
-    return rows.join(sizes, ["_range", "_bucket"]).select(*df.columns, rank.alias(name))
-
-
-def numbered_by(df: DataFrame, key: Column, name: str) -> DataFrame:
-    """Add the number (from 1) of each row in the order of `key`, which may be a string or bytes and is different in all rows.
-
-    About RANGES keys, chosen by their hash, cut the order into ranges; they are all that the driver sees.
+
+def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """Add the number (from 1) of each row in an order, of any types, that no two rows share.
+
+    Rows are dealt by ranges of the whole order, so many rows of one first key are several ranges, and sorted in
+    each. A row's place in its range and the counts of the ranges before give its number: one shuffle, no window
+    over rows, and a table of one row a range, of which Spark has as many as the rows need.
     """
-    rows = df.withColumn("_key", key)
-    some = -(-rows.count() // RANGES)
-    cuts = sorted(r[0] for r in rows.where(F.pmod(F.xxhash64("_key"), F.lit(max(some, 1))) == 0).select("_key").limit(8 * RANGES).collect())
-    at = F.array(*map(F.lit, cuts)) if cuts else None
-    rows = rows.withColumn("_range", F.size(F.filter(at, lambda c: c <= F.col("_key"))) if cuts else F.lit(0))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
-    rank = F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy("_key"))
-    return rows.join(sizes, "_range").select(*df.columns, rank.alias(name))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = kept(rows)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("_part", before.alias("_before")))  # a row a range
+    return rows.withColumn("_part", part).join(offsets, "_part").select(*df.columns, (F.col("_before") + place + 1).alias(name))
+
+
+def numbered(df: DataFrame, key: Column, ties: str, descending: bool = False, name: str = "rank") -> DataFrame:
+    """Add the rank (from 1) by `key`, nulls last either way, and then by `ties`."""
+    return ranked(df, key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col(ties).asc(), name=name)
 
 
 def _bucketed(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -87,13 +82,19 @@ def last_so_far(rows: DataFrame, by: str, order: list[str], value: Column, name:
 
     strictly: before it only. backwards: the first at or after it (strictly: after it).
     """
+    return lasts_so_far(rows, by, order, {name: value}, strictly, backwards)
+
+
+def lasts_so_far(rows: DataFrame, by: str, order: list[str], values: dict[str, Column], strictly: bool = False, backwards: bool = False) -> DataFrame:
+    """last_so_far() of several values in one go. order[0] is an integer column."""
     turned = [F.col(c).desc() if backwards else F.col(c).asc() for c in order]
-    rows = _bucketed(rows, order).withColumn("_value", value)
+    rows = _bucketed(rows, order).withColumns({f"_value_{k}": v for k, v in values.items()})
     upto = W.partitionBy(by, "_bucket").orderBy(*turned).rowsBetween(W.unboundedPreceding, -1 if strictly else W.currentRow)
-    inside = rows.withColumn("_inside", F.last("_value", True).over(upto))
-    last = (F.min_by if backwards else F.max_by)("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))
-    every = rows.groupBy(by, "_bucket").agg(last.alias("_last"))
+    inside = rows.withColumns({f"_inside_{k}": F.last(f"_value_{k}", True).over(upto) for k in values})
+    last = lambda k: (F.min_by if backwards else F.max_by)(f"_value_{k}", F.when(F.col(f"_value_{k}").isNotNull(), F.struct(*order)))
+    every = rows.groupBy(by, "_bucket").agg(*[last(k).alias(f"_last_{k}") for k in values])
     buckets = W.partitionBy(by).orderBy(F.col("_bucket").desc() if backwards else F.col("_bucket")).rowsBetween(W.unboundedPreceding, -1)
-    before = every.select(by, "_bucket", F.last("_last", True).over(buckets).alias("_carried"))
-    joined = inside.join(before.withColumnsRenamed({by: "_by", "_bucket": "_b"}), F.col(by).eqNullSafe(F.col("_by")) & F.col("_bucket").eqNullSafe(F.col("_b")))
-    return joined.withColumn(name, F.coalesce("_inside", "_carried")).drop("_by", "_b", "_bucket", "_inside", "_carried", "_value")
+    before = every.select(F.col(by).alias("_by"), F.col("_bucket").alias("_b"), *[F.last(f"_last_{k}", True).over(buckets).alias(f"_carried_{k}") for k in values])
+    joined = inside.join(before, F.col(by).eqNullSafe(F.col("_by")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    found = joined.withColumns({k: F.coalesce(f"_inside_{k}", f"_carried_{k}") for k in values})
+    return found.drop("_by", "_b", "_bucket", *[f"_{part}_{k}" for k in values for part in ("value", "inside", "carried")])

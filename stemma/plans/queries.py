@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from stemma.functions import catalogue as C
 from stemma.functions import text as T
 from stemma.operators import align, annotate, catalogue, index, integrity, outline, search
-from stemma.plans import documents, tables
+from stemma.plans import documents, structure, tables
 from stemma.plans.registry import ORACLES, QUERIES, query
 from stemma.plans.tables import CHUNKS, PAGES, PUBLICATIONS, read
 from stemma.sources import formats, sinks
 
-__all__ = ["ORACLES", "QUERIES", "documents"]
+__all__ = ["ORACLES", "QUERIES", "documents", "structure"]
 
 QUERY = "the that"
 _INDEXES: dict[tuple[str, str], str] = {}
@@ -401,14 +401,6 @@ def excerpts(spark: SparkSession, d: str) -> DataFrame:
     return search.conjunctive_chunks(tables.chunks(spark, d), "idiot the").select("slug", "ord", T.excerpt(F.col("text"), ["idiot", "the"]).alias("html"))
 
 
-@query("SELECT item_id, len(w) AS words, array_to_string(w, ' ') AS first_candidate, 1 + list_sum(list_transform(w, lambda x: length(x) - 1))::BIGINT AS candidates FROM (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w FROM benchmark)")
-def candidate_queries(spark: SparkSession, d: str) -> DataFrame:
-    """All ways to cut one word of a query in two."""
-    composed = read(spark, d, "benchmark").select("item_id", T.nfc(F.col("text")).alias("text"))
-    items = composed.select("item_id", T.surface_words(F.col("text")).alias("w")).withColumn("q", T.candidate_queries(F.col("w")))
-    return items.select("item_id", F.size("w").cast("long").alias("words"), F.element_at("q", 1).alias("first_candidate"), F.size("q").cast("long").alias("candidates"))
-
-
 @query("SELECT md5(text) AS key, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY text")
 def first_wins_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """The first of equal results."""
@@ -530,16 +522,10 @@ def snippet_batch(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("slug", "pdf_page", F.col("n").cast("long").alias("rank"))
 
 
-@query(
-    CHUNKS
-    + """, numbered AS (SELECT slug || '/' || pdf_page || '/' || (ord - pdf_page * 100000) // 99999 AS slug, (ord - pdf_page * 100000) % 99999 + 1 AS ord, original_page, pdf_page FROM chunk)
-    SELECT slug, ord, 'b' || lpad(ord::VARCHAR, 5, '0') AS id, original_page, pdf_page FROM numbered"""
-)
+@query(CHUNKS + "SELECT slug, ord, 'b' || lpad(ord::VARCHAR, greatest(5, length(ord::VARCHAR))::INT, '0') AS id, original_page, pdf_page FROM chunk")
 def located_results(spark: SparkSession, d: str) -> DataFrame:
-    """Every chunk meets the page map. Block ids count from 1 in each document, or in each 99,999 lines of it, so that all have five digits."""
-    line = F.col("ord") - F.col("pdf_page") * 100_000
-    work = F.concat_ws("/", "slug", F.col("pdf_page").cast("string"), F.floor(line / 99_999).cast("string"))
-    chunks = tables.chunks(spark, d).withColumns({"slug": work, "ord": line % 99_999 + 1})
+    """Every chunk meets the page map, by ids of five digits and more."""
+    chunks = tables.chunks(spark, d)
     results = chunks.select("slug", "ord", F.lit(None).cast("string").alias("anchor"), F.concat(F.lit("/x/#"), T.block_id(F.col("ord"))).alias("url"))
     return search.located(results, index.page_map(chunks)).select("slug", "ord", "id", "original_page", "pdf_page")
 

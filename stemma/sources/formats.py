@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions import markers as M
 from stemma.functions.text import matchable, strip
+from stemma.operators.ranking import ranked
 
 #: Elements that make a block of text.
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote figcaption caption th td pre".split())
@@ -52,10 +53,20 @@ def read_manifest(spark: SparkSession, path: str, version: int = 1) -> DataFrame
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Publications from JSON lines, a JSON array, or Parquet; `ord` is their order in the file."""
-    rows = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.json(path, multiLine=True)
-    order = F.monotonically_increasing_id()
-    return rows.withColumn("ord", order) if "ord" not in rows.columns else rows
+    """Publications from JSON lines, a JSON array, or Parquet; `ord` (from 0) is their place in the files, by their names.
+
+    JSON whose first sign is a bracket is an array, whatever its lines are. Blank lines are no records.
+    """
+    if path.rstrip("/").endswith(".parquet"):
+        rows = spark.read.parquet(path)
+    else:
+        first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()  # one line
+        rows = spark.read.json(path, multiLine=bool(first) and first[0].value.lstrip("\ufeff \t").startswith("["))
+    if "ord" in rows.columns:
+        return rows
+    place = ["_file", "_start", "_row"]
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")).withColumn("_row", F.monotonically_increasing_id())
+    return ranked(rows, *[F.col(c).asc() for c in place], name="ord").withColumn("ord", F.col("ord") - 1).drop(*place)
 
 
 # ---------------------------------------------------------------- Markdown

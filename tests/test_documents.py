@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from stemma.operators import align, annotate, index
 from stemma.sources import formats, sinks
-from stemma.streaming import ingest
 
 PLACE = "底本位置なし（前付）"
 
@@ -243,28 +242,6 @@ def test_page_map_json(spark):
     assert json.loads(sinks.page_maps(rows).first().blocks) == {"b00001": ["原刊 p. 1", 4, 0], "b00002": ['原刊 "p" 2', 5, 1]}
 
 
-def test_incremental_ingest(spark, tmp_path):
-    folder, out = tmp_path / "in", str(tmp_path / "out")
-    folder.mkdir()
-    read = lambda rows: rows.select("path", F.length("content").alias("n"))
-    for name, text in (("a", "1"), ("b", "22"), ("a", "333")):
-        (folder / f"{name}{len(text)}.txt").write_text(text)
-        ingest.ingest(ingest.stream(spark, str(folder)), str(tmp_path / "state"), out, read).awaitTermination()
-    assert sorted(r.n for r in spark.read.parquet(f"{out}/rows").collect()) == [1, 2, 3]
-
-
-def test_a_batch_that_runs_again(spark, tmp_path):
-    """After a stop between its two tables, or after both, a batch leaves each row once; other batches know its files."""
-    out = str(tmp_path)
-    read = lambda rows: rows.select("path", F.length("content").alias("n"))
-    files = lambda *rows: spark.createDataFrame([(p, t.encode(), t) for p, t in rows], "path string, content binary, sha256 string")
-    ingest.ingest_batch(files(("a", "1"), ("b", "22")), 0, out, read)
-    ingest.ingest_batch(files(("a", "1"), ("b", "22")), 0, out, read)
-    read(files(("c", "333"))).write.parquet(f"{out}/rows/batch=1")  # stopped before the second table
-    ingest.ingest_batch(files(("c", "333"), ("a", "1"), ("a", "4444"), ("a", "4444")), 1, out, read)
-    assert sorted(r.n for r in spark.read.parquet(f"{out}/rows").collect()) == [1, 2, 3, 4]
-
-
 def test_footnotes(spark):
     notes = spark.createDataFrame([("w", "O/n.xhtml", "../O/a.xhtml#r1", "注一"), ("w", "O/n.xhtml", "a.xhtml#r2", "注二"), ("w", "O/n.xhtml", "#x", "注三")], "slug string, member string, href string, text string")
     anchors = spark.createDataFrame([("w", "O/a.xhtml", "r1", "原刊 p. 4"), ("w", "O/a.xhtml", "r2", PLACE)], "slug string, member string, fragment string, original_page string")
