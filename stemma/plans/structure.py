@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stemma.operators import outline, segment
+from stemma.functions import text as T
+from stemma.operators import outline, packages, segment
+from stemma.plans import tables
 from stemma.plans.registry import query
-from stemma.plans.tables import read
+from stemma.plans.tables import CHUNKS, read
+from stemma.sources import sinks, storage
 
 # ---------------------------------------------------------------- words
 
@@ -91,3 +95,116 @@ def contents_lists(spark: SparkSession, d: str) -> DataFrame:
     lines = outline.contents_markup(outline.contents(_headings(spark, d)))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "markup"))), lambda x: x.markup)
     return lines.groupBy("slug").agg(F.count("*").alias("entries"), F.sha2(F.array_join(ordered, "\n"), 256).alias("sha256"))
+
+
+# ---------------------------------------------------------------- archives
+
+#: Kinds of books; all but the first have a fault.
+_KINDS = 23
+
+
+def _book_members(spark: SparkSession, d: str) -> DataFrame:
+    """file, n, member, content, stored, of EPUBs of three pages each, most with a fault by the book's number."""
+    words = T.collapse(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[^\p{L}\p{N}., ]+", " "))
+    pages = read(spark, d, "pages").select("page_id", F.floor(F.col("page_id") / 3).alias("book"), words.alias("words"))
+    head = F.row_number().over(W.partitionBy("book").orderBy("page_id")) == 1
+    pages = pages.withColumns({"kind": F.col("book") % _KINDS, "head": head, "name": F.concat(F.lit("p"), F.col("page_id").cast("string"))})
+    on = lambda k, what: F.when(F.col("kind") == k, F.lit(what)).otherwise("")
+    first = lambda k, what: F.when((F.col("kind") == k) & F.col("head"), F.lit(what)).otherwise("")
+    body = F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><head><title>t</title></head><body><h1 id="h">'), "name", F.lit("</h1><p>"), "words", F.lit("</p>"), first(15, '<p id="h">x</p>'), first(16, '<p><a href="gone.xhtml">x</a></p>'), first(17, "<p>"), first(18, '<p><img src="p.xhtml"/></p>'), F.lit("</body></html>"))
+    texts = pages.select("book", "kind", F.lit(10).alias("n"), F.concat(F.lit("OEBPS/text/"), "name", F.lit(".xhtml")).alias("member"), F.replace(body, F.lit('<img src="p.xhtml"/>'), F.lit('<img src="../nav.xhtml" alt=" "/>')).alias("content"))
+    each = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", c.alias("x")))), lambda s: s.x), "")
+    entry = F.concat(F.lit('<item id="'), "name", F.lit('" href="text/'), "name", F.lit('.xhtml"/>'))
+    link = F.concat(F.lit('<li><a href="text/'), "name", F.lit('.xhtml#h">'), "name", F.lit("</a></li>"))
+    again = F.concat(F.lit('<li><a href="text/'), F.min_by("name", "page_id"), F.lit('.xhtml#h">x</a></li>'))
+    lost = F.concat(F.lit('<li><a href="text/'), F.max_by("name", "page_id"), F.lit('.xhtml#none">x</a></li>'))
+    second = F.concat(F.lit('<item id="n2" properties="nav" href="text/'), F.min_by("name", "page_id"), F.lit('.xhtml"/>'))
+    books = pages.groupBy("book", "kind").agg(each(entry).alias("items"), each(F.concat(F.lit('<itemref idref="'), "name", F.lit('"/>'))).alias("refs"), each(link).alias("links"), again.alias("again"), lost.alias("lost"), second.alias("second"))
+    kind = F.col("kind")
+    nav = F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol>'), F.when(kind == 19, "").otherwise(F.col("links")), on(20, '<li><a href="nav.xhtml">x</a></li>'), F.when(kind == 21, F.col("again")).otherwise(""), F.when(kind == 22, F.col("lost")).otherwise(""), F.lit("</ol></nav></body></html>"))
+    package = F.concat(
+        F.when(kind == 7, '<package xmlns="http://www.idpf.org/2007/opf" version="2.0"><manifest>').otherwise('<package xmlns="http://www.idpf.org/2007/opf" version="3.0"><manifest>'),
+        F.when(kind == 11, '<item id="nav" href="nav.xhtml"/>').otherwise('<item id="nav" properties="scripted nav" href="nav.xhtml"/>'), "items",
+        on(8, '<item id="" href="nav.xhtml"/>'), on(9, '<item id="x" href="gone.css"/>'), on(10, '<item id="x" href="empty%20one.css"/>'), F.when(kind == 12, F.col("second")).otherwise(""),
+        F.lit("</manifest><spine>"), F.when(kind == 13, "").otherwise(F.col("refs")), on(14, '<itemref idref="who"/>'), F.lit("</spine></package>"),
+    )
+    root = lambda path: f'<rootfile full-path="{path}"/>'
+    container = F.concat(F.lit('<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles>'), F.when(kind == 6, root("OEBPS/gone.opf")).otherwise(root("OEBPS/book.opf")), on(5, root("OEBPS/book.opf")), F.lit("</rootfiles></container>"))
+    member = lambda n, name, content: F.struct(F.lit(n).alias("n"), F.lit(name).alias("member"), content.alias("content"))
+    kind_said = F.when(kind == 3, "application/zip").otherwise("application/epub+zip")
+    fixed = F.array(member(1, "mimetype", kind_said), member(2, "META-INF/container.xml", container), member(3, "OEBPS/book.opf", package), member(4, "OEBPS/nav.xhtml", nav), member(5, "OEBPS/empty one.css", F.lit("")))
+    made = books.select("book", "kind", F.explode(fixed).alias("m")).select("book", "kind", "m.*").unionByName(texts)
+    made = made.where("not (kind = 4 and n = 2) and not (kind <> 10 and n = 5)").withColumn("n", F.when((F.col("kind") == 1) & (F.col("n") == 1), 2).when((F.col("kind") == 1) & (F.col("n") == 2), 1).otherwise(F.col("n")))
+    return made.select(F.concat(F.lit("book-"), F.col("book").cast("string"), F.lit(".epub")).alias("file"), "n", "member", F.encode("content", "UTF-8").alias("content"), ((F.col("member") == "mimetype") & (F.col("kind") != 2)).alias("stored"))
+
+
+def _books(spark: SparkSession, d: str) -> DataFrame:
+    """Those books, written as archives and read again by their members."""
+    folder = sinks.scratch(spark, "books")
+    storage.write_files(_book_members(spark, d), storage.Archives, folder, "n", "member")
+    return storage.read_archives(spark, folder, "*.epub")
+
+
+_BOOKS = """WITH page AS (SELECT page_id, page_id // 3 AS book, page_id // 3 % 23 AS kind FROM pages),
+book AS (SELECT book, kind, 'book-' || book || '.epub' AS a, count(*) AS n, 'p' || min(page_id) AS f, 'p' || max(page_id) AS l FROM page GROUP BY book, kind)
+"""
+
+
+@query(
+    _BOOKS
+    + """SELECT "check", a || path AS key, detail FROM (
+      SELECT a, 'type-first' AS "check", '' AS path, 'META-INF/container.xml' AS detail FROM book WHERE kind = 1
+      UNION ALL SELECT a, 'type-stored', '', '8' FROM book WHERE kind = 2
+      UNION ALL SELECT a, 'type-said', '', '' FROM book WHERE kind = 3
+      UNION ALL SELECT a, 'container', '', '' FROM book WHERE kind = 4
+      UNION ALL SELECT a, unnest(['navigation', 'spine']), '', '' FROM book WHERE kind IN (4, 5, 6)
+      UNION ALL SELECT a, 'root', '', '2' FROM book WHERE kind = 5
+      UNION ALL SELECT a, 'package', '', 'OEBPS/gone.opf' FROM book WHERE kind = 6
+      UNION ALL SELECT a, 'version', '', '2.0' FROM book WHERE kind = 7
+      UNION ALL SELECT a, 'item', '/OEBPS/book.opf', '' FROM book WHERE kind = 8
+      UNION ALL SELECT a, 'item-missing', '/OEBPS/book.opf', 'OEBPS/gone.css' FROM book WHERE kind = 9
+      UNION ALL SELECT a, 'link', '/OEBPS/text/' || f || '.xhtml', 'gone.xhtml' FROM book WHERE kind = 16
+      UNION ALL SELECT a, 'item-empty', '/OEBPS/empty one.css', '' FROM book WHERE kind = 10
+      UNION ALL SELECT a, 'navigation', '', '' FROM book WHERE kind = 11
+      UNION ALL SELECT a, 'navigation-twice', '', '2' FROM book WHERE kind = 12
+      UNION ALL SELECT a, 'spine', '', '' FROM book WHERE kind = 13
+      UNION ALL SELECT a, 'contents-outside', '', 'text/p' || page_id || '.xhtml#h' FROM book JOIN page USING (book) WHERE book.kind = 13
+      UNION ALL SELECT a, 'spine-id', '', 'who' FROM book WHERE kind = 14
+      UNION ALL SELECT a, 'id-twice', '/OEBPS/text/' || f || '.xhtml', 'h' FROM book WHERE kind = 15
+      UNION ALL SELECT a, 'malformed', '/OEBPS/text/' || f || '.xhtml', '' FROM book WHERE kind = 17
+      UNION ALL SELECT a, 'contents-fragment', '', 'text/' || f || '.xhtml#h' FROM book WHERE kind = 17
+      UNION ALL SELECT a, 'image-words', '/OEBPS/text/' || f || '.xhtml', '../nav.xhtml' FROM book WHERE kind = 18
+      UNION ALL SELECT a, 'contents', '', '' FROM book WHERE kind = 19
+      UNION ALL SELECT a, 'contents-outside', '', 'nav.xhtml' FROM book WHERE kind = 20
+      UNION ALL SELECT a, 'contents-order', '', 'text/' || f || '.xhtml#h' FROM book WHERE kind = 21 AND n > 1
+      UNION ALL SELECT a, 'contents-fragment', '', 'text/' || l || '.xhtml#none' FROM book WHERE kind = 22)"""
+)
+def epub_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Archives of the pages, read by their directories; each fault that was put in is found, and nothing else."""
+    members = _books(spark, d).withColumn("archive", F.regexp_extract("archive", "([^/]*)$", 1))
+    return packages.check(members)
+
+
+@query(
+    _BOOKS
+    + r""", said AS (SELECT page_id, page.book, page.kind, f, n, row_number() OVER (PARTITION BY page.book ORDER BY page_id) - 1 AS document, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[^\p{L}\p{N}., ]+', ' ', 'g'), '\s+', ' ', 'g')) AS words FROM page JOIN pages USING (page_id) JOIN book ON book.book = page.book),
+    block AS (SELECT book, document, 1 AS i, 'h1' AS tag, 'p' || page_id AS text FROM said WHERE kind NOT IN (4, 5, 6, 13)
+      UNION ALL SELECT book, document, 2, 'p', words FROM said WHERE kind NOT IN (4, 5, 6, 13) AND words <> '' UNION ALL SELECT book, document, 3, 'p', 'x' FROM said WHERE kind IN (15, 16) AND document = 0)
+    SELECT 'book-' || book AS slug, document::INT AS document, row_number() OVER (PARTITION BY book ORDER BY document, i) AS para_no, tag, length(text) AS n, sha256(text) AS sha256 FROM block"""
+)
+def epub_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of those archives in reading order, malformed documents in their places, navigation left out."""
+    out = packages.blocks(_books(spark, d))
+    return out.select("slug", "document", "para_no", "tag", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha256"))
+
+
+# ---------------------------------------------------------------- files of the client
+
+
+@query(CHUNKS + """SELECT slug, 'b' || lpad(ord::VARCHAR, greatest(5, length(ord::VARCHAR))::INT, '0') AS key, '["' || original_page || '",' || pdf_page || ',' || (ord - 1) || ']' AS value FROM chunk""")
+def page_map_json(spark: SparkSession, d: str) -> DataFrame:
+    """K2: page maps as JSON files, one a work, written in order without holding one, and read again line by line."""
+    folder = sinks.scratch(spark, "page-maps")
+    sinks.write_page_maps(tables.chunks(spark, d), folder)
+    lines = spark.read.text(folder).select(F.regexp_extract(F.col("_metadata.file_name"), "(.*)[.]json$", 1).alias("slug"), "value").where("length(value) > 1")
+    return lines.select("slug", F.regexp_extract("value", '^"([^"]*)":', 1).alias("key"), F.regexp_extract("value", r'^"[^"]*":(.*?),?$', 1).alias("value"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.functions.text import script_json
+from stemma.functions.text import block_id, script_json
+from stemma.sources import storage
 
 
 def working_folder(spark: SparkSession) -> str:
@@ -21,17 +25,62 @@ def working_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stemma-{spark.sparkContext.applicationId}"
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below working_folder(), deleted with clear_scratch() or when the driver ends."""
+    _SCRATCH.append((spark, f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"))
+    return _SCRATCH[-1][1]
+
+
+def clear_scratch() -> None:
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        with contextlib.suppress(Exception):  # the session may have ended
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+atexit.register(clear_scratch)
+
+
 def write_table(df: DataFrame, path: str, *partitions: str, rows_per_file: int = 0) -> None:
     writer = df.write.mode("overwrite").partitionBy(*partitions)
     (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).parquet(path)
 
 
+def json_array(*values: Column) -> Column:
+    """A JSON array of strings and numbers, as text; null for what is null."""
+    said = lambda v: F.coalesce(F.regexp_extract(F.to_json(F.struct(v.alias("v"))), r"^\{\"v\":(?s:(.+))\}$", 1), F.lit(""))
+    return F.concat(F.lit("["), F.array_join(F.transform(F.array(*map(said, values)), lambda x: F.when(x == "", "null").otherwise(x)), ","), F.lit("]"))
+
+
 def page_maps(chunks: DataFrame) -> DataFrame:
-    """chunks(slug, ord, original_page, pdf_page) -> slug, blocks: JSON of block id -> [location, page, order]."""
-    entry = F.struct(F.format_string("b%05d", "ord").alias("key"), F.array(F.to_json(F.array("original_page")), F.col("pdf_page").cast("string"), (F.col("ord") - 1).cast("string")).alias("v"))
-    quoted = lambda e: F.concat(F.lit('"'), e.key, F.lit('":['), F.substring(e.v[0], F.lit(2), F.length(e.v[0]) - 2), F.lit(","), e.v[1], F.lit(","), e.v[2], F.lit("]"))
-    rows = chunks.groupBy("slug").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
-    return rows.select("slug", F.concat(F.lit("{"), F.array_join(F.transform("rows", quoted), ","), F.lit("}")).alias("blocks"))
+    """chunks(slug, ord, original_page, pdf_page) -> file, ord, key, value: the entries of each work's page map.
+
+    key is a block id, value JSON: [location, page, order].
+    """
+    value = json_array(F.col("original_page"), F.col("pdf_page"), F.col("ord") - 1)
+    return chunks.select(F.concat("slug", F.lit(".json")).alias("file"), "ord", block_id(F.col("ord")).alias("key"), value.alias("value"))
+
+
+def write_page_maps(chunks: DataFrame, path: str) -> None:
+    """One JSON file a work, an entry a line, in the order of its chunks; see storage.write_files()."""
+    storage.write_files(page_maps(chunks), storage.JsonFiles, path, "ord")
+
+
+def write_corpus(chunks: DataFrame, path: str) -> None:
+    """One JSON file a work: block id -> [location, page, text], in order."""
+    value = json_array(F.col("original_page"), F.col("pdf_page"), F.col("text"))
+    rows = chunks.select(F.concat("slug", F.lit(".json")).alias("file"), "ord", block_id(F.col("ord")).alias("key"), value.alias("value"))
+    storage.write_files(rows, storage.JsonFiles, path, "ord")
+
+
+def write_document_map(parts: DataFrame, path: str, name: str = "documents.json") -> None:
+    """One JSON file: fragment -> [slug, class, part]."""
+    rows = document_map(parts).select(F.lit(name).alias("file"), F.col("part_id").alias("key"), F.col("mapping").alias("value"))
+    storage.write_files(rows, storage.JsonFiles, path, "key")
 
 
 def document_map(parts: DataFrame) -> DataFrame:

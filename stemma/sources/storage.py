@@ -256,19 +256,19 @@ class Archives(DataSource):
 
 
 class JsonWriter(FileWriter):
-    """Rows (file, key, value), value being JSON, become one object a file."""
+    """Rows (file, key, value), value being JSON, become one object a file, an entry a line."""
 
     def begin(self, file) -> list:
         file.write(b"{")
-        return [file, b""]
+        return [file, b"\n"]
 
     def add(self, out: list, row: Row) -> None:
         file, joint = out
         file.write(joint + json.dumps(row.key, ensure_ascii=False).encode() + b":" + row.value.encode())
-        out[1] = b","
+        out[1] = b",\n"
 
     def end(self, out: list) -> None:
-        out[0].write(b"}")
+        out[0].write(b"\n}\n")
 
 
 class JsonFiles(DataSource):

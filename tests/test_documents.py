@@ -235,13 +235,6 @@ def test_parts(spark):
     assert [(r.part, r["first"], r.chunks, r.chars) for r in got] == [(0, 1, 2, 120), (1, 3, 2, 100), (2, 5, 4, 4), (3, 9, 1, 1)]
 
 
-def test_page_map_json(spark):
-    import json
-
-    rows = spark.createDataFrame([("w", 2, '原刊 "p" 2', 5), ("w", 1, "原刊 p. 1", 4)], "slug string, ord int, original_page string, pdf_page int")
-    assert json.loads(sinks.page_maps(rows).first().blocks) == {"b00001": ["原刊 p. 1", 4, 0], "b00002": ['原刊 "p" 2', 5, 1]}
-
-
 def test_footnotes(spark):
     notes = spark.createDataFrame([("w", "O/n.xhtml", "../O/a.xhtml#r1", "注一"), ("w", "O/n.xhtml", "a.xhtml#r2", "注二"), ("w", "O/n.xhtml", "#x", "注三")], "slug string, member string, href string, text string")
     anchors = spark.createDataFrame([("w", "O/a.xhtml", "r1", "原刊 p. 4"), ("w", "O/a.xhtml", "r2", PLACE)], "slug string, member string, fragment string, original_page string")
