@@ -44,3 +44,36 @@ def multiset_overlap(left: Column, right: Column) -> Column:
 
 def tags(*arrays: Column) -> Column:
     return F.array_distinct(F.concat(*arrays))
+
+
+#: Parameters of a catalogue's address in their order, with what each is where it is not there; and that of full-text search.
+PARAMETERS = {"q": "", "type": "", "region": "", "language": "", "era": "", "sort": "year-asc", "perPage": "12", "page": "1"}
+FULLTEXT = "fulltext"
+
+
+def parameter(url: Column, name: str) -> Column:
+    """A parameter of an address, decoded; null if it is not there."""
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    found = F.filter(F.split(query, "&"), lambda p: F.startswith(p, F.lit(f"{name}=")))
+    return F.url_decode(F.substring(F.try_element_at(found, F.lit(1)), F.lit(len(name) + 2), F.length(query)))
+
+
+def asked(url: Column, name: str) -> Column:
+    """What an address asks for, or the default; pages are whole numbers from 1, sizes those that there are."""
+    value = F.coalesce(F.nullif(parameter(url, name), F.lit("")), F.lit(PARAMETERS[name]))
+    if name == "page":
+        return F.greatest(F.coalesce(F.floor(value.try_cast("double")), F.lit(1)), F.lit(1)).cast("string")
+    return F.when(value.isin("6", "12", "24", "all"), value).otherwise(PARAMETERS[name]) if name == "perPage" else value
+
+
+def address(url: Column, state: dict[str, Column]) -> Column:
+    """The address with a state (by PARAMETERS) instead of its own: defaults left out, full-text query and fragment kept."""
+    coded = lambda name, value: F.concat(F.lit(f"{name}="), F.url_encode(value))
+    fulltext = F.nullif(parameter(url, FULLTEXT), F.lit(""))
+    parts = [F.when(fulltext.isNotNull(), coded(FULLTEXT, fulltext))]
+    for name, default in PARAMETERS.items():
+        value = state[name].cast("string")
+        other = state[name].cast("long") > 1 if name == "page" else (value != default) & (value != "")
+        parts.append(F.when(other, coded(name, value)))
+    query = F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull()), "&")
+    return F.concat(F.regexp_extract(url, "^([^?#]*)", 1), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.regexp_extract(url, "(#.*)?$", 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stemma.functions.text import collapse, strip
+from stemma.functions.text import collapse, let, strip
 
 #: The grammar of markers, as Java expressions (flags: ignore case, Unicode classes).
 FLAGS = "(?iU)"
@@ -32,62 +32,82 @@ PLACE_IN_BOOK = FLAGS + (
 )
 PLACEHOLDER = FLAGS + r"^(?:(?:原刊(?:旧付番)?|原書|原写本|原稿|底本|原誌)\s+p\.?\s*(?:X|fX)|原資料\s*[:：]\s*(?:X|○+)|出所\s+(?:X|○+))$"
 SERIES = FLAGS + r"^PMM\s*\d+\s*,"
+RESOURCE, RECORD, COMPOSITE = r"(?U)^原資料\s*[:：]", r"(?U)^出所\b", r"(?U)^(?:主底本|補完底本|合成底本)\b"
 BRACES = FLAGS + r"^\{\{\s*SOURCE\s*:\s*|\s*\}\}$"
 
 
-def _inside(marker: Column) -> Column:
-    text = strip(marker)
+def _label(text: Column, inside: Column) -> Column:
+    """The name of a marker `text` without space around it, by what stands `inside` it."""
+    source = F.concat(F.lit("出所 "), collapse(F.regexp_replace(text, BRACES, "")))
+    short = F.trim(F.regexp_extract(inside, "^([^。：、]*)", 1))
+    return F.when(F.startswith(text, F.lit("{{")), source).when(inside.rlike(SERIES), short).otherwise(inside)
+
+
+def _inside(text: Column) -> Column:
     return collapse(F.substring(text, F.lit(2), F.length(text) - 2))
 
 
 def label(marker: Column) -> Column:
     """The name of a marker: what stands inside; for a series, up to its first stop."""
-    text = strip(marker)
-    source = F.concat(F.lit("出所 "), collapse(F.regexp_replace(text, BRACES, "")))
-    inside = _inside(marker)
-    short = F.trim(F.regexp_extract(inside, "^([^。：、]*)", 1))
-    return F.when(F.startswith(text, F.lit("{{")), source).when(inside.rlike(SERIES), short).otherwise(inside)
+    return let(strip(marker), lambda text: let(_inside(text), lambda inside: _label(text, inside)))
 
 
 def note(marker: Column) -> Column:
     """The editor's note that follows the label in a series marker, or null."""
-    inside = _inside(marker)
-    tail = F.trim(F.regexp_extract(inside, "^[^。：、]+[。：、](.*)$", 1))
-    return F.when(F.startswith(strip(marker), F.lit("〔")) & inside.rlike(SERIES) & (tail != ""), tail)
 
+    def said(text: Column) -> Column:
+        return let(_inside(text), lambda inside: F.when(F.startswith(text, F.lit("〔")) & inside.rlike(SERIES), F.nullif(F.trim(F.regexp_extract(inside, "^[^。：、]+[。：、](.*)$", 1)), F.lit(""))))
 
-def _named(value: Column) -> Column:
-    bare = strip(value)
-    return F.when(F.startswith(bare, F.lit("〔")) | F.startswith(bare, F.lit("{{")), label(value)).otherwise(bare)
+    return let(strip(marker), said)
 
 
-def is_location(value: Column) -> Column:
-    """Whether a marker, or the text of one, names a place. The first rule that applies decides."""
-    name = _named(value)
+def named(value: Column) -> Column:
+    """The name of a marker, or of what may be the text of one."""
+    is_marker = lambda text: F.startswith(text, F.lit("〔")) | F.startswith(text, F.lit("{{"))
+    return let(strip(value), lambda text: F.when(is_marker(text), let(_inside(text), lambda inside: _label(text, inside))).otherwise(text))
+
+
+def names_place(name: Column) -> Column:
+    """Whether a name is that of a place. The first rule that applies decides."""
     return (
-        F.when(name.rlike(r"(?U)^原資料\s*[:：]") | name.rlike(STANDALONE), True)
-        .when(name.rlike(r"(?U)^出所\b"), name.rlike(PLACE_IN_RECORD))
+        F.when(name.rlike(RESOURCE) | name.rlike(STANDALONE), True)
+        .when(name.rlike(RECORD), name.rlike(PLACE_IN_RECORD))
         .when(name.rlike(SERIES), name.rlike(PLACE_IN_SERIES))
-        .when(name.rlike(r"(?U)^(?:主底本|補完底本|合成底本)\b"), name.rlike(PLACE_IN_COMPOSITE))
+        .when(name.rlike(COMPOSITE), name.rlike(PLACE_IN_COMPOSITE))
         .otherwise(name.rlike(PLACE_IN_BOOK))
     )
 
 
+def is_location(value: Column) -> Column:
+    """Whether a marker, or the text of one, names a place."""
+    return let(named(value), names_place)
+
+
 def is_placeholder(value: Column) -> Column:
-    return _named(value).rlike(PLACEHOLDER)
+    return named(value).rlike(PLACEHOLDER)
+
+
+def names_concrete(name: Column) -> Column:
+    return names_place(name) & ~name.rlike(PLACEHOLDER)
 
 
 def is_concrete(marker: Column) -> Column:
-    return is_location(marker) & ~is_placeholder(marker)
+    return let(named(marker), names_concrete)
 
 
 def markers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(MARKER), F.lit(0))
 
 
+def concrete(text: Column) -> Column:
+    """(marker, name) of the markers that name a place, each named once."""
+    found = F.transform(markers(text), lambda m: F.struct(m.alias("marker"), named(m).alias("name")))
+    return F.filter(found, lambda x: names_concrete(x["name"]))
+
+
 def first_concrete(text: Column) -> Column:
     """The first marker that names a place, or null."""
-    return F.try_element_at(F.filter(markers(text), is_concrete), F.lit(1))
+    return F.try_element_at(concrete(text), F.lit(1)).marker
 
 
 def is_standalone(line: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x{FEFF}]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body has it, also where that stands inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _form(name: str):
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:

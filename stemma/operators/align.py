@@ -18,6 +18,8 @@ PROBE, NEAR_PAGES, MIN_RATE = 16, 2, 0.9
 BLOCK, TAIL = 1024, 512
 #: Long pages are cut to pieces of this size first, as each cut counts characters from the start.
 PIECE = 65_536
+#: Pages of a range by which short rows meet them.
+PAGE_RANGE = 64
 
 
 #: A side of a seed join is broadcast up to so many rows (short strings); how many there are is looked up first.
@@ -107,12 +109,39 @@ def _slug(df: DataFrame) -> list[str]:
     return ["slug"] if "slug" in df.columns else []
 
 
-def exact(chunks: DataFrame, hay: DataFrame) -> DataFrame:
-    """chunks(slug, ord, norm) in blocks() -> slug, ord, hits, page_no: how often a chunk is in its work, and where first."""
+def all_hits(chunks: DataFrame, hay: DataFrame) -> DataFrame:
+    """chunks(slug, ord, norm) in blocks() -> slug, ord, at, page_no: everywhere that a chunk is in its work."""
     keyed = chunks.select(*_slug(chunks), F.col("ord").alias("key"), F.col("norm").alias("needle"))
     long_ = occurrences(keyed.where(F.length("needle") >= LONG), hay, LONG)
     short = occurrences(keyed.where(F.length("needle").between(SHORT, LONG - 1)), hay, SHORT)
-    return long_.unionByName(short).groupBy("slug", F.col("key").alias("ord")).agg(F.count("*").alias("hits"), F.min_by("page_no", "at").alias("page_no"))
+    return long_.unionByName(short).withColumnRenamed("key", "ord")
+
+
+def exact(chunks: DataFrame, hay: DataFrame) -> DataFrame:
+    """chunks(slug, ord, norm) in blocks() -> slug, ord, hits, page_no: how often a chunk is in its work, and where first."""
+    return counted(all_hits(chunks, hay))
+
+
+def counted(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("slug", "ord").agg(F.count("*").alias("hits"), F.min_by("page_no", "at").alias("page_no"))
+
+
+def within(open_: DataFrame, hits: DataFrame, pages: DataFrame) -> DataFrame:
+    """open_(slug, ord, norm, target, from_page, to_page) -> slug, ord, inside_page: the page in range nearest the target that holds a row whole.
+
+    Rows of SHORT characters or more are where all_hits() has found them. Shorter ones are looked for in the pages of their
+    range, which meet them by ranges of PAGE_RANGE pages; no row carries more than itself, and a page goes to a range once.
+    """
+    ends = pages.select("slug", "page_no", (F.col("start") + F.length("txt")).alias("end"))
+    known = open_.where(F.length("norm") >= SHORT).join(hits, ["slug", "ord"]).join(ends, ["slug", "page_no"]).where(F.col("at") + F.length("norm") <= F.col("end"))
+    known = known.select("slug", "ord", "target", "from_page", "to_page", "page_no")
+    part = lambda c: F.floor(F.col(c) / PAGE_RANGE)
+    asked = open_.where(F.length("norm") < SHORT).select("slug", "ord", "norm", "target", "from_page", "to_page", F.explode(F.sequence(part("from_page"), part("to_page"))).alias("range"))
+    there = pages.select("slug", part("page_no").alias("range"), "page_no", "txt")
+    seen = asked.join(there, ["slug", "range"]).where(F.contains("txt", "norm")).select(known.columns)
+    near = F.struct(F.abs(F.col("page_no") - F.col("target")), "page_no")
+    found = known.unionByName(seen).where(F.col("page_no").between(F.col("from_page"), F.col("to_page")))
+    return found.groupBy("slug", "ord").agg(F.min_by("page_no", near).alias("inside_page"))
 
 
 def probes(norm: Column) -> Column:
@@ -169,8 +198,9 @@ def fuzzy(rows: DataFrame, pages: DataFrame, threshold: float = FUZZY) -> DataFr
     width, piece = 6, 64
     begins = F.sequence(F.lit(1), F.greatest(F.length("txt") - (width - 1), F.lit(1)), F.lit(piece))
     there = pages.where(F.length("txt") > 0).select("slug", "page_no", "txt", F.explode(begins).alias("b")).select("slug", "page_no", F.substring("txt", F.col("b"), F.lit(piece + width - 1)).alias("p"))
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.substring("p", i, F.lit(width))))
-    there = there.select("slug", "page_no", F.explode(F.array_distinct(cut)).alias("gram"))
+    # One row a place, hashed in generated code and met at once with what is asked, before anything is kept of it.
+    there = there.select("slug", "page_no", "p", F.explode(F.sequence(F.lit(1), F.greatest(F.length("p") - (width - 1), F.lit(1)))).alias("i"))
+    there = there.select("slug", "page_no", F.xxhash64(F.substring("p", F.col("i"), F.lit(width))).alias("gram"))
     keys = [*_slug(rows), "gram"]
     there = _met(there, mine.select(keys).distinct(), keys).select("slug", "page_no", "gram").distinct()
     met = _met(there, mine, keys).where(F.col("page_no").between(F.col("from_page"), F.col("to_page")))
@@ -181,7 +211,7 @@ def fuzzy(rows: DataFrame, pages: DataFrame, threshold: float = FUZZY) -> DataFr
 
 def page_labels(pages: DataFrame) -> DataFrame:
     """pages(slug, page_no, text) -> slug, page_no, labels: distinct markers in order, then page lines."""
-    marks = F.transform(F.filter(M.markers(F.col("text")), M.is_concrete), M.label)
+    marks = F.transform(M.concrete(F.col("text")), lambda x: x["name"])
     lines = F.filter(F.transform(F.split("text", r"\r\n|\r|\n", -1), T.collapse), lambda x: x.rlike(M.STANDALONE))
     return pages.select("slug", "page_no", F.array_distinct(F.concat(marks, lines)).alias("labels"))
 
@@ -206,8 +236,8 @@ def align(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     hay = kept(blocks(located))
     last = located.groupBy("slug").agg(F.max("page_no").alias("last_page"))
     rows = kept(chunks.withColumn("norm", T.matchable(F.col("text")))).join(last, "slug", "left")
-    hits = exact(rows, hay)
-    rows = rows.join(hits.select("slug", "ord", "hits", F.col("page_no").alias("hit_page")), ["slug", "ord"], "left")
+    hits = kept(all_hits(rows, hay))
+    rows = rows.join(counted(hits).select("slug", "ord", "hits", F.col("page_no").alias("hit_page")), ["slug", "ord"], "left")
     missing = rows.where((F.length("norm") >= LONG) & F.col("hits").isNull())
     found = fingerprints(missing, hay).select("slug", F.col("ord").cast("long").alias("ord"), F.col("page_no").alias("print_page"))
     rows = rows.join(found, ["slug", "ord"], "left")
@@ -222,10 +252,7 @@ def align(chunks: DataFrame, pages: DataFrame) -> DataFrame:
 
     rows = neighbours(rows, F.col("alignment") != "unmapped", F.col("last_page"))
     open_ = rows.where((F.col("alignment") == "unmapped") & (F.length("norm") > 0))
-    # A row asks for the pages in its range, so the join is by page.
-    asked = open_.select("slug", "ord", "norm", "target", F.explode(F.sequence("from_page", "to_page")).alias("p"))
-    inside = asked.join(located.select("slug", F.col("page_no").alias("p"), "txt"), ["slug", "p"]).where(F.contains("txt", "norm"))
-    inside = inside.groupBy("slug", "ord").agg(F.min_by("p", F.struct(F.abs(F.col("p") - F.col("target")), "p")).alias("inside_page"))
+    inside = within(open_.select("slug", "ord", "norm", "target", "from_page", "to_page"), hits, located)
     rows = rows.join(inside, ["slug", "ord"], "left")
     p, n, label = F.col("prev"), F.col("next"), F.col("original_page")
     nearer = F.when((F.col("ord") - p.ord) < (n.ord - F.col("ord")), p.page).otherwise(n.page)

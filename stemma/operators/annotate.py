@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,14 +14,17 @@ TARGET, LONGEST = 170, 190
 
 
 def trimmed(paragraphs: DataFrame, marker_fallback: bool = True) -> DataFrame:
-    """Paragraphs from where the work begins: after its heading, from its front matter, or from its first marker."""
-    by = W.partitionBy("slug")
-    at = lambda c: F.min(F.when(c, F.col("para_no"))).over(by)
-    rows = paragraphs.withColumn("h", at(F.col("text").rlike(M.HEADING))).withColumn("f", at(F.col("text").rlike(M.FRONT))).withColumn("m", at(M.first_concrete(F.col("text")).isNotNull()))
+    """Paragraphs from where the work begins: after its heading, from its front matter, or from its first marker.
+
+    What the first of each are is a count a work, of however many paragraphs; no window holds one.
+    """
+    at = lambda c, name: F.min(F.when(c, F.col("para_no"))).alias(name)
+    firsts = paragraphs.groupBy("slug").agg(at(F.col("text").rlike(M.HEADING), "h"), at(F.col("text").rlike(M.FRONT), "f"), at(M.first_concrete(F.col("text")).isNotNull(), "m"))
     no_marker = F.col("m").isNull()
     start = F.when(F.col("h").isNotNull() & (no_marker | (F.col("h") <= F.col("m"))), F.col("h") + 1).when(F.col("f").isNotNull() & (no_marker | (F.col("f") <= F.col("m"))), F.col("f"))
     start = F.coalesce(start, F.col("m") if marker_fallback else F.lit(None).cast("int"), F.lit(0))
-    return rows.where(F.col("para_no") >= start).select("slug", "para_no", "text")
+    firsts = firsts.select(F.col("slug").alias("_slug"), start.alias("_start"))
+    return paragraphs.join(firsts, F.col("slug").eqNullSafe(F.col("_slug"))).where(F.col("para_no") >= F.col("_start")).select("slug", "para_no", "text")
 
 
 def annotated(paragraphs: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def annotated(paragraphs: DataFrame) -> DataFrame:
     rows = paragraphs.withColumn("alone", M.is_standalone(F.col("text"))).withColumn("zip", F.arrays_zip(pieces.alias("piece"), all_.alias("marker")))
     rows = rows.select("slug", "para_no", "alone", F.col("text").alias("whole"), F.posexplode("zip").alias("i", "z")).select("slug", "para_no", "alone", "whole", "i", "z.piece", "z.marker")
     rows = rows.where("not alone or i = 0")
-    kind = F.when(F.col("marker").isNull(), "end").when(M.is_placeholder(F.col("marker")), "drop").when(M.is_location(F.col("marker")), "place").otherwise("keep")
+    rows = rows.withColumn("name", M.named(F.col("marker")))
+    kind = F.when(F.col("marker").isNull(), "end").when(F.col("name").rlike(M.PLACEHOLDER), "drop").when(M.names_place(F.col("name")), "place").otherwise("keep")
     rows = rows.withColumn("kind", kind)
     by = W.partitionBy("slug", "para_no").orderBy("i")
     rows = rows.withColumn("part", F.coalesce(F.sum((F.col("kind") == "place").cast("int")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -59,26 +60,23 @@ def annotated(paragraphs: DataFrame) -> DataFrame:
     return numbered_within(out, "slug", order, "seq").select("slug", "seq", "original_page", "text")
 
 
-def packed(pieces: list[str], target: int = TARGET) -> list[str]:
-    """Pieces put together while they fit."""
-    out: list[str] = []
-    for piece in pieces:
-        if out and len(out[-1]) + len(piece) <= target:
-            out[-1] += piece
-        else:
-            out.append(piece)
-    return [re.sub(r"\s+", " ", x).strip() for x in out]
+def packed(pieces: Column, target: int = TARGET) -> Column:
+    """Pieces put together while they fit: a fold that keeps what is done and what is open, with its length."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
 
+    def add(state: Column, piece: Column) -> Column:
+        fits = F.length(state.open) + F.length(piece) <= target
+        done = F.when(state.open.isNull() | fits, state.done).otherwise(F.concat(state.done, F.array(state.open)))
+        return F.struct(done.alias("done"), F.when(fits, F.concat(state.open, piece)).otherwise(piece).alias("open"))
 
-def chunks(rows: DataFrame, target: int = TARGET) -> DataFrame:
-    """annotated rows -> slug, ord (from 1), id, original_page, text. Chunks never cross rows; tiny ones go."""
+    out = F.aggregate(pieces, start, add, lambda s: F.when(s.open.isNull(), s.done).otherwise(F.concat(s.done, F.array(s.open))))
+    return F.transform(out, T.collapse)
 
-    @F.pandas_udf("array<string>")
-    def pack(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: packed(list(x), target))
 
+def chunks(rows: DataFrame, target: int = TARGET) -> DataFrame:
+    """annotated rows -> slug, ord (from 1), id, original_page, text. Chunks never cross rows; tiny ones go."""
     pieces = F.flatten(F.transform(T.sentences(F.col("text")), lambda s: T.pieces(s, LONGEST)))
-    out = rows.select("slug", "seq", "original_page", F.posexplode(pack(pieces)).alias("i", "text"))
+    out = rows.select("slug", "seq", "original_page", F.posexplode(packed(pieces, target)).alias("i", "text"))
     out = kept(out.where(F.length(T.matchable(F.col("text"))) >= 2))
     return numbered_within(out, "slug", ["seq", "i"], "ord").select("slug", "ord", T.block_id(F.col("ord")).alias("id"), "original_page", "text")
 

@@ -1,4 +1,4 @@
-"""Headings: unique ids, nesting, captions nearby, printed lines."""
+"""Headings: unique ids, nesting, tables of contents, captions nearby."""
 
 from __future__ import annotations
 
@@ -99,39 +99,3 @@ def captions(blocks: DataFrame, images: DataFrame, reach: int = 3) -> DataFrame:
     met = images.select("slug", "ord").join(near, ["slug", "ord"]).where("at <> ord")
     cost = F.col("priority") * 10 + F.abs(F.col("at") - F.col("ord"))
     return met.groupBy("slug", "ord").agg(F.min_by("text", F.struct(cost, "at")).alias("caption"))
-
-
-def printed_lines(words: DataFrame, height: float = 2.0, gap: float = 18.0) -> DataFrame:
-    """words(page, x, y, width, text) -> page, line, text: words within `height` of a line's first belong to it.
-
-    Lines are found by an ordered fold over each page, in y and then x; wide gaps are marked.
-    """
-
-    def fold(rows):
-        import pandas as pd
-
-        lines: list[list] = []
-        for r in rows.sort_values(["y", "x"]).itertuples():
-            if not lines or abs(r.y - lines[-1][0]) > height:
-                lines.append([r.y, []])
-            lines[-1][1].append(r)
-        out = []
-        for k, (_, ws) in enumerate(lines):
-            ws = sorted(ws, key=lambda r: r.x)
-            said = ws[0].text
-            for a, b in zip(ws, ws[1:], strict=False):
-                said += (" ｜ " if b.x - (a.x + a.width) > gap else " ") + b.text
-            out.append((rows.page.iloc[0], k, said))
-        return pd.DataFrame(out, columns=["page", "line", "text"])
-
-    return words.groupBy("page").applyInPandas(fold, "page int, line int, text string")
-
-
-def running_lines(lines: DataFrame, share: float = 0.5) -> DataFrame:
-    """Headers and footers: first or last lines(page, line, text), digits aside, on at least `share` of the pages."""
-    by = W.partitionBy("page")
-    edge = (F.col("line") == F.min("line").over(by)) | (F.col("line") == F.max("line").over(by))
-    key = F.regexp_replace("text", "[0-9]+", "#")
-    total = lines.agg(F.count_distinct("page").alias("pages"))
-    often = lines.withColumn("edge", edge).where("edge").groupBy(key.alias("key")).agg(F.count_distinct("page").alias("n"))
-    return often.crossJoin(total).where(F.col("n") >= F.col("pages") * share).select("key", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Iterator
 from urllib.parse import unquote
@@ -210,3 +211,51 @@ def blocks(members: DataFrame, slug: Column | None = None) -> DataFrame:
     starts = said.groupBy("archive", "document").agg(F.count("*").alias("n")).select("archive", "document", before.alias("before"))  # a row a document
     name = slug if slug is not None else F.regexp_extract("archive", r"([^/]*?)(?:\.epub)?$", 1)
     return said.join(starts, ["archive", "document"]).select(name.alias("slug"), "document", (F.col("before") + F.col("i") + 1).alias("para_no"), "tag", "text")
+
+
+def headings(members: DataFrame) -> DataFrame:
+    """members(archive, member, content) of EPUBs -> slug, seq, path, level, label, anchor, unlisted: for outline.contents().
+
+    Headings of the documents in reading order, navigation and front matter aside; an anchor is that of the heading or else of
+    the nearest element around it that has one, and paths are seen from the navigation document.
+    """
+    rows = kept(facts(members))
+    items = package_items(rows)
+    nav = items.where(F.array_contains("properties", "nav")).groupBy("archive").agg(F.min("path").alias("nav"))
+    order = reading_order(rows, items).where(~F.array_contains("properties", "nav") & F.col("path").rlike(r"\.x?html$") & ~F.regexp_extract("path", "([^/]*)$", 1).isin("cover.xhtml", "title_page.xhtml"))
+    order = order.groupBy("archive", "path").agg(F.min("k").alias("document")).join(nav, "archive")
+    wanted = members.select("archive", F.col("member").alias("path"), "content").join(order, ["archive", "path"])
+    schema = "archive string, path string, document int, place int, level int, label string, anchor string, unlisted boolean"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+        for b in batches:
+            for archive, path, base, document, content in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                found = [(archive, relative(path, base), document, *h) for h in _headings(content or b"")]
+                columns = zip(*found, strict=True) if found else [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
+
+    said = wanted.select("archive", "path", "nav", "document", "content").mapInArrow(read, schema)
+    seq = F.col("document").cast("long") * (1 << 32) + F.col("place")
+    return said.select(F.regexp_extract("archive", r"([^/]*?)(?:\.epub)?$", 1).alias("slug"), seq.alias("seq"), "path", "level", "label", "anchor", "unlisted")
+
+
+def relative(path: str, base: str) -> str:
+    """The address of a member as seen from another."""
+    return posixpath.relpath(path, posixpath.dirname(base) or ".")
+
+
+def _headings(content: bytes) -> Iterator[tuple[int, int, str, str | None, bool]]:
+    try:
+        root = ElementTree.fromstring(content)
+    except ElementTree.ParseError:
+        return
+    todo = [(root, None, False)]  # elements with the nearest anchor and whether they are left out
+    place = 0
+    while todo:
+        e, anchor, unlisted = todo.pop()
+        anchor, unlisted, place = e.get("id") or anchor, unlisted or "unlisted" in e.get("class", "").split(), place + 1
+        level = re.fullmatch("h([1-4])", e.tag.removeprefix(XHTML)) if isinstance(e.tag, str) and e.tag.startswith(XHTML) else None
+        if level:
+            yield place, int(level[1]), "".join(e.itertext()), anchor, unlisted
+        todo += [(child, anchor, unlisted) for child in reversed(e)]

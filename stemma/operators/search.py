@@ -25,38 +25,6 @@ def literal_chunks(chunks: DataFrame, query: str) -> DataFrame:
     return rows.where(F.contains("cmp", F.lit(needle)) if needle else F.lit(False))
 
 
-#: Files of an index are kept by ranges of gram hashes.
-BUCKETS = 64
-
-
-def postings(chunks: DataFrame, width: int = 3) -> DataFrame:
-    """An optional index: gram (a hash), bucket, slug, ord."""
-    gram = F.explode(T.grams(F.col("cmp"), width))
-    rows = chunks.select("slug", "ord", gram.alias("gram")).withColumn("gram", F.xxhash64("gram"))
-    return rows.withColumn("bucket", F.pmod("gram", F.lit(BUCKETS)).cast("int"))
-
-
-def write_postings(chunks: DataFrame, path: str, width: int = 3) -> None:
-    """Store postings by bucket, sorted by gram in each file, so that a query reads few files and few row groups of them.
-
-    Buckets are dealt evenly, so that a gram that many chunks have is spread over several files.
-    """
-    rows = postings(chunks, width).hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram")
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def literal_chunks_by_index(chunks: DataFrame, index: DataFrame, query: str, width: int = 3) -> DataFrame:
-    """As literal_chunks(): only chunks that have all the query's grams are compared. Of the index, only their buckets are read."""
-    needle = T.comparable_value(query)
-    grams = sorted({needle[i : i + width] for i in range(len(needle) - width + 1)})
-    if not grams:
-        return literal_chunks(chunks, query)
-    hashes = [F.xxhash64(F.lit(g)) for g in grams]
-    here = F.col("bucket").isin(*[F.pmod(h, F.lit(BUCKETS)).cast("int") for h in hashes]) & F.col("gram").isin(*hashes)
-    ids = index.where(here).groupBy("slug", "ord").agg(F.count_distinct("gram").alias("n")).where(F.col("n") >= F.array_size(F.array_distinct(F.array(*hashes))))
-    return literal_chunks(chunks.join(ids.select("slug", "ord"), ["slug", "ord"], "left_semi"), query)
-
-
 def conjunctive_chunks(chunks: DataFrame, query: str) -> DataFrame:
     """Chunks that hold every word of the query somewhere."""
     words = query.lower().split()

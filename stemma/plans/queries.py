@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from stemma.functions import catalogue as C
 from stemma.functions import text as T
-from stemma.operators import align, annotate, catalogue, index, integrity, outline, search
+from stemma.operators import align, annotate, catalogue, index, integrity, outline, postings, search
 from stemma.plans import documents, structure, tables
+from stemma.plans import sources as files
 from stemma.plans.registry import ORACLES, QUERIES, query
 from stemma.plans.tables import CHUNKS, PAGES, PUBLICATIONS, read
 from stemma.sources import formats, sinks
 
-__all__ = ["ORACLES", "QUERIES", "documents", "structure"]
+__all__ = ["ORACLES", "QUERIES", "documents", "files", "structure"]
 
 QUERY = "the that"
 _INDEXES: dict[tuple[str, str], str] = {}
@@ -503,16 +504,27 @@ def toc_monotone(spark: SparkSession, d: str) -> DataFrame:
     return integrity.toc_order(rows).select("check", "key")
 
 
-@query(_LITERAL + "SELECT slug, ord, text FROM hit")
-def indexed_search(spark: SparkSession, d: str) -> DataFrame:
-    """The same chunks by way of a stored gram index, which is built once for a session and its tables."""
-    chunks = search.with_search_text(tables.chunks(spark, d))
+def _index(spark: SparkSession, d: str) -> str:
+    """The index of all chunks, built once for a session and its tables."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _INDEXES:
-        path = f"{sinks.working_folder(spark)}/postings-{len(_INDEXES)}"
-        search.write_postings(chunks, path)
+        path = sinks.scratch(spark, "index")
+        postings.write_segment(tables.chunks(spark, d), path)
         _INDEXES[key] = path
-    return search.literal_chunks_by_index(chunks, spark.read.parquet(_INDEXES[key]), QUERY).select("slug", "ord", "text")
+    return _INDEXES[key]
+
+
+@query(CHUNKS + "SELECT slug, count(*) FILTER (n >= 3) AS chunks, sum(greatest(n - 2, 0))::BIGINT AS places FROM (SELECT slug, length(regexp_replace(lower(text), '[\\s\\x{3000}]', '', 'g')) AS n FROM chunk) GROUP BY slug")
+def index_postings(spark: SparkSession, d: str) -> DataFrame:
+    """K4: building the index of all chunks, and what it has of each work."""
+    rows = postings.read_index(spark, _index(spark, d)).postings
+    return rows.groupBy("slug").agg(F.count_if(F.col("at") == 0).alias("chunks"), F.count("*").alias("places"))
+
+
+@query(_LITERAL + "SELECT slug, ord, text FROM hit")
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same chunks by the places of the phrase's grams; only texts that hold it are read."""
+    return postings.search(postings.read_index(spark, _index(spark, d)), QUERY).select("slug", "ord", "text")
 
 
 @query(_LITERAL + "SELECT slug, pdf_page, rank FROM (SELECT slug, pdf_page, row_number() OVER (PARTITION BY slug ORDER BY pdf_page) AS rank FROM (SELECT DISTINCT slug, pdf_page FROM hit)) WHERE rank BETWEEN 4 AND 8")
@@ -541,11 +553,30 @@ def nearest_caption(spark: SparkSession, d: str) -> DataFrame:
     return outline.captions(rows, rows.where("priority is null"))
 
 
-@query()
+#: All passes over all works, one after the other: what is there once, by parts, by grams near the anchors, nearby, inherited.
+_ALIGNED = """, row AS (SELECT slug, item_id + 1 AS ord, needle, length(needle) AS n, (SELECT max(page_no) FROM page p WHERE p.slug = work.slug) AS last_page FROM item, work),
+hit AS (SELECT slug, ord, CASE WHEN instr(substring(hay, p + 1), needle) > 0 THEN 2 ELSE 1 END AS hits, p - 1 AS pos FROM (SELECT slug, ord, needle, hay, instr(hay, needle) AS p FROM row JOIN work USING (slug) WHERE n >= 12) WHERE p > 0),
+piece AS (SELECT DISTINCT slug, ord, o, substring(needle, o::BIGINT + 1, w) AS piece FROM (SELECT *, unnest([0, n // 4, n // 2, greatest(0, n - w)]) AS o FROM (SELECT *, least(48, greatest(20, n // 2)) AS w FROM row ANTI JOIN hit USING (slug, ord) WHERE n >= 18))),
+print AS (SELECT slug, ord, min(greatest(0, instr(hay, piece) - 1 - o)) AS pos FROM piece JOIN work USING (slug) WHERE length(piece) >= 16 AND contains(hay, piece) GROUP BY slug, ord),
+place AS (SELECT slug, ord, 'exact' AS m, pos FROM hit WHERE hits = 1 UNION ALL SELECT slug, ord, 'fingerprint', pos FROM print),
+one AS (SELECT row.*, coalesce(m, 'unmapped') AS m, (SELECT max(page_no) FROM starts s WHERE s.slug = row.slug AND s.start <= pos AND s.txt <> '') AS page FROM row LEFT JOIN place USING (slug, ord)),
+near1 AS (SELECT *, last_value(CASE WHEN m <> 'unmapped' THEN {'o': ord, 'p': page} END IGNORE NULLS) OVER (PARTITION BY slug ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(CASE WHEN m <> 'unmapped' THEN {'o': ord, 'p': page} END IGNORE NULLS) OVER (PARTITION BY slug ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM one),
+open1 AS (SELECT slug, ord, needle, coalesce(a.p + (b.p - a.p) * (ord - a.o) / (b.o - a.o), a.p, b.p, 1)::DOUBLE AS target, greatest(1, least(coalesce(a.p, 1), coalesce(b.p, last_page)) - 2) AS lo, least(last_page, greatest(coalesce(a.p, 1), coalesce(b.p, last_page)) + 2) AS hi FROM near1 WHERE m = 'unmapped' AND n >= 12),
+mine AS (SELECT slug, ord, target, lo, hi, len(g) AS total, unnest(g) AS gram FROM (SELECT *, list_distinct(list_transform(range(1, length(needle) - 4), lambda i: substring(needle, i, 6))) AS g FROM open1)),
+there AS (SELECT DISTINCT slug, page_no, gram FROM (SELECT slug, page_no, substring(txt, i, 6) AS gram FROM (SELECT slug, page_no, txt, unnest(range(1, length(txt) - 4)) AS i FROM page)) SEMI JOIN mine USING (gram)),
+score AS (SELECT slug, ord, page_no, count(*) / first(total) AS score, first(target) AS target FROM mine JOIN there USING (slug, gram) WHERE page_no BETWEEN lo AND hi GROUP BY slug, ord, page_no),
+fuzzy AS (SELECT slug, ord, page_no FROM score QUALIFY row_number() OVER (PARTITION BY slug, ord ORDER BY score DESC, abs(page_no - target), page_no) = 1 AND score >= 0.24),
+two AS (SELECT one.slug, one.ord, needle, n, last_page, CASE WHEN f.page_no IS NOT NULL THEN 'fuzzy' ELSE m END AS m, coalesce(f.page_no, page) AS page FROM one LEFT JOIN fuzzy f USING (slug, ord)),
+near2 AS (SELECT *, last_value(CASE WHEN m <> 'unmapped' THEN {'o': ord, 'p': page} END IGNORE NULLS) OVER (PARTITION BY slug ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(CASE WHEN m <> 'unmapped' THEN {'o': ord, 'p': page} END IGNORE NULLS) OVER (PARTITION BY slug ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM two),
+open2 AS (SELECT slug, ord, needle, n, coalesce(a.p + (b.p - a.p) * (ord - a.o) / (b.o - a.o), a.p, b.p, 1)::DOUBLE AS target, greatest(1, least(coalesce(a.p, 1), coalesce(b.p, last_page)) - 2) AS lo, least(last_page, greatest(coalesce(a.p, 1), coalesce(b.p, last_page)) + 2) AS hi, coalesce(b.p, a.p) AS heir FROM near2 WHERE m = 'unmapped'),
+inside AS (SELECT slug, ord, arg_min(page_no, {'d': abs(page_no - target), 'p': page_no}) AS page_no FROM open2 JOIN page USING (slug) WHERE n > 0 AND page_no BETWEEN lo AND hi AND contains(txt, needle) GROUP BY slug, ord)
+SELECT slug, ord, CASE WHEN m <> 'unmapped' THEN page ELSE coalesce(i.page_no, heir) END::INT AS pdf_page, CASE WHEN m <> 'unmapped' THEN m WHEN i.page_no IS NOT NULL AND two.n >= 12 THEN 'exact' WHEN coalesce(i.page_no, heir) IS NOT NULL THEN 'inherited' ELSE 'unmapped' END AS alignment
+FROM two LEFT JOIN open2 USING (slug, ord) LEFT JOIN inside i USING (slug, ord)"""
+
+
+@query(PAGES.rstrip() + _ALIGNED)
 def align_items(spark: SparkSession, d: str) -> DataFrame:
-    """All alignment passes: items as chunks of works, each of three (tests compare the passes with fixtures)."""
-    pages = tables.pages(spark, d)
-    number = (F.col("item_id") + 1).cast("int").alias("ord")
-    works = F.transform(F.array(*map(F.lit, (0, 7, 13))), lambda k: F.concat(F.lit("src"), ((F.col("item_id") + k) % 20).cast("string")))
-    items = read(spark, d, "benchmark").select(F.explode(works).alias("slug"), number, F.lit("").alias("original_page"), "text")
-    return align.align(items, pages)
+    """All alignment passes, with every item as a chunk of each of the twenty works."""
+    works = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.concat(F.lit("src"), k.cast("string")))
+    items = read(spark, d, "benchmark").select(F.explode(works).alias("slug"), (F.col("item_id") + 1).alias("ord"), F.lit("").alias("original_page"), "text")
+    return align.align(items, tables.pages(spark, d)).select("slug", "ord", "pdf_page", "alignment")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemma.functions import text as T
-from stemma.operators import outline, packages, segment
+from stemma.operators import outline, packages, pages, segment
 from stemma.plans import tables
 from stemma.plans.registry import query
 from stemma.plans.tables import CHUNKS, read
@@ -208,3 +208,38 @@ def page_map_json(spark: SparkSession, d: str) -> DataFrame:
     sinks.write_page_maps(tables.chunks(spark, d), folder)
     lines = spark.read.text(folder).select(F.regexp_extract(F.col("_metadata.file_name"), "(.*)[.]json$", 1).alias("slug"), "value").where("length(value) > 1")
     return lines.select("slug", F.regexp_extract("value", '^"([^"]*)":', 1).alias("key"), F.regexp_extract("value", r'^"[^"]*":(.*?),?$', 1).alias("value"))
+
+
+# ---------------------------------------------------------------- printed pages
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """Pages set in two columns below a title, with a running line and a number: boxes of words, in no order."""
+    plain = F.regexp_extract_all(F.regexp_replace("html", "<[^>]*>", " "), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    rows = read(spark, d, "pages").select(F.concat(F.lit("w"), (F.col("page_id") % 20).cast("string")).alias("work"), F.col("page_id").alias("page"), plain.alias("w"))
+    number = F.ceil((F.size("w") - 3) / 4)  # lines
+    half = F.floor((number + 1) / 2)
+    box = lambda x0, y0, x1, y1, size, bold, text: F.struct(*[v.cast(t).alias(n) for v, t, n in zip((x0, y0, x1, y1, size, bold, text), ("double", "double", "double", "double", "double", "boolean", "string"), ("x0", "y0", "x1", "y1", "size", "bold", "text"), strict=True)])
+
+    def placed(word: Column, i: Column) -> Column:
+        j, k = F.floor((i - 3) / 4), (i - 3) % 4
+        column = F.when(j >= half, 1).otherwise(0)
+        row = j - column * half
+        x, y, head = 50 + column * 320 + k * 60, 150 + row * 12, row % 10 == 0
+        title = box(50 + i * 181, F.lit(60), 230 + i * 181, F.lit(84), F.lit(24), F.lit(True), word)
+        return F.when(i < 3, title).otherwise(box(x, y, x + 50, y + 10, F.when(head, 12).otherwise(10), head, word))
+
+    foot = 210 + half * 12
+    running = F.array(box(F.lit(50), F.lit(30), F.lit(592), F.lit(38), F.lit(8), F.lit(False), F.concat(F.lit("Bericht "), F.col("page").cast("string"))), box(F.lit(300), foot, F.lit(340), foot + 8, F.lit(8), F.lit(False), F.col("page")))
+    return rows.select("work", "page", F.explode(F.concat(F.transform("w", placed), running)).alias("b")).select("work", "page", "b.*")
+
+
+@query(
+    r"""WITH page AS (SELECT page_id AS page, regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\p{L}\p{N}]+') AS w FROM pages),
+    line AS (SELECT page, w, unnest(range(0, ceil((len(w) - 3) / 4)::BIGINT)) AS j, floor((ceil((len(w) - 3) / 4) + 1) / 2)::BIGINT AS half FROM page)
+    SELECT page, 2 AS n, 'h1' AS kind, array_to_string(w[:3], ' ') AS text FROM page UNION ALL SELECT page, j + 3, CASE WHEN (j - CASE WHEN j >= half THEN half ELSE 0 END) % 10 = 0 THEN 'h3' ELSE 'p' END, array_to_string(w[4 * j + 4:4 * j + 7], ' ') FROM line"""
+)
+def page_structure(spark: SparkSession, d: str) -> DataFrame:
+    """Columns, lines and headings of pages from the boxes of their words; running lines and numbers are gone."""
+    rows = pages.structured(pages.without_running(pages.lines(pages.columns(_words(spark, d)))))
+    return rows.select("page", F.col("n").cast("long").alias("n"), "kind", "text")

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemma.functions import markers as M
-from stemma.functions.text import matchable, strip
+from stemma.functions.text import let, matchable, strip
 from stemma.operators.ranking import ranked
 
 #: Elements that make a block of text.
@@ -77,22 +77,21 @@ RULE = r"^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*$"
 
 
 def trim_source(text: Column) -> Column:
-    """Markdown from where the work begins: after its heading, from its front matter, or from its first marker."""
-    multi = lambda p: "(?m)" + p
-    first = F.coalesce(F.nullif(F.instr(text, F.coalesce(M.first_concrete(text), F.lit("\u0000"))), F.lit(0)), F.length(text) + 1)
-
-    def start(pattern: str) -> Column:
-        found = F.regexp_substr(text, F.lit(multi(pattern)))
-        return F.regexp_instr(text, F.lit(multi(pattern))), F.length(found)
-
-    head, size = start(M.HEADING)
-    front, _ = start(M.FRONT)
-    return (
-        F.when((head > 0) & (head <= first), F.substring(text, head + size, F.length(text)))
-        .when((front > 0) & (front <= first), F.substring(text, front, F.length(text)))
-        .when(first <= F.length(text), F.substring(text, first, F.length(text)))
-        .otherwise(text)
-    )
+    """Markdown from where the work begins: after its heading, from its front matter, or from its first marker.
+
+    Each of the three is looked for once: a split at the first match says what is before it and what after.
+    """
+    at = lambda pattern: F.split(text, "(?m)" + pattern, 2)
+    marker = F.coalesce(M.first_concrete(text), F.lit("\u0000"))
+    places = F.struct(at(M.HEADING).alias("head"), at(M.FRONT).alias("front"), F.nullif(F.instr(text, marker), F.lit(0)).alias("first"))
+
+    def begun(p: Column) -> Column:
+        first = F.coalesce(p.first, F.length(text) + 1)
+        before = lambda parts: (F.size(parts) == 2) & (F.length(parts[0]) < first)
+        front = F.substring(text, F.length(p.front[0]) + 1, F.length(text))
+        return F.when(before(p.head), p.head[1]).when(before(p.front), front).when(p.first.isNotNull(), F.substring(text, p.first, F.length(text))).otherwise(text)
+
+    return let(places, begun)
 
 
 def markdown_paragraphs(files: DataFrame) -> DataFrame:
@@ -290,11 +289,15 @@ def html_blocks(pages: DataFrame) -> DataFrame:
 
 
 def epub_paragraphs(files: DataFrame) -> DataFrame:
-    """Paragraphs of EPUBs without facsimile-only documents and bibliographic sections.
+    """paragraphs_of() whole EPUBs; see operators/packages.py for those that are read by members."""
+    return paragraphs_of(epub_blocks(files))
+
+
+def paragraphs_of(blocks: DataFrame) -> DataFrame:
+    """Blocks of EPUBs -> slug, para_no, text, without facsimile-only documents and bibliographic sections.
 
     A section begins at a heading of that kind and ends at the next other heading or concrete marker.
     """
-    blocks = epub_blocks(files)
     doc = W.partitionBy("slug", "document")
     blocks = blocks.withColumn("picture", F.min(F.col("text").rlike(M.FACSIMILE).cast("int")).over(doc)).where("picture = 0")
     heading = F.col("tag").rlike("^h[1-6]$")

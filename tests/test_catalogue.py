@@ -80,9 +80,6 @@ def test_literal_search(spark):
     rows = spark.createDataFrame([("a", 1, "ポ　ラ", 0, "major-work"), ("b", 2, "ボラ", 1, "x"), ("b", 3, "ポラポラ", 1, "x")], "slug string, ord int, text string, work_ord int, record_class string")
     found = search.literal_chunks(rows, "ポラ")
     assert {r.ord for r in found.collect()} == {1, 3}
-    indexed = search.with_search_text(rows)
-    for q in ("ポラ", "ラポラ", "ポラポラ", ""):
-        assert {r.ord for r in search.literal_chunks_by_index(indexed, search.postings(indexed), q).collect()} == {r.ord for r in search.literal_chunks(rows, q).collect()}
     assert [r.slug for r in search.works(found).orderBy("rank").collect()] == ["a", "b"] == [r.slug for r in search.works(found, 5).orderBy("rank").collect()]
     assert tuple(search.counts(search.by_work(found)).first()) == (1, 1)
 
@@ -128,7 +125,3 @@ def test_integrity(spark):
 def test_outline(spark):
     heads = spark.createDataFrame([("w", 1, 1), ("w", 2, 3), ("w", 3, 2), ("w", 4, 3), ("w", 5, 1)], "slug string, ord int, level int")
     assert {r.ord: r.parent for r in outline.nested(heads).collect()} == {1: None, 2: 1, 3: 1, 4: 3, 5: None}
-    words = spark.createDataFrame([(1, 10.0, 100.0, 5.0, "b"), (1, 0.0, 101.5, 5.0, "a"), (1, 60.0, 100.0, 5.0, "c"), (1, 0.0, 110.0, 5.0, "d")], "page int, x double, y double, width double, text string")
-    assert [r.text for r in outline.printed_lines(words).orderBy("line").collect()] == ["a b ｜ c", "d"]
-    lines = spark.createDataFrame([(p, n, t) for p in (1, 2, 3) for n, t in enumerate((f"Title {p}", f"body {p * 'x'}", f"{p}"))], "page int, line int, text string")
-    assert {r.key for r in outline.running_lines(lines).collect()} == {"Title #", "#"}

@@ -18,10 +18,10 @@ def test_every_chunk_is_located(spark, small):
 
 
 def test_long_documents_are_located(spark, tmp_path):
-    spark.createDataFrame([(7, "\n".join(["x"] * 100_005), "en", "src1", 0), (8, "a\n\nb", "en", "src1", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "\n".join(["x"] * 100_005), "en", "src1", 0), (9, "a\n\nb", "en", "src1", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     rows = QUERIES["located_results"](spark, str(tmp_path))
     assert rows.count() == rows.select("slug", "id").distinct().count() == 100_007
-    assert {(r.slug, r.id) for r in rows.where("pdf_page = 8").collect()} == {("src1/8/0", "b00001"), ("src1/8/0", "b00003")}
+    assert {(r.slug, r.id) for r in rows.where("pdf_page = 9").collect()} == {("src1", "b900000"), ("src1", "b900002")}
 
 
 def test_whole_texts_are_escaped(spark, tmp_path):
