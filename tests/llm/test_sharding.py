@@ -90,3 +90,43 @@ def test_names_and_long_texts(spark):
     assert sorted(rows[0].asDict()) == sorted(docs.columns)
     assert {r.doc_id: (len(r.text), r._label, r.main, r.n) for r in rows} == {1: (3_000_000, "a", "a", "a"), 2: (1, "b", "b", "b"), 3: (1, None, None, None)}
     assert {r.shard for r in rows} == {0, 1}
+
+
+def best_whole(sizes, quotas):
+    """The most groups that can stand whole, by trying all places of each group; what is cut fills the rest."""
+    best = 0
+
+    def place(k, free, n):
+        nonlocal best
+        if k == len(sizes):
+            best = max(best, n)
+        elif n + len(sizes) - k > best:
+            for s in range(len(free)):
+                if free[s] >= sizes[k]:
+                    place(k + 1, [f - sizes[k] * (i == s) for i, f in enumerate(free)], n + 1)
+            place(k + 1, free, n)
+
+    place(0, list(quotas), 0)
+    return best
+
+
+def test_against_all_placements(make_docs):
+    """On small cases: groups that stand whole, and edges that are cut, against the best that any placement reaches."""
+    short = cut = edges = groups_ = 0
+    for k, sizes in enumerate(([5, 4, 3, 3, 2, 2, 1, 1], [4, 4, 4, 2, 2, 2], [7, 2, 2, 2, 2], [3, 3, 3, 3, 3, 3], [2] * 9, [10, 3, 3, 2])):
+        texts = [f"case{k} group{g}" for g, n in enumerate(sizes) for _ in range(n)]
+        docs = make_docs(texts).drop("shard")
+        rows = S.shard(docs, links(docs), 3).collect()
+        check(rows, 3, len(texts))
+        at = {}
+        for r in rows:
+            at.setdefault(r.text, []).append(r.shard)
+        quotas = sorted((sum(r.shard == s for r in rows) for s in range(3)), reverse=True)
+        whole_ = sum(len(set(x)) == 1 for x in at.values())
+        best = best_whole(sizes, quotas)
+        assert whole_ <= best
+        short, groups_ = short + best - whole_, groups_ + best
+        edges += sum(len(x) for x in at.values() if len(x) > 1)
+        cut += sum(len(x) - max(map(x.count, x)) for x in at.values())
+    print("whole groups short of the best:", short, "of", groups_, "edges cut:", cut, "of", edges)
+    assert short <= groups_ // 4 and cut <= edges // 4
