@@ -62,14 +62,15 @@ def annotated(paragraphs: DataFrame) -> DataFrame:
 
 def packed(pieces: Column, target: int = TARGET) -> Column:
     """Pieces put together while they fit: a fold that keeps what is done and what is open, with its length."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+    sized = F.transform(pieces, lambda p: F.struct(p.alias("p"), F.length(p).alias("n")))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
 
     def add(state: Column, piece: Column) -> Column:
-        fits = F.length(state.open) + F.length(piece) <= target
-        done = F.when(state.open.isNull() | fits, state.done).otherwise(F.concat(state.done, F.array(state.open)))
-        return F.struct(done.alias("done"), F.when(fits, F.concat(state.open, piece)).otherwise(piece).alias("open"))
+        fits = (F.size(state.open) == 0) | (state.n + piece.n <= target)
+        done = F.when(fits, state.done).otherwise(F.concat(state.done, F.array(F.array_join(state.open, ""))))
+        return F.struct(done.alias("done"), F.when(fits, F.concat(state.open, F.array(piece.p))).otherwise(F.array(piece.p)).alias("open"), (F.when(fits, state.n).otherwise(0) + piece.n).alias("n"))
 
-    out = F.aggregate(pieces, start, add, lambda s: F.when(s.open.isNull(), s.done).otherwise(F.concat(s.done, F.array(s.open))))
+    out = F.aggregate(sized, start, add, lambda s: F.when(F.size(s.open) == 0, s.done).otherwise(F.concat(s.done, F.array(F.array_join(s.open, "")))))
     return F.transform(out, T.collapse)
 
 

@@ -6,6 +6,8 @@ gathered: works are compared by counts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,9 +23,9 @@ NUMBER = r"^[0-9IVXLCDM\s–—-]+$"
 PAGE = ["work", "page"]
 
 
-def _widest(low: str, high: str) -> Column:
-    """(width, at) of the widest gap that the intervals of a group leave empty, and where it ends."""
-    spans = F.array_sort(F.collect_list(F.struct(F.col(low).cast("double").alias("a"), F.col(high).cast("double").alias("z"))))
+def _widest(words: Column, low: str, high: str) -> Column:
+    """(width, at) of the widest gap that the words of a part leave empty, and where it ends."""
+    spans = F.array_sort(F.transform(words, lambda w: F.struct(w[low].cast("double").alias("a"), w[high].cast("double").alias("z"))))
     none = F.struct(F.lit(float("-inf")).alias("end"), F.lit(0.0).alias("width"), F.lit(0.0).alias("at"))
 
     def add(state: Column, s: Column) -> Column:
@@ -38,20 +40,27 @@ def columns(words: DataFrame, column_gap: float = COLUMN_GAP, row_gap: float = R
     """Add `block`, a string that orders the parts of each page as they are read.
 
     A part is cut at its widest empty strip: from top to bottom, left before right, or from side to side; and so on, until
-    no strip is wide enough. All parts of all pages are cut in one step, so there are as many
-    steps as cuts inside each other. A row without a box stays where its page begins.
+    no strip is wide enough. The words of a part are one row, at most those of a page, so after pages have been put together
+    nothing is moved. All parts of all pages are cut in one step; there are as many steps as cuts inside each other.
+    A word without a box stays in the first part.
     """
-    rows = kept(words.withColumn("block", F.lit("")))
+    names = [c for c in words.columns if c not in PAGE]
+    open_ = words.groupBy(*PAGE).agg(F.collect_list(F.struct(*names)).alias("words")).select(*PAGE, F.lit("").alias("block"), "words")
+    done = []
     while True:
-        cuts = rows.groupBy(*PAGE, "block").agg(_widest("x0", "x1").alias("x"), _widest("y0", "y1").alias("y"))
+        measured = open_.select("*", _widest(F.col("words"), "x0", "x1").alias("x"), _widest(F.col("words"), "y0", "y1").alias("y"))
         upright = (F.col("x.width") >= column_gap) & ((F.col("x.width") >= F.col("y.width")) | (F.col("y.width") < row_gap))
-        cuts = cuts.where(upright | (F.col("y.width") >= row_gap)).select(*PAGE, "block", upright.alias("upright"), F.when(upright, F.col("x.at")).otherwise(F.col("y.at")).alias("at"))
-        cuts = kept(cuts)
-        if not cuts.limit(1).count():
-            return rows
-        place = F.when(F.col("upright"), F.col("x0")).otherwise(F.col("y0"))
-        side = F.when(F.col("at").isNull(), "").when(F.coalesce(place >= F.col("at"), F.lit(False)), "1").otherwise("0")
-        rows = kept(rows.join(cuts, [*PAGE, "block"], "left").withColumn("block", F.concat("block", side)).drop("upright", "at"))
+        measured = kept(measured.withColumn("cut", F.when(upright, "x").when(F.col("y.width") >= row_gap, "y")))
+        done.append(measured.where("cut is null").select(*PAGE, "block", "words"))
+        parts = measured.where("cut is not null")
+        if not parts.limit(1).count():
+            break
+        after = lambda w: F.coalesce(F.when(F.col("cut") == "x", w.x0 >= F.col("x.at")).otherwise(w.y0 >= F.col("y.at")), F.lit(False))
+        side = lambda name, keep: F.struct(F.concat("block", F.lit(name)).alias("block"), F.filter("words", keep).alias("words"))
+        both = F.explode(F.array(side("0", lambda w: ~after(w)), side("1", after)))
+        open_ = parts.select(*PAGE, both.alias("s")).select(*PAGE, "s.block", "s.words")
+    out = reduce(DataFrame.unionByName, done)
+    return out.select(*PAGE, "block", F.explode("words").alias("w")).select(*PAGE, "w.*", "block")
 
 
 def lines(words: DataFrame, height: float = HEIGHT, gap: float = GAP) -> DataFrame:

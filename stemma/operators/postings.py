@@ -47,7 +47,7 @@ def write_segment(chunks: DataFrame, path: str, number: int = 0, gone: DataFrame
     """
     rows = chunks if "cmp" in chunks.columns else chunks.withColumn("cmp", T.comparable(F.col("text")))
     to = lambda name: f"{path}/{name}/segment={number}"
-    made = places(rows.select("slug", "ord", "cmp")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "slug", "ord", "at")
+    made = places(rows.select("slug", "ord", "cmp")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "ord", "at")
     made.write.mode("overwrite").option("parquet.writer.version", "PARQUET_2_0").partitionBy("bucket").parquet(to(POSTINGS))
     rows.withColumn("part", _part()).hint("rebalance", "part").sortWithinPartitions("part", "slug", "ord").write.mode("overwrite").partitionBy("part").parquet(to(CHUNKS))
     works = chunks.select("slug")

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-#: Bytes of files or members that one task reads, about.
-TASK_BYTES = 32 << 20
+#: Bytes of files or members that one task reads, and that one batch has, about; what an entry counts besides its bytes.
+TASK_BYTES, BATCH_BYTES, ENTRY_BYTES = 32 << 20, 8 << 20, 1 << 10
 
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
@@ -90,10 +90,9 @@ class Folder(DataSource):
 
 @dataclass
 class Members(InputPartition):
-    """Members of one archive: (number, name, method, bytes) each."""
+    """What one task reads: archives, and of each (number, name, method, bytes) of members."""
 
-    path: str
-    members: list[tuple[int, str, int, int]]
+    archives: list[tuple[str, list[tuple[int, str, int, int]]]]
 
 
 class ArchiveReader(DataSourceReader):
@@ -102,33 +101,39 @@ class ArchiveReader(DataSourceReader):
         self.bytes = int(options.get("taskbytes", TASK_BYTES))
 
     def partitions(self) -> list[InputPartition]:
+        """Members one after the other, a new task wherever one has enough: large archives are many, small ones share one."""
         system, _ = place(self.path)
         out: list[InputPartition] = []
+        task, size = [], 0
         for f in found(self.path, self.pattern):
             with system.open_input_file(f.path) as file, zipfile.ZipFile(file) as z:
-                group, size = [], 0
+                task.append((f.path, []))
                 for n, m in enumerate(z.infolist()):
                     if m.is_dir():
                         continue
-                    if group and size + m.file_size > self.bytes:
-                        out.append(Members(f.path, group))
-                        group, size = [], 0
-                    group.append((n, m.filename, m.compress_type, m.file_size))
-                    size += m.file_size
-                if group:
-                    out.append(Members(f.path, group))
-        return out
+                    if size and size + m.file_size > self.bytes:
+                        out.append(Members(task))
+                        task, size = [(f.path, [])], 0
+                    task[-1][1].append((n, m.filename, m.compress_type, m.file_size))
+                    size += m.file_size + ENTRY_BYTES
+        return [*out, Members(task)] if task else out
 
     def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
         system, _ = place(self.path)
         names = ["archive", "n", "member", "method", "size", "content"]
         types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
-        with system.open_input_file(partition.path) as file, zipfile.ZipFile(file) as z:
-            infos = z.infolist()
-            for n, name, method, size in partition.members:
-                content = z.read(infos[n]) if fnmatch(name, self.only) else None
-                columns = [[partition.path], [n], [name], [method], [size], [content]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        for path, members in partition.archives:
+            with system.open_input_file(path) as file, zipfile.ZipFile(file) as z:
+                infos, rows, held = z.infolist(), [], 0
+                for n, name, method, size in members:
+                    content = z.read(infos[n]) if fnmatch(name, self.only) else None
+                    rows.append((path, n, name, method, size, content))
+                    held += len(content or b"")
+                    if held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 @dataclass
@@ -234,7 +239,7 @@ class Archives(DataSource):
     """ZIP archives, members as rows(archive, n, member, method, size, content), in the order of the directory.
 
     Reading: `path` is a file or a folder, `pattern` chooses files, `members` whose content is read (others are null). Only
-    directories are read to plan; an archive is as many tasks as its members fill, so none is ever one cell. Writing: rows
+    directories are read to plan; a large archive is as many tasks as its members fill, so none is ever one cell, and small ones share. Writing: rows
     (file, member, content, stored) of one file must come one after the other in one task, see whole_files().
     """
 
