@@ -128,15 +128,12 @@ def script_json(json: Column) -> Column:
     return json
 
 
-#: A character that no text has (and none is left of in one that has it): it stands for the marks while texts are escaped.
-_ON, _OFF = "\uE000", "\uE001"
-
-
 def _marked(text: Column, expression: str) -> Column:
-    """HTML of a text with all matches of an expression marked."""
-    plain = F.translate(text, _ON + _OFF, "")
-    html = escape_html(F.regexp_replace(plain, f"(?iu)({expression})", f"{_ON}$1{_OFF}"))
-    return F.replace(F.replace(html, F.lit(_ON), F.lit("<mark>")), F.lit(_OFF), F.lit("</mark>"))
+    """HTML of a text with all matches of an expression marked: what is between them and they themselves, escaped piece by piece."""
+    pattern = f"(?iu)({expression})"
+    pieces = F.struct(F.split(text, pattern, -1).alias("plain"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("found"))
+    mark = lambda m: F.coalesce(F.concat(F.lit("<mark>"), escape_html(m), F.lit("</mark>")), F.lit(""))
+    return let(pieces, lambda s: F.array_join(F.transform(s.plain, lambda p, i: F.concat(escape_html(p), mark(F.get(s.found, i)))), ""))
 
 
 def _literal(text: str) -> str:

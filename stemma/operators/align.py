@@ -22,16 +22,19 @@ PIECE = 65_536
 PAGE_RANGE = 64
 
 
-#: A side of a seed join is broadcast up to so many rows (short strings); how many there are is looked up first.
-BROADCAST_ROWS = 250_000
+#: A side of a join with exploded pages is broadcast up to so many bytes; how many rows it has is looked up first.
+BROADCAST_BYTES = 32 << 20
+#: What a row of those sides has at most, about: a needle with its key and its seed; a work and a gram's hash; that with a row's range.
+NEEDLE_BYTES, GRAM_BYTES, ASKED_BYTES = 4 * TAIL + 128, 64, 128
 
 
-def _met(there: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+def _met(there: DataFrame, asked: DataFrame, keys: list[str], row_bytes: int) -> DataFrame:
     """Join exploded page rows with what is asked for: broadcast if that is checked to be small, by a merge else.
 
     The pages' side is never broadcast; its size after exploding is far from what a planner expects.
     """
-    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    most = BROADCAST_BYTES // row_bytes
+    few = asked.limit(most + 1).count() <= most
     return there.join(F.broadcast(asked) if few else asked.hint("merge"), keys)
 
 
@@ -98,7 +101,7 @@ def _short(needles: DataFrame, hay: DataFrame, shortest: int) -> DataFrame:
     hay = hay.withColumn("seed", F.substring("text", F.col("q"), F.lit(SEED))).where(F.length("seed") == SEED)
     seeds = needles.select("*", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("o"))
     seeds = seeds.withColumn("seed", F.substring("needle", F.col("o") + 1, F.lit(SEED)))
-    met = _met(hay, seeds, [*_slug(needles), "seed"]).withColumn("s", F.col("q") - F.col("o"))
+    met = _met(hay, seeds, [*_slug(needles), "seed"], NEEDLE_BYTES).withColumn("s", F.col("q") - F.col("o"))
     here = (F.col("s") >= 1) & (F.col("s") <= BLOCK) & (F.substring("text", F.col("s"), F.length("needle")) == F.col("needle"))
     at = F.col("b") * BLOCK + F.col("s") - 1
     page = F.element_at(F.filter("marks", lambda m: m.start <= at), -1).page_no
@@ -202,8 +205,8 @@ def fuzzy(rows: DataFrame, pages: DataFrame, threshold: float = FUZZY) -> DataFr
     there = there.select("slug", "page_no", "p", F.explode(F.sequence(F.lit(1), F.greatest(F.length("p") - (width - 1), F.lit(1)))).alias("i"))
     there = there.select("slug", "page_no", F.xxhash64(F.substring("p", F.col("i"), F.lit(width))).alias("gram"))
     keys = [*_slug(rows), "gram"]
-    there = _met(there, mine.select(keys).distinct(), keys).select("slug", "page_no", "gram").distinct()
-    met = _met(there, mine, keys).where(F.col("page_no").between(F.col("from_page"), F.col("to_page")))
+    there = _met(there, mine.select(keys).distinct(), keys, GRAM_BYTES).select("slug", "page_no", "gram").distinct()
+    met = _met(there, mine, keys, ASKED_BYTES).where(F.col("page_no").between(F.col("from_page"), F.col("to_page")))
     scored = met.groupBy("slug", "ord", "page_no").agg((F.count("*") / F.first("total")).alias("score"), F.first("target").alias("target"))
     best = W.partitionBy("slug", "ord").orderBy(F.desc("score"), F.abs(F.col("page_no") - F.col("target")), "page_no")
     return scored.withColumn("r", F.row_number().over(best)).where((F.col("r") == 1) & (F.col("score") >= threshold)).select("slug", "ord", "page_no", "score")

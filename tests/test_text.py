@@ -122,3 +122,10 @@ def test_other_brackets_are_no_markers(spark):
 def test_years(spark, year, number, era):
     assert one(spark, C.sort_year(F.col("y")), y=year) == number
     assert one(spark, C.era(F.col("y")), y=year) == era
+
+
+def test_marks_take_nothing_from_the_text(spark):
+    """Private characters stay, and what is marked is escaped by itself."""
+    text = "\ue000a<b\ue001 A<B &"
+    assert one(spark, T.highlight(F.col("t"), "a<b"), t=text) == "\ue000<mark>a&lt;b</mark>\ue001 <mark>A&lt;B</mark> &amp;"
+    assert one(spark, T.excerpt(F.col("t"), ["a<", "&"]), t=text) == "\ue000<mark>a&lt;</mark>b\ue001 <mark>A&lt;</mark>B <mark>&amp;</mark>"

@@ -65,7 +65,7 @@ def test_ranks_by_ranges(spark):
         df = spark.createDataFrame(rows, "ord long, v double").repartition(7)
         for down in (False, True):
             want = sorted(rows, key=lambda x: (x[1] is None, 0 if x[1] is None else -x[1] if down else x[1], x[0]))
-            got = ranking.numbered(df, F.col("v"), "ord", down, bucket=500).collect()
+            got = ranking.numbered(df, F.col("v"), "ord", down).collect()
             assert {x.ord: x["rank"] for x in got} == {x[0]: n + 1 for n, x in enumerate(want)}
 
 
@@ -124,3 +124,46 @@ def test_commands(spark, tmp_path, capsys):
     assert capsys.readouterr().out.split("\n") == ["1 w1 2", "1 w1 2", ""]
     spark.read.parquet(chunks).where("ord <> 1").write.parquet(f"{tmp_path}/less")
     assert main(["verify", f"{tmp_path}/less"], spark) == 1
+    # the index against the chunks, and what else is made of files
+    assert main(["verify", chunks, "--index", made], spark) == 0 == main(["verify", chunks, "--index", f"{made}"], spark)
+    assert main(["verify", f"{tmp_path}/less", "--index", made], spark) == 1
+    out = capsys.readouterr().out
+    assert "map-unknown" in out and "index-unknown" in out and "part-chunks" in out
+    assert main(["merge", made, f"{tmp_path}/merged"], spark) == 0
+    assert main(["search", chunks, "the river", "--index", f"{tmp_path}/merged"], spark) == 0
+    assert capsys.readouterr().out == "1 w1 2\n"
+    assert main(["maps", chunks, f"{tmp_path}/maps"], spark) == 0
+    assert sorted(p.name for p in (tmp_path / "maps").iterdir()) == ["w1.json", "w2.json"]
+    assert main(["manifest", f"{tmp_path}/src", f"{tmp_path}/manifest", "--origin", "https://h/"], spark) == 0
+    assert {(r.path, r.url) for r in spark.read.json(f"{tmp_path}/manifest").collect()} == {(f"w{k}.md", f"https://h/w{k}.md") for k in (1, 2)}
+
+
+def test_epub_commands(spark, tmp_path, capsys):
+    """Contents as they would be rebuilt, and faults, of a small EPUB."""
+    import zipfile
+
+    from stemma.__main__ import main
+
+    xhtml = '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body>%s</body></html>'
+    members = {
+        "mimetype": "application/epub+zip",
+        "META-INF/container.xml": '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="O/b.opf"/></rootfiles></container>',
+        "O/b.opf": '<package xmlns="http://www.idpf.org/2007/opf" version="3.0"><manifest><item id="n" properties="nav" href="nav.xhtml"/><item id="a" href="t/a.xhtml"/><item id="b" href="t/b.xhtml"/></manifest><spine><itemref idref="n"/><itemref idref="b"/><itemref idref="a"/></spine></package>',
+        "O/nav.xhtml": xhtml % '<h1>Contents</h1><nav epub:type="toc"><ol><li><a href="t/b.xhtml#s">B</a></li></ol></nav>',
+        "O/t/a.xhtml": xhtml % '<section id="s"><h1>One</h1><h2>Two <em>x</em></h2></section><div class="x unlisted"><h2>hidden</h2></div>',
+        "O/t/b.xhtml": xhtml % '<h1 id="s">First</h1><h3>Deep</h3><p>text</p>',
+    }
+
+    def write(name, **changes):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            for n, content in (members | changes).items():
+                z.writestr(zipfile.ZipInfo(n), content)
+
+    write("good.epub")
+    assert main(["epubs", str(tmp_path)], spark) == 0
+    capsys.readouterr()
+    assert main(["contents", str(tmp_path)], spark) == 0
+    assert capsys.readouterr().out.splitlines() == ["good First t/b.xhtml#s", "good   Deep t/b.xhtml#reading-order-heading-00002", "good One t/a.xhtml#s", "good   Two x t/a.xhtml#reading-order-heading-00004"]
+    write("bad.epub", mimetype="x")
+    assert main(["epubs", str(tmp_path)], spark) == 1
+    assert capsys.readouterr().out.split()[:2][0] == "type-said"
