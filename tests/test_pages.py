@@ -27,7 +27,7 @@ def test_two_columns(spark):
 
 
 def test_lines(spark):
-    rows = [word(40, 100, "b"), word(10, 101.5, "a"), word(90, 100, "c"), word(10, 112, "d"), word(10, 113.9, "e", 5), word(17, 114.1, "f", 5), word(24, 120, "g", 5)]
+    rows = [word(40, 100, "b"), word(10, 101.5, "a"), word(90, 100, "c"), word(10, 112, "d"), word(31, 113.9, "e", 5), word(37, 114.1, "f", 5), word(44, 120, "g", 5)]
     lines = P.lines(P.columns(spark.createDataFrame(rows, SCHEMA), column_gap=1000))
     assert [r.text for r in lines.orderBy("n").collect()] == ["a b ｜ c", "d e", "f", "g"]
     empty = spark.createDataFrame([], SCHEMA)

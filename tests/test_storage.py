@@ -18,7 +18,7 @@ def test_archives_come_back(spark, tmp_path):
         assert z.namelist() == ["mimetype", "x/y.txt", "empty"] and z.testzip() is None
         assert [i.compress_type for i in z.infolist()] == [0, 8, 8]
     got = storage.read_archives(spark, str(tmp_path), "*.zip", task_bytes=100)
-    assert got.rdd.getNumPartitions() == 3  # before and after a large member another task begins
+    assert got.rdd.getNumPartitions() == 4 and storage.read_archives(spark, str(tmp_path), "*.zip").rdd.getNumPartitions() == 1  # by bytes
     assert sorted((r.archive.rpartition("/")[2], r.n, r.member, r.method, r.size, bytes(r.content)) for r in got.collect()) == [("a.zip", 0, "mimetype", 0, 1, b"t"), ("a.zip", 1, "x/y.txt", 8, 3000, b"hello " * 500), ("a.zip", 2, "empty", 8, 0, b""), ("b.zip", 0, "only", 8, 2, b"\x00\xff")]
     some = storage.read_archives(spark, str(tmp_path / "a.zip"), members="*.txt")
     assert {r.member: r.content is None for r in some.collect()} == {"mimetype": True, "x/y.txt": False, "empty": True}

@@ -64,7 +64,7 @@ def test_candidate_queries(spark):
     assert one(spark, T.candidate_queries(T.surface_words(F.col("t"))), t="--") == []
 
 
-@pytest.mark.parametrize("anchor, url, want", [("b00001", "", "b00001"), (None, "/x#b00002", "b00002"), ("b1", "/x#c", None), (None, None, None), ("b123456", "/x", None)])
+@pytest.mark.parametrize("anchor, url, want", [("b00001", "", "b00001"), (None, "/x#b00002", "b00002"), ("b1", "/x#c", None), (None, None, None), ("b012345", "/x", None), ("b123456", "/x", "b123456")])
 def test_block_of(spark, anchor, url, want):
     assert one(spark, T.block_of(F.col("a"), F.col("u")), a=anchor, u=url) == want
 
