@@ -83,7 +83,8 @@ def page_map(chunks: DataFrame) -> DataFrame:
 
 
 def document_url(slug: str, part: str) -> F.Column:
-    return F.concat(F.lit("/__fulltext/"), F.col(slug), F.lit("/part-"), F.lpad(F.col(part).cast("string"), 4, "0"), F.lit("/"))
+    """The address of a part, whose number has four digits, and as many more as it needs."""
+    return F.concat(F.lit("/__fulltext/"), F.col(slug), F.lit("/part-"), F.format_string("%04d", part), F.lit("/"))
 
 
 def totals(chunks: DataFrame, made: DataFrame, works: DataFrame) -> DataFrame:

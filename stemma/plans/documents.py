@@ -187,8 +187,7 @@ def index_totals(spark: SparkSession, d: str) -> DataFrame:
 def document_map(spark: SparkSession, d: str) -> DataFrame:
     """Fragments and what they stand for, and their addresses."""
     parts = tables.chunks(spark, d).select(F.concat(F.lit("ja_"), F.col("pdf_page").cast("string")).alias("part_id"), "slug", "record_class", F.col("pdf_page").alias("part_index")).distinct()
-    made = sinks.document_map(parts)
-    return made.join(parts.select("part_id", index.document_url("slug", "part_index").alias("url")), "part_id")
+    return sinks.document_map(parts, index.document_url("slug", "part_index").alias("url")).distinct()
 
 
 @query(

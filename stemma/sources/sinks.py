@@ -83,10 +83,10 @@ def write_document_map(parts: DataFrame, path: str, name: str = "documents.json"
     storage.write_files(rows, storage.JsonFiles, path, "key")
 
 
-def document_map(parts: DataFrame) -> DataFrame:
-    """parts(part_id, slug, record_class, part_index) -> one row a fragment: JSON [slug, class, part]."""
+def document_map(parts: DataFrame, *more: Column) -> DataFrame:
+    """parts(part_id, slug, record_class, part_index) -> one row a fragment: JSON [slug, class, part], and what more is asked of it."""
     names = F.to_json(F.array("slug", "record_class"))
-    return parts.select("part_id", F.concat(F.left(names, F.length(names) - 1), F.lit(","), F.col("part_index").cast("string"), F.lit("]")).alias("mapping"))
+    return parts.select("part_id", F.concat(F.left(names, F.length(names) - 1), F.lit(","), F.col("part_index").cast("string"), F.lit("]")).alias("mapping"), *more)
 
 
 def structured_data(publications: DataFrame) -> DataFrame:
