@@ -221,10 +221,13 @@ def page_labels(pages: DataFrame) -> DataFrame:
 
 def unique_labels(chunks: DataFrame, labels: DataFrame) -> DataFrame:
     """chunks(slug, ord, original_page) and page_labels() -> slug, ord, page_no where a chunk's labels name one page only."""
-    there = labels.select("slug", "page_no", F.explode("labels").alias("l")).select("slug", "page_no", T.matchable(F.col("l")).alias("label")).distinct()
+    # One page is named where the first and the last are the same, so a label is a row, however many pages have it.
+    ends = lambda low, high: [F.min(low).alias("low"), F.max(high).alias("high")]
+    there = labels.select("slug", "page_no", F.explode("labels").alias("l")).groupBy("slug", "l").agg(*ends("page_no", "page_no"))
+    there = there.select("slug", T.matchable(F.col("l")).alias("label"), "low", "high").groupBy("slug", "label").agg(*ends("low", "high"))
     mine = chunks.select("slug", "ord", F.explode(F.split("original_page", "／", -1)).alias("l")).select("slug", "ord", T.matchable(F.col("l")).alias("label")).distinct()
-    pages = mine.join(there, ["slug", "label"]).groupBy("slug", "ord").agg(F.count_distinct("page_no").alias("n"), F.min("page_no").alias("page_no"))
-    return pages.where("n = 1").select("slug", "ord", "page_no")
+    pages = mine.join(there, ["slug", "label"]).groupBy("slug", "ord").agg(*ends("low", "high"))
+    return pages.where("low = high").select("slug", "ord", F.col("low").alias("page_no"))
 
 
 def align(chunks: DataFrame, pages: DataFrame) -> DataFrame:
