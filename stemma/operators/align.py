@@ -24,8 +24,8 @@ PAGE_RANGE = 64
 
 #: A side of a join with exploded pages is broadcast up to so many bytes; how many rows it has is looked up first.
 BROADCAST_BYTES = 32 << 20
-#: What a row of those sides has at most, about: a needle with its key and its seed; a work and a gram's hash; that with a row's range.
-NEEDLE_BYTES, GRAM_BYTES, ASKED_BYTES = 4 * TAIL + 128, 64, 128
+#: What a row of those sides has at most, about: a hash; a place or a key with two hashes.
+GRAM_BYTES, ASKED_BYTES = 64, 128
 
 
 def _met(there: DataFrame, asked: DataFrame, keys: list[str], row_bytes: int) -> DataFrame:
@@ -81,31 +81,37 @@ def occurrences(needles: DataFrame, hay: DataFrame, shortest: int) -> DataFrame:
     """
     n = F.length("needle")
     offsets = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(0), F.floor(n / TAIL).cast("int") - 1), lambda k: k * TAIL), F.array(n - TAIL)))
-    cut = needles.where(n > TAIL).withColumn("offsets", offsets).withColumn("o", F.explode("offsets"))
+    cut = needles.withColumn("offsets", F.when(n > TAIL, offsets).otherwise(F.array(F.lit(0)))).withColumn("o", F.explode("offsets"))
     key = F.struct("key", F.col("o").alias("offset"), F.size("offsets").alias("pieces"))
     cut = cut.select(*_slug(needles), key.alias("key"), F.substring("needle", F.col("o") + 1, F.lit(TAIL)).alias("needle"))
     place = F.col("at") - F.col("key.offset")
-    met = _short(cut, hay, TAIL).groupBy("slug", F.col("key.key").alias("key"), place.alias("at")).agg(F.count("*").alias("n"), F.min("key.pieces").alias("pieces"), F.min_by("page_no", "key.offset").alias("page_no"))
-    return _short(needles.where(n <= TAIL), hay, shortest).unionByName(met.where("n = pieces").select("slug", "key", "at", "page_no"))
+    met = _short(cut, hay, shortest).groupBy("slug", F.col("key.key").alias("key"), place.alias("at")).agg(F.count("*").alias("n"), F.min("key.pieces").alias("pieces"), F.min_by("page_no", "key.offset").alias("page_no"))
+    return met.where("n = pieces or pieces = 1").select("slug", "key", "at", "page_no")
 
 
 def _short(needles: DataFrame, hay: DataFrame, shortest: int) -> DataFrame:
     """occurrences() of needles up to TAIL characters.
 
     Seed and verify: blocks give a seed at every k-th place, needles at their first k, so each occurrence of a
-    needle of `shortest` characters or more meets in an equality join, and is then compared in full.
+    needle of `shortest` characters or more meets in an equality join. Seeds travel as hashes, without texts, and those
+    that no needle has fall first; only places where a needle may begin meet their block again, which has a text once. There
+    needles are compared as hashes, and then in full.
     """
-    stride = shortest - SEED + 1
+    stride, own = shortest - SEED + 1, _slug(needles)
+    seed = lambda text, at: F.xxhash64(*own, F.substring(text, at, F.lit(SEED))).alias("seed")
     size = F.least(F.lit(BLOCK), F.length("text"))
-    hay = hay.select("slug", "b", "text", "marks", F.explode(F.sequence(F.lit(1), size + (stride - 1), F.lit(stride))).alias("q"))
-    hay = hay.withColumn("seed", F.substring("text", F.col("q"), F.lit(SEED))).where(F.length("seed") == SEED)
-    seeds = needles.select("*", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("o"))
-    seeds = seeds.withColumn("seed", F.substring("needle", F.col("o") + 1, F.lit(SEED)))
-    met = _met(hay, seeds, [*_slug(needles), "seed"], NEEDLE_BYTES).withColumn("s", F.col("q") - F.col("o"))
-    here = (F.col("s") >= 1) & (F.col("s") <= BLOCK) & (F.substring("text", F.col("s"), F.length("needle")) == F.col("needle"))
+    there = hay.select("slug", "b", "text", F.explode(F.sequence(F.lit(1), size + (stride - 1), F.lit(stride))).alias("q"))
+    there = there.where(F.col("q") <= F.length("text") - (SEED - 1)).select("slug", "b", "q", seed(F.col("text"), F.col("q")))
+    asked = needles.select(*own, "key", "needle", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("o"))
+    asked = kept(asked.select(*own, "key", "o", F.length("needle").alias("n"), F.xxhash64("needle").alias("h"), seed(F.col("needle"), F.col("o") + 1)))
+    there = _met(there, asked.select("seed").distinct(), ["seed"], GRAM_BYTES)
+    begin = _met(there, asked, [*own, "seed"], ASKED_BYTES).withColumn("s", F.col("q") - F.col("o")).where((F.col("s") >= 1) & (F.col("s") <= BLOCK))
+    begin = kept(begin.select("slug", "b", "s", "key", "n", "h"))
+    here = _met(hay, begin, ["slug", "b"], ASKED_BYTES).withColumn("piece", F.substring("text", F.col("s"), F.col("n"))).where(F.xxhash64("piece") == F.col("h"))
     at = F.col("b") * BLOCK + F.col("s") - 1
     page = F.element_at(F.filter("marks", lambda m: m.start <= at), -1).page_no
-    return met.where(here).select("slug", "key", at.alias("at"), page.alias("page_no")).distinct()
+    here = here.select("slug", "key", at.alias("at"), page.alias("page_no"), F.col("piece").alias("needle"))
+    return here.join(needles, [*own, "key", "needle"]).select("slug", "key", "at", "page_no").distinct()
 
 
 def _slug(df: DataFrame) -> list[str]:
