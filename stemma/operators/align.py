@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ PAGE_RANGE = 64
 BROADCAST_BYTES = 32 << 20
 #: What a row of those sides has at most, about: a hash; a place or a key with two hashes.
 GRAM_BYTES, ASKED_BYTES = 64, 128
+#: Characters of a group of pages, and grams of a group of rows, that are compared together.
+GROUP_CHARS, GROUP_GRAMS = 4 << 20, 1 << 20
 
 
 def _met(there: DataFrame, asked: DataFrame, keys: list[str], row_bytes: int) -> DataFrame:
@@ -192,30 +196,72 @@ def neighbours(rows: DataFrame, anchor: Column, last_page: Column) -> DataFrame:
     )
 
 
+WIDTH = 6
+_FACTORS = np.random.default_rng(6).integers(1, 1 << 63, WIDTH, np.uint64) | np.uint64(1)
+
+
+def _hashed(text: str) -> np.ndarray:
+    """Hashes of the distinct runs of WIDTH characters of a text, sorted; a shorter text is one run, an empty one has none."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    at = np.frombuffer(text.ljust(WIDTH, "\0").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = len(at) - WIDTH + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(WIDTH):
+        out += at[k : k + n] * _FACTORS[k]
+    out ^= out >> np.uint64(32)
+    return np.unique(out)
+
+
+def _compared(pages: pa.Table, rows: pa.Table, threshold: float, schema: pa.Schema) -> pa.Table:
+    """Of some pages and rows of one work: for each row its best page among these, if its score is enough."""
+    own = [_hashed(x) for x in rows.column("norm").to_pylist()]
+    total = np.array([len(x) for x in own], np.int64)
+    row = np.repeat(np.arange(len(own)), total)
+    grams = np.concatenate(own) if own else np.zeros(0, np.uint64)
+    order = np.argsort(grams, kind="stable")
+    grams, row = grams[order], row[order]
+    low, high = (rows.column(c).to_numpy() for c in ("from_page", "to_page"))
+    target = rows.column("target").to_numpy()
+    best: dict[int, tuple[float, float, int]] = {}
+    for page, text in zip(pages.column("page_no").to_pylist(), pages.column("txt").to_pylist(), strict=True) if len(grams) else ():
+        there = _hashed(text)
+        at = np.minimum(np.searchsorted(there, grams), max(len(there) - 1, 0))
+        met = np.bincount(row[there[at] == grams], minlength=len(own)) if len(there) else np.zeros(len(own), np.int64)
+        score = met / np.maximum(total, 1)
+        for i in np.flatnonzero((score >= threshold) & (met > 0) & (low <= page) & (page <= high)).tolist():
+            found = (-float(score[i]), abs(page - float(target[i])), page)
+            best[i] = min(best.get(i, found), found)
+    chosen = sorted(best)
+    made = {"slug": pages.column("slug").to_pylist()[:1] * len(chosen), "ord": rows.column("ord").take(pa.array(chosen, pa.int64())), "page_no": [best[i][2] for i in chosen], "score": [-best[i][0] for i in chosen], "far": [best[i][1] for i in chosen]}
+    return pa.table({f.name: pa.array(made[f.name], f.type) if isinstance(made[f.name], list) else made[f.name] for f in schema}, schema=schema)
+
+
 def fuzzy(rows: DataFrame, pages: DataFrame, threshold: float = FUZZY) -> DataFrame:
-    """rows(slug, ord, norm, target, from_page, to_page) -> slug, ord, page_no, score: best page by 6-gram containment.
+    """rows(slug, ord, norm, target, from_page, to_page) and page_starts() -> slug, ord, page_no, score: best page by 6-gram containment.
+
+    Ties go to the page nearest the target, then to the lower one. Rows without a slug are compared with all works.
 
-    Ties go to the page nearest the target, then to the lower one.
+    Texts are compared where they meet, not gram by gram: a work's pages are cut into groups of GROUP_CHARS characters, and
+    rows go to the groups that their range touches; where those have more than GROUP_GRAMS grams, they are several groups
+    with the same pages. A group gives a row for each of its rows at most.
     """
-    mine = rows.select(*_slug(rows), "ord", "target", "from_page", "to_page", T.grams(F.col("norm")).alias("grams"))
-    # Counted before they are spread: above the explode it would be counted again for each of them. A gram travels as a hash.
-    mine = mine.select("*", F.size("grams").alias("total")).select(*_slug(rows), "ord", "target", "from_page", "to_page", "total", F.explode("grams").alias("gram")).withColumn("gram", F.xxhash64("gram"))
-    if "slug" in rows.columns:  # only pages that some row of their work may lie on
-        reach = rows.groupBy("slug").agg(F.min("from_page").alias("low"), F.max("to_page").alias("high"))
-        pages = pages.join(reach, "slug").where(F.col("page_no").between(F.col("low"), F.col("high")))
-    # Pages give their grams piece by piece; what is in no chunk falls before the distinct.
-    width, piece = 6, 64
-    begins = F.sequence(F.lit(1), F.greatest(F.length("txt") - (width - 1), F.lit(1)), F.lit(piece))
-    there = pages.where(F.length("txt") > 0).select("slug", "page_no", "txt", F.explode(begins).alias("b")).select("slug", "page_no", F.substring("txt", F.col("b"), F.lit(piece + width - 1)).alias("p"))
-    # One row a place, hashed in generated code and met at once with what is asked, before anything is kept of it.
-    there = there.select("slug", "page_no", "p", F.explode(F.sequence(F.lit(1), F.greatest(F.length("p") - (width - 1), F.lit(1)))).alias("i"))
-    there = there.select("slug", "page_no", F.xxhash64(F.substring("p", F.col("i"), F.lit(width))).alias("gram"))
-    keys = [*_slug(rows), "gram"]
-    there = _met(there, mine.select(keys).distinct(), keys, GRAM_BYTES).select("slug", "page_no", "gram").distinct()
-    met = _met(there, mine, keys, ASKED_BYTES).where(F.col("page_no").between(F.col("from_page"), F.col("to_page")))
-    scored = met.groupBy("slug", "ord", "page_no").agg((F.count("*") / F.first("total")).alias("score"), F.first("target").alias("target"))
-    best = W.partitionBy("slug", "ord").orderBy(F.desc("score"), F.abs(F.col("page_no") - F.col("target")), "page_no")
-    return scored.withColumn("r", F.row_number().over(best)).where((F.col("r") == 1) & (F.col("score") >= threshold)).select("slug", "ord", "page_no", "score")
+    own = _slug(rows)
+    pages = pages.where(F.length("txt") > 0).select("slug", "page_no", "txt", F.floor(F.col("start") / GROUP_CHARS).alias("g"))
+    groups = kept(pages.groupBy("slug", "g").agg(F.min("page_no").alias("low"), F.max("page_no").alias("high")))
+    asked = rows.where(F.length("norm") > 0).select(*own, "ord", "norm", F.col("target").cast("double").alias("target"), F.col("from_page").cast("long").alias("from_page"), F.col("to_page").cast("long").alias("to_page"))
+    met = asked.join(groups, "slug") if own else asked.crossJoin(groups)
+    met = met.where((F.col("low") <= F.col("to_page")) & (F.col("from_page") <= F.col("high"))).drop("low", "high")
+    parts = kept(met.groupBy("slug", "g").agg(F.ceil(F.sum(F.length("norm")) / GROUP_GRAMS).alias("parts")))
+    dealt = met.join(parts, ["slug", "g"]).withColumn("part", F.pmod(F.xxhash64("ord"), F.col("parts"))).drop("parts")
+    there = pages.join(parts, ["slug", "g"]).select("slug", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "page_no", "txt")
+    kinds = {"slug": "string", "ord": rows.schema["ord"].dataType.simpleString(), "page_no": pages.schema["page_no"].dataType.simpleString(), "score": "double", "far": "double"}
+    schema = pa.schema([(c, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[k]) for c, k in kinds.items()])
+    by = ["slug", "g", "part"]
+    dealt = dealt.withColumnsRenamed({c: f"_{c}" for c in by})
+    found = there.groupBy(*by).cogroup(dealt.groupBy(*[f"_{c}" for c in by])).applyInArrow(lambda p, r: _compared(p, r, threshold, schema), ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    best = W.partitionBy("slug", "ord").orderBy(F.desc("score"), "far", "page_no")
+    return found.withColumn("r", F.row_number().over(best)).where("r = 1").select("slug", "ord", "page_no", "score")
 
 
 def page_labels(pages: DataFrame) -> DataFrame:
