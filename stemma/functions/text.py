@@ -8,7 +8,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, and the byte order mark, which browsers count too.
@@ -20,7 +20,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Rows and bytes that a Python worker is sent at once. Texts can be long, so both are bounded.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def short_batches() -> None:
+    """Bound what Python workers of this session hold, whatever the size of tables and partitions. A smaller setting stays."""
+    spark = SparkSession.getActiveSession()
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)) if spark else ():
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(re.sub("[^0-9]", "", spark.conf.get(key, None) or "") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def _form(name: str):
+    short_batches()
+
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
         return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(name, x))
@@ -38,6 +54,7 @@ def nfkc(text: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Character references, where there are any."""
+    short_batches()
 
     @F.pandas_udf("string")
     def plain(s: pd.Series) -> pd.Series:
@@ -253,6 +270,7 @@ def repaired(text: Column, glyphs: dict[str, str]) -> Column:
 
 def archive_path(base: Column, target: Column) -> Column:
     """A relative address resolved against a member of an archive, without its fragment; null where it leaves it."""
+    short_batches()
 
     @F.pandas_udf("string")
     def resolve(b: pd.Series, t: pd.Series) -> pd.Series:
