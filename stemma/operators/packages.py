@@ -80,6 +80,7 @@ def facts(members: DataFrame) -> DataFrame:
 
     Each member is parsed by itself; what belongs together, in a package or between them, meets in joins.
     """
+    T.short_batches()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from stemma.functions.text import short_batches
+
 #: Bytes of files or members that one task reads, and that one batch has, about; what an entry counts besides its bytes.
 TASK_BYTES, BATCH_BYTES, ENTRY_BYTES = 32 << 20, 8 << 20, 1 << 10
 
@@ -294,7 +296,8 @@ class JsonFiles(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the sources of this module known to a session."""
+    """Make the sources of this module known to a session, and bound the rows that their workers put together at once."""
+    short_batches()
     for source in (Folder, Archives, JsonFiles):
         spark.dataSource.register(source)
 
