@@ -49,22 +49,41 @@ def shared_folder(spark: SparkSession) -> str:
 
 _STAGED: dict[str, SparkSession] = {}
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BROADCAST, _MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+#: Bytes of files up to which a table is broadcast unasked. Packed ids and counts take many times that in the driver.
+BROADCAST_FILES = 1 << 20
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _small_broadcasts(spark: SparkSession) -> dict[str, str]:
+    """What is broadcast by the size of its files is bounded by BROADCAST_FILES; by sizes that Spark has measured, as before."""
+    java = spark._jsparkSession.sessionState().conf()
+    now, measured = java.autoBroadcastJoinThreshold(), spark.conf.get(_MEASURED, None)
+    return {_BROADCAST: str(min(now, BROADCAST_FILES)), _MEASURED: measured or str(now)}
 
 
 def staged(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back; staged tables in `done` are then deleted.
 
     This cuts the lineage: a lost executor costs no more than its own tasks, and no stage before this
-    one runs again. The write's own shuffle files go when it ends.
+    one runs again. The write's own shuffle files go when it ends. Only small files are broadcast in it unasked.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stemma-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_FREE_SHUFFLES, None)
-    spark.conf.set(_FREE_SHUFFLES, "true")
-    try:
+    with _settings(spark, {_FREE_SHUFFLES: "true"} | _small_broadcasts(spark)):
         df.write.mode("overwrite").parquet(path)
-    finally:
-        spark.conf.unset(_FREE_SHUFFLES) if before is None else spark.conf.set(_FREE_SHUFFLES, before)
     _STAGED[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path

@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     doc_id stay apart, though both may be called by it. Rows with a null doc_id get null ids. No rows: no rows.
     """
     rows, named = _classes(docs, threshold, shingle)
-    out = rows.select("doc_id", "k1", "k2").join(named.select("k1", "k2", "text_id", F.col("first.text_id").alias("class_id")), ["k1", "k2"], "left")
+    # This join runs after staged() has let its settings go, so it is said here that no side is broadcast.
+    out = rows.select("doc_id", "k1", "k2").join(named.select("k1", "k2", "text_id", F.col("first.text_id").alias("class_id")).hint("merge"), ["k1", "k2"], "left")
     known_id = F.col("doc_id").isNotNull()
     return out.select("doc_id", F.when(known_id, F.col("text_id")).alias("text_id"), F.when(known_id, F.col("class_id")).alias("class_id"))
 
