@@ -6,12 +6,17 @@ gathered: works are compared by counts.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
+from stemma.functions.text import short_batches
 from stemma.operators.ranking import kept
 
 #: Least empty space between columns and between rows of a cut; how far words of a line may be off; a wide gap in a line.
@@ -23,44 +28,61 @@ NUMBER = r"^[0-9IVXLCDM\s–—-]+$"
 PAGE = ["work", "page"]
 
 
-def _widest(words: Column, low: str, high: str) -> Column:
-    """(width, at) of the widest gap that the words of a part leave empty, and where it ends."""
-    spans = F.array_sort(F.transform(words, lambda w: F.struct(w[low].cast("double").alias("a"), w[high].cast("double").alias("z"))))
-    none = F.struct(F.lit(float("-inf")).alias("end"), F.lit(0.0).alias("width"), F.lit(0.0).alias("at"))
-
-    def add(state: Column, s: Column) -> Column:
-        wider = (s.a - state.end > state.width) & (state.end > float("-inf"))
-        width = F.when(wider, s.a - state.end).otherwise(state.width)
-        return F.struct(F.greatest(state.end, s.z).alias("end"), width.alias("width"), F.when(wider, s.a).otherwise(state.at).alias("at"))
-
-    return F.aggregate(spans, none, add)
+def _widest(low: np.ndarray, high: np.ndarray) -> tuple[float, float]:
+    """(width, at) of the widest gap that the words of a part leave empty, and where it ends; the first of several."""
+    none = np.isnan(low)
+    low, high = np.where(none, -np.inf, low), np.where(np.isnan(high), -np.inf, high)
+    order = np.lexsort((high, low))
+    before = np.maximum.accumulate(high[order])[:-1]
+    begin = low[order][1:]
+    open_ = (before > -np.inf) & ~none[order][1:]
+    if not open_.any():
+        return 0.0, 0.0
+    gaps = np.subtract(begin, before, where=open_, out=np.zeros(len(begin)))
+    k = int(gaps.argmax())
+    return max(float(gaps[k]), 0.0), float(begin[k])
+
+
+def _blocks(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray, column_gap: float, row_gap: float) -> list[str]:
+    """The part of each word of a page."""
+    out, todo = [""] * len(x0), [("", np.arange(len(x0)))]
+    while todo:
+        block, words = todo.pop()
+        (x, right), (y, below) = _widest(x0[words], x1[words]), _widest(y0[words], y1[words])
+        if x >= column_gap and (x >= y or y < row_gap):
+            after = x0[words] >= right
+        elif y >= row_gap:
+            after = y0[words] >= below
+        else:
+            for k in words.tolist():
+                out[k] = block
+            continue
+        todo += [(block + "0", words[~after]), (block + "1", words[after])]
+    return out
 
 
 def columns(words: DataFrame, column_gap: float = COLUMN_GAP, row_gap: float = ROW_GAP) -> DataFrame:
     """Add `block`, a string that orders the parts of each page as they are read.
 
     A part is cut at its widest empty strip: from top to bottom, left before right, or from side to side; and so on, until
-    no strip is wide enough. The words of a part are one row, at most those of a page, so after pages have been put together
-    nothing is moved. All parts of all pages are cut in one step; there are as many steps as cuts inside each other.
-    A word without a box stays in the first part.
+    no strip is wide enough. The words of a page are one row, and all its cuts are made where it is read, so words are moved
+    once. A word without a box stays in the first part.
     """
     names = [c for c in words.columns if c not in PAGE]
-    open_ = words.groupBy(*PAGE).agg(F.collect_list(F.struct(*names)).alias("words")).select(*PAGE, F.lit("").alias("block"), "words")
-    done = []
-    while True:
-        measured = open_.select("*", _widest(F.col("words"), "x0", "x1").alias("x"), _widest(F.col("words"), "y0", "y1").alias("y"))
-        upright = (F.col("x.width") >= column_gap) & ((F.col("x.width") >= F.col("y.width")) | (F.col("y.width") < row_gap))
-        measured = kept(measured.withColumn("cut", F.when(upright, "x").when(F.col("y.width") >= row_gap, "y")))
-        done.append(measured.where("cut is null").select(*PAGE, "block", "words"))
-        parts = measured.where("cut is not null")
-        if not parts.limit(1).count():
-            break
-        after = lambda w: F.coalesce(F.when(F.col("cut") == "x", w.x0 >= F.col("x.at")).otherwise(w.y0 >= F.col("y.at")), F.lit(False))
-        side = lambda name, keep: F.struct(F.concat("block", F.lit(name)).alias("block"), F.filter("words", keep).alias("words"))
-        both = F.explode(F.array(side("0", lambda w: ~after(w)), side("1", after)))
-        open_ = parts.select(*PAGE, both.alias("s")).select(*PAGE, "s.block", "s.words")
-    out = reduce(DataFrame.unionByName, done)
-    return out.select(*PAGE, "block", F.explode("words").alias("w")).select(*PAGE, "w.*", "block")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("words").value_lengths().to_numpy()
+            fields = dict(zip(names, batch.column("words").flatten().flatten(), strict=True))
+            box = [pc.cast(fields[c], pa.float64()).to_numpy(zero_copy_only=False) for c in ("x0", "x1", "y0", "y1")]
+            ends = np.cumsum(sizes).tolist()
+            blocks = [b for a, z in zip([0, *ends], ends, strict=False) for b in _blocks(*(c[a:z] for c in box), column_gap, row_gap)]
+            of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in PAGE), *fields.values(), pa.array(blocks, pa.string())], names=[*PAGE, *names, "block"])
+
+    short_batches()
+    whole = words.groupBy(*PAGE).agg(F.collect_list(F.struct(*names)).alias("words"))
+    return whole.mapInArrow(cut, S.StructType([*(words.schema[c] for c in (*PAGE, *names)), S.StructField("block", S.StringType())]))
 
 
 def lines(words: DataFrame, height: float = HEIGHT, gap: float = GAP) -> DataFrame:
@@ -70,14 +92,14 @@ def lines(words: DataFrame, height: float = HEIGHT, gap: float = GAP) -> DataFra
     """
     by = [*PAGE, "block"]
     tops = F.aggregate(F.array_sort(F.collect_set(F.col("y0").cast("double"))), F.array().cast("array<double>"), lambda out, y: F.when((F.size(out) == 0) | (y - F.element_at(out, -1) > height), F.concat(out, F.array(y))).otherwise(out))
-    tops = words.groupBy(*by).agg(tops.alias("tops"))
-    placed = words.join(tops, by).withColumn("line", F.size(F.filter("tops", lambda t: t <= F.col("y0"))))
+    parts = words.groupBy(*by).agg(tops.alias("tops"), F.collect_list(F.struct("x0", "y0", "x1", "y1", "size", "bold", "text")).alias("words"))
+    placed = parts.select(*by, "tops", F.explode("words").alias("w")).select(*by, "tops", "w.*").withColumn("line", F.size(F.filter("tops", lambda t: t <= F.col("y0"))))
     word = F.struct("x0", "x1", "text")
     rows = placed.groupBy(*by, "line").agg(F.array_sort(F.collect_list(word)).alias("w"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("size").alias("size"), F.max("bold").alias("bold"))
     joint = lambda i: F.when(i == 0, "").when(F.element_at("w", i + 1).x0 - F.element_at("w", i).x1 > gap, " ｜ ").otherwise(" ")
     text = F.array_join(F.transform("w", lambda w, i: F.concat(F.when(i == 0, "").otherwise(joint(F.greatest(i, F.lit(1)))), w.text)), "")
     n = F.row_number().over(W.partitionBy(*PAGE).orderBy("block", "line"))
-    return rows.select(*PAGE, n.alias("n"), "y0", "y1", "x0", "size", "bold", text.alias("text"))
+    return kept(rows.select(*PAGE, n.alias("n"), "y0", "y1", "x0", "size", "bold", text.alias("text")))
 
 
 def without_running(rows: DataFrame, share: float = 0.5) -> DataFrame:

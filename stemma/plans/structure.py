@@ -219,19 +219,22 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "pages").select(F.concat(F.lit("w"), (F.col("page_id") % 20).cast("string")).alias("work"), F.col("page_id").alias("page"), plain.alias("w"))
     number = F.ceil((F.size("w") - 3) / 4)  # lines
     half = F.floor((number + 1) / 2)
-    box = lambda x0, y0, x1, y1, size, bold, text: F.struct(*[v.cast(t).alias(n) for v, t, n in zip((x0, y0, x1, y1, size, bold, text), ("double", "double", "double", "double", "double", "boolean", "string"), ("x0", "y0", "x1", "y1", "size", "bold", "text"), strict=True)])
-
-    def placed(word: Column, i: Column) -> Column:
-        j, k = F.floor((i - 3) / 4), (i - 3) % 4
-        column = F.when(j >= half, 1).otherwise(0)
-        row = j - column * half
-        x, y, head = 50 + column * 320 + k * 60, 150 + row * 12, row % 10 == 0
-        title = box(50 + i * 181, F.lit(60), 230 + i * 181, F.lit(84), F.lit(24), F.lit(True), word)
-        return F.when(i < 3, title).otherwise(box(x, y, x + 50, y + 10, F.when(head, 12).otherwise(10), head, word))
-
-    foot = 210 + half * 12
-    running = F.array(box(F.lit(50), F.lit(30), F.lit(592), F.lit(38), F.lit(8), F.lit(False), F.concat(F.lit("Bericht "), F.col("page").cast("string"))), box(F.lit(300), foot, F.lit(340), foot + 8, F.lit(8), F.lit(False), F.col("page")))
-    return rows.select("work", "page", F.explode(F.concat(F.transform("w", placed), running)).alias("b")).select("work", "page", "b.*")
+    # Every word is a row before it is placed; the last two are the running line and the number.
+    two = F.array(F.concat(F.lit("Bericht "), F.col("page").cast("string")), F.col("page").cast("string"))
+    rows = rows.select("work", "page", F.size("w").alias("n"), half.alias("half"), F.posexplode(F.concat("w", two)).alias("i", "text"))
+    i, n, foot = F.col("i"), F.col("n"), 210 + F.col("half") * 12
+    rows = rows.withColumn("j", F.floor((i - 3) / 4)).withColumn("column", F.when(F.col("j") >= F.col("half"), 1).otherwise(0))
+    rows = rows.withColumn("row", F.col("j") - F.col("column") * F.col("half")).withColumn("head", F.col("row") % 10 == 0)
+    x, y = 50 + F.col("column") * 320 + (i - 3) % 4 * 60, 150 + F.col("row") * 12
+    of = lambda running, number, title, body: F.when(i == n, running).when(i == n + 1, number).when(i < 3, title).otherwise(body)
+    boxes = {
+        "x0": of(50, 300, 50 + i * 181, x),
+        "y0": of(30, foot, 60, y),
+        "x1": of(592, 340, 230 + i * 181, x + 50),
+        "y1": of(38, foot + 8, 84, y + 10),
+        "size": of(8, 8, 24, F.when(F.col("head"), 12).otherwise(10)),
+    }
+    return rows.select("work", "page", *[v.cast("double").alias(k) for k, v in boxes.items()], of(False, False, True, F.col("head")).alias("bold"), "text")
 
 
 @query(
